@@ -13,11 +13,13 @@ That order depends on a block's content alone, so linked sets still meet
 (prefix filtering), and empty or nearly empty blocks, which would
 join everything, stay out.
 
-Blocks that meet are verified on the exact shingle sets.  In a run of up to ``SMALL`` sets every
-pair is verified; a larger run (a crowd) is verified against two pivots.  A crowd
-that links leave in more than one component is sketched again with another
-seed, which parts sets that met by chance; what still stands after ``SEEDS`` seeds is
-verified pivot by pivot.  So no link between different components is lost, and no group emits all its pairs.
+Sets that meet are verified on their exact shingles.  In a run of up to ``SMALL`` sets every
+pair is verified; a larger run (a crowd) is verified against two pivots.  In a crowd
+that these links leave in more than one component, the pairs between components whose
+bit sketches are near enough (their Hamming distance, too, is a lower bound of the
+difference) are verified; the others are no links.  A crowd of more than ``LARGE`` sets is first
+sketched again with other seeds, which part sets that met by chance.
+So no link between different components is lost, and no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import linked, mix, shingle_set
-from .tokens import slices
+from .shingles import linked, mix, shingle_sets
+from .tokens import slices as cut
 from .workspace import Workspace, partitions
 
-SMALL, SEEDS, FLUSH, PER_BUCKET = 16, 4, 2_000_000, 4_000_000
+SMALL, LARGE, SEEDS, FLUSH, PER_BUCKET = 16, 16_384, 3, 2_000_000, 4_000_000
+SKETCH_BITS = 4096
 
 
 def _edges(most: int = 1 << 40) -> list[int]:
@@ -50,38 +53,45 @@ def set_id(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def sketch_keys(shingles: np.ndarray, seed: int, part: int = 75) -> np.ndarray:
-    """Keys of a sorted set's first d + 1 blocks, for both pairs of bands that it can join in."""
-    size = len(shingles)
-    band = int(np.searchsorted(EDGES, size, side="right")) - 1
-    with np.errstate(over="ignore"):
-        spread = mix(shingles + np.uint64(seed)) if seed else shingles
-        if seed:
-            spread = np.sort(spread)
-        words = mix(spread + np.uint64(0x51ED270B))
-        out = []
-        for lower in (band, band - 1):
-            if lower < 0:
-                continue
-            top = int(EDGES[lower + 1]) - 1  # the largest size of the lower band
-            most = (100 - part) * (top + top * 100 // part) // (100 + part)  # largest symmetric difference of a pair
-            partner = size * 100 // part if lower == band else min(size, top)
-            own = (100 - part) * (size + partner) // (100 + part)  # largest one of a pair with this set
-            blocks = most + 1 + most // 2
-            block = ((spread >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            parity = np.bitwise_xor.reduceat(words, first)
-            held = np.diff(np.append(first, size))
-            place = block[first]
-            chosen = np.lexsort((place, parity, -held))[: own + 1]
-            if len(first) < blocks and len(chosen) < own + 1:  # empty blocks come last in the order; one key stands for each
-                empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), place)[: own + 1 - len(chosen)]
-            else:
-                empty = np.zeros(0, np.uint64)
-            at = np.concatenate([place[chosen], empty])
-            word = np.concatenate([parity[chosen], np.zeros(len(empty), np.uint64)])
-            out.append(mix(word ^ mix(at + np.uint64((lower << 44) + (seed << 58) + 1))))
-    return np.unique(np.concatenate(out))
+def sketch_keys(sets: list[np.ndarray], seed: int, part: int = 75) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the first d + 1 blocks of sorted, non-empty sets, for both pairs of bands that each can join in; whose they are."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    spread = np.concatenate(sets)
+    if seed:
+        spread = mix(spread + np.uint64(seed))
+        spread = spread[np.lexsort((spread, owner))]
+    words = mix(spread + np.uint64(0x51ED270B))
+    band = np.searchsorted(EDGES, sizes, side="right") - 1
+    keys, owners = [], []
+    for step in (0, 1):
+        lower = np.maximum(band - step, 0)
+        joins = band - step >= 0
+        top = EDGES[lower + 1] - 1  # the largest size of the lower band
+        most = (100 - part) * (top + top * 100 // part) // (100 + part)  # largest symmetric difference of a pair
+        partner = np.minimum(sizes, top) if step else sizes * 100 // part
+        own = (100 - part) * (sizes + partner) // (100 + part)  # largest one of a pair with this set
+        blocks = most + 1 + most // 2
+        block = ((spread >> np.uint64(32)) * blocks.astype(np.uint64)[owner]) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (owner[1:] != owner[:-1])]))
+        parity = np.bitwise_xor.reduceat(words, first)
+        held = np.minimum(np.diff(np.append(first, len(spread))), 255)
+        place, whose = block[first], owner[first]
+        # stable order of a set's blocks: fullest first, then by content, then by place
+        rank = (whose.astype(np.uint64) << np.uint64(40)) | ((255 - held).astype(np.uint64) << np.uint64(32)) | (parity >> np.uint64(32))
+        order = np.argsort(rank, kind="stable")
+        filled = np.bincount(whose, minlength=len(sets))
+        begin = np.concatenate([[0], np.cumsum(filled)[:-1]])
+        nth = np.arange(len(order)) - begin[whose[order]]
+        order = order[(nth <= own[whose[order]]) & joins[whose[order]]]
+        at, word, who = place[order], parity[order], whose[order]
+        for k in np.flatnonzero(joins & (filled < np.minimum(own + 1, blocks))).tolist():  # empty blocks come last
+            empty = np.setdiff1d(np.arange(blocks[k], dtype=np.uint64), place[begin[k] : begin[k] + filled[k]])[: own[k] + 1 - filled[k]]
+            at, word, who = np.concatenate([at, empty]), np.concatenate([word, np.zeros(len(empty), np.uint64)]), np.concatenate([who, np.full(len(empty), k)])
+        tag = mix(at + (lower[who].astype(np.uint64) << np.uint64(44)) + np.uint64((seed << 58) + 1))
+        keys.append(mix(word ^ tag))
+        owners.append(who)
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def _low(sid: bytes) -> int:
@@ -94,8 +104,8 @@ def _base(docs: DataFrame) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
-        for batch in slices(batches):
-            sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
+        for batch in cut(batches):
+            sets = shingle_sets(batch.column(2))
             sids = [set_id(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sids, pa.binary()), pa.array([x and _low(x) for x in sids], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
@@ -118,8 +128,7 @@ def _met(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
         keys, owners, held, seen = [], [], 0, set()
 
         def flush():
-            k = np.concatenate(keys)
-            o = np.repeat(np.array([x for x, _ in owners], np.int64), [n for _, n in owners])
+            k, o = np.concatenate(keys), np.concatenate(owners)
             bucket = (mix(k ^ np.uint64(77)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, k, o = bucket[order], k[order], o[order]
@@ -129,18 +138,19 @@ def _met(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
             for at in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[first][at : at + 500]), pa.array(rows[at : at + 500], pa.binary())], ["bucket", "data"])
 
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text)
-                if not len(s):
-                    continue
-                low = _low(set_id(s))
-                if low in seen:  # copies of a set are combined before the shuffle
-                    continue
-                seen.add(low)
-                keys.append(sketch_keys(s, seed))
-                owners.append((low, len(keys[-1])))
-                held += len(keys[-1])
+        for batch in cut(batches):
+            new, lows = [], []
+            for s in shingle_sets(batch.column(0)):
+                low = _low(set_id(s)) if len(s) else None
+                if low is not None and low not in seen:  # copies of a set are combined before the shuffle
+                    seen.add(low)
+                    new.append(s)
+                    lows.append(low)
+            if new:
+                k, o = sketch_keys(new, seed)
+                keys.append(k)
+                owners.append(np.array(lows, np.int64)[o])
+                held += len(k)
             if len(seen) > 500_000:
                 seen.clear()
             if held > FLUSH:
@@ -206,18 +216,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, part: int) -> DataFrame:
     def check(batches):
         import pyarrow as pa
 
-        known: dict[bytes, np.ndarray] = {}
-
-        def of(sid, text):
-            if sid not in known:
-                if len(known) > 2000:
-                    known.clear()
-                known[sid] = shingle_set(text)
-            return known[sid]
-
-        for batch in slices(batches):
-            a, ta, b, tb = (c.to_pylist() for c in batch.columns)
-            hit = [(x, y) for x, tx, y, ty in zip(a, ta, b, tb) if linked(of(x, tx), of(y, ty), part)]
+        for batch in cut(batches):
+            table = pa.Table.from_batches([batch])
+            one = {}
+            for sid, text in (("sa", "ta"), ("sb", "tb")):
+                ids = table.column(sid).to_pylist()
+                fresh = {x: k for k, x in enumerate(ids) if x not in one}
+                one.update(zip(fresh, shingle_sets(table.column(text).combine_chunks().take(pa.array(list(fresh.values()), pa.int64())))))
+            hit = [(x, y) for x, y in zip(table.column("sa").to_pylist(), table.column("sb").to_pylist()) if linked(one[x], one[y], part)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in hit], pa.binary()), pa.array([y for _, y in hit], pa.binary())], ["a", "b"])
 
     left = sets.select(F.col("low").alias("a"), F.col("sid").alias("sa"), F.col("text").alias("ta"))
@@ -255,15 +261,12 @@ def ngram_join(docs: DataFrame, part: int = 75) -> DataFrame:
         turn += 1
         if crowds.isEmpty():
             break
-        if turn < SEEDS:
-            again = texts.join(crowds.select("low").distinct(), "low", "left_semi")
-            met = space.table(_met(again, turn, buckets), f"met-{turn}")
-        else:  # one pivot of each crowd against all the rest, then without it
-            first = crowds.groupBy("key").agg(F.min("low").alias("pivot"))
-            pairs = crowds.join(first, "key").where("low <> pivot")
-            star = pairs.select(F.lit(0).alias("kind"), F.least("pivot", "low").alias("a"), F.greatest("pivot", "low").alias("b"))
-            rest = pairs.select(F.lit(1).alias("kind"), F.col("key").alias("a"), F.col("low").alias("b"))
-            met = space.table(star.union(rest), f"met-{turn}")
+        large = crowds.groupBy("key").count().where(F.col("count") > LARGE).select("key")
+        near = _near(crowds, texts, part)
+        if turn < SEEDS and not large.isEmpty():
+            again = texts.join(crowds.join(large, "key", "left_semi").select("low").distinct(), "low", "left_semi")
+            near = _near(crowds.join(large, "key", "left_anti"), texts, part).union(_met(again, turn, buckets))
+        met = space.table(near, f"met-{turn}")
     named = sets.select("sid", "least").join(tree.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = space.table(named, "named")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -281,4 +284,38 @@ def _open(crowds: DataFrame, texts: DataFrame, tree: DataFrame) -> DataFrame:
     label = texts.select("low", "sid").join(tree.withColumnRenamed("node", "sid"), "sid", "left").select("low", F.coalesce("root", "sid").alias("root"))
     named = crowds.join(label, "low")
     split = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return named.join(split, "key", "left_semi").select("key", "low")
+    return named.join(split, "key", "left_semi").select("key", "low", F.xxhash64("root").alias("root"))
+
+
+def _near(crowds: DataFrame, texts: DataFrame, part: int) -> DataFrame:
+    """Pairs (kind 0) of each crowd that are in different components and whose bit sketches are near enough for a link."""
+
+    def sketch(batches):
+        import pyarrow as pa
+
+        for batch in cut(batches):
+            rows = []
+            for s in shingle_sets(batch.column(1)):
+                odd = np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                rows.append((len(s), np.packbits(odd.astype(np.uint8)).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["low", "n", "bits"])
+
+    def near(table):
+        import pyarrow as pa
+
+        low, root, n = (table.column(c).to_numpy() for c in ("low", "root", "n"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(low), -1)
+        found, step = [], max(1, 2_000_000 // bits.size)
+        for at in range(0, len(low), step):
+            rows = slice(at, at + step)
+            apart = np.bitwise_count(bits[rows, None, :] ^ bits[None, :, :]).sum(2, dtype=np.int64)
+            both = n[rows, None] + n[None, :]
+            fit = ((100 + part) * apart <= (100 - part) * both) & (root[rows, None] != root[None, :]) & (low[rows, None] < low[None, :])
+            x, y = np.nonzero(fit)
+            found.append((low[rows][x], low[y]))
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        return pa.table({"kind": np.zeros(len(a), np.int32), "a": a, "b": b})
+
+    members = texts.join(crowds.select("low").distinct(), "low", "left_semi").select("low", "text")
+    sketched = members.mapInArrow(sketch, "low long, n long, bits binary")
+    return crowds.join(sketched, "low").groupBy("key").applyInArrow(near, "kind int, a long, b long")

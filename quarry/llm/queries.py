@@ -39,21 +39,46 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).drop("source", "host_rate")
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_two_fit
 
     return best_two_fit(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op8_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, listing, secret_scan
+
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin([r.name for r in BASE]))
+    return found.select("doc_id", *[count(r.name).alias(f"n_{r.name}") for r in BASE], F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files
 
     return token_files(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_ngram_join, op4_decontaminate, op7_best_two_fit, op9_token_files)}
+    own = (op3_ngram_join, op4_decontaminate, op6_host_quality, op7_best_two_fit, op8_secret_index, op9_token_files, op10_line_dedup)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_dedup, quality, secrets
+
+    return {"op6_host_quality": quality.SQL, "op8_secret_index": secrets.SQL, "op10_line_dedup": line_dedup.SQL}
