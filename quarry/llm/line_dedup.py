@@ -126,9 +126,9 @@ k AS (
     'l' || right(norm, z - z // 2), 'l' || right(norm, z - 1 - (z - 1) // 2)]) AS key FROM e),
 c AS (SELECT DISTINCT a.norm AS a, b.norm AS b, a.z AS za, b.z AS zb FROM k a JOIN k b ON a.key = b.key AND a.norm <> b.norm AND abs(a.z - b.z) <= 1 AND b.first < a.first),
 g AS (SELECT DISTINCT a AS norm FROM c WHERE
-  CASE WHEN za = zb THEN len(list_filter(range(0, za), x -> left(a, x) = left(b, x) AND right(a, za - x - 1) = right(b, za - x - 1))) > 0
-       WHEN za < zb THEN len(list_filter(range(0, zb), x -> left(a, x) = left(b, x) AND right(a, za - x) = right(b, za - x))) > 0
-       ELSE len(list_filter(range(0, za), x -> left(a, x) = left(b, x) AND right(a, zb - x) = right(b, zb - x))) > 0 END),
+  CASE WHEN za = zb THEN len(list_filter(range(0, za), lambda x: left(a, x) = left(b, x) AND right(a, za - x - 1) = right(b, za - x - 1))) > 0
+       WHEN za < zb THEN len(list_filter(range(0, zb), lambda x: left(a, x) = left(b, x) AND right(a, za - x) = right(b, za - x))) > 0
+       ELSE len(list_filter(range(0, za), lambda x: left(a, x) = left(b, x) AND right(a, zb - x) = right(b, zb - x))) > 0 END),
 s AS (
   SELECT n.doc_id, n.text, n.line, n.raw,
     length(n.norm) < 24 OR (e.first = (n.doc_id, n.line) AND g.norm IS NULL) AS stays

@@ -158,7 +158,7 @@ def _sql_kind(rule: Rule) -> str:
     size = f"length(regexp_extract(ms[k], '{pattern}', {rule.group}))" if rule.group else "length(ms[k])"
     return f"""SELECT rid, '{rule.name}' AS kind, s AS start, s + length(ms[k]) AS stop FROM (
   SELECT rid, ms, k, {size} AS z,
-    CAST(coalesce(list_sum(list_transform(ps[1:k], x -> length(x))), 0) + coalesce(list_sum(list_transform(ms[1:k - 1], x -> length(x))), 0) AS BIGINT) AS s
+    CAST(coalesce(list_sum(list_transform(ps[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS s
   FROM (SELECT rid, ms, ps, unnest(range(1, len(ms) + 1)) AS k
         FROM (SELECT rid, regexp_extract_all(t, '{pattern}', 0) AS ms, regexp_split_to_array(t, '{pattern}') AS ps FROM d)))
 WHERE z >= {rule.least}"""

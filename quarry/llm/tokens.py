@@ -3,74 +3,90 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
 END_ID = 1
-_MARK = "\x01"
+#: What may trail a word as one run of neither letters, digits nor white space (no apostrophe: the patterns know contractions).
+_TRAIL = ".,;:!?)]}\"%&$#*|"
 _loaded: dict[str, "Encoder"] = {}
 
 
+class _Words(dict):
+    """word -> its ids as bytes; a missing word is encoded when it is first asked for."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def __missing__(self, word):
+        if len(self) >= self.most:
+            self.clear()
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class Encoder:
     """Encodes texts exactly as the tokenizer file does, special strings as ordinary text.
 
     The vocabulary drops white space and never joins what stands on its two
-    sides, so a text's ids are the ids of its words in order.  Words are kept in a
-    bounded cache; new ones are encoded together.  One text of each call is also
-    encoded whole: were the two ever to differ, whole texts are encoded from then on.
+    sides, so a text's ids are the ids of its words in order, and a word's those of its letters and of
+    the punctuation after them.  Letters go to the file's model folded and in bytes, as its
+    normalizer and splitter would hand them over; any other word is encoded whole.  Words are kept in
+    bounded caches.  Probes at the start and one text of each call are also encoded
+    whole: were the two ever to differ, whole texts are encoded from then on.
     """
 
-    def __init__(self, path: str, most_words: int = 700_000):
+    def __init__(self, path: str, most_words: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.most_words = most_words
-        self.cache: dict[str, bytes] = {"": b""}
-        mark = self._ids(_MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 else None
-        self.by_word = self.mark is not None and np.array_equal(
-            self._ids(f"ab, {_MARK} cd\n{_MARK} 12 x"),
-            np.concatenate([self._ids("ab,"), mark, self._ids("cd"), mark, self._ids("12"), self._ids("x")]),
-        )
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _MARK not in w]
-        for w in words if len(plain) != len(words) else ():
-            if _MARK in w:
-                self.cache[w] = self._ids(w).tobytes()
-        joint = f" {_MARK} "
-        groups = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
-        for group, enc in zip(groups, self.tok.encode_batch_fast([joint.join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(enc.ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            raw, at = ids.tobytes(), 0
-            for w, cut in zip(group, [*cuts.tolist(), len(ids)]):
-                self.cache[w] = raw[at * 4 : cut * 4]
-                at = cut + 1
+        self.model = self.tok.model
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {}
+        for c in ["".join(map(chr, range(0x80, 0x800))), "\u0800", *(chr((k << 12) + 0x100) for k in range(1, 16)), "\U00010000", "\U00040000", "\U00080000", "\U000c0000", "\U00100000"]:
+            self.letters.update(zip(c.encode(), split(c)[0][0]))
+        self.parts = _Words(self._part, most_words // 2)
+        self.words = _Words(self._word, most_words)
+        self.words[""] = b""
+        probes = ["Plain", "été", "Straße", "naïve,", "don't", "it's!", "12ab", "x1.", "ÉLAN?!", "…", "日本語", "한국어", "İx", "ΣΑΣ", "a_b", "#%", "été."]
+        self.by_word = all(self.words[w] == self._whole(w) for w in probes) and self._whole("ab, cd\n12 x") == b"".join(self.words[w] for w in ("ab,", "cd", "12", "x"))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of folded letters."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part)])
+
+    def _word(self, word: str) -> bytes:
+        core = word.rstrip(_TRAIL)
+        if not core.isalpha() or "Σ" in core:
+            return self._whole(word)
+        if not core.isascii():
+            core, trail = unicodedata.normalize("NFC", core), word[len(core) :]
+            folded = core.lower()
+            if not folded.isalpha():
+                return self._whole(word)
+            return self.parts[folded] + (self.words[trail] if trail else b"")
+        ids = self.parts[core.lower()]
+        return ids + self.words[word[len(core) :]] if len(core) < len(word) else ids
 
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         texts = [t or "" for t in texts]
-        if not self.by_word:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.cache)
-        if len(self.cache) + len(new) > self.most_words:
-            self.cache = {"": b""}
-            new = set().union(*split) - {""}
-        if new:
-            self._learn(list(new))
-        cache = self.cache
-        out = [b"".join([cache[w] for w in ws]) for ws in split]
-        if texts and self._ids(texts[0]).tobytes() != out[0]:
+        if self.by_word:
+            get = self.words.__getitem__
+            out = [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+            if not texts or self._whole(texts[0]) == out[0]:
+                return out
             self.by_word = False
-            return self.encode(texts)
-        return out
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encoder(path: str) -> Encoder:
