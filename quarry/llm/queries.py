@@ -19,6 +19,18 @@ def _tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
@@ -74,7 +86,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op3_ngram_join, op4_decontaminate, op6_host_quality, op7_best_two_fit, op8_secret_index, op9_token_files, op10_line_dedup)
+    own = (op1_weak_toxicity, op2_vector_shards, op3_ngram_join, op4_decontaminate, op6_host_quality, op7_best_two_fit, op8_secret_index, op9_token_files, op10_line_dedup)
     return {f.__name__: f for f in own}
 
 
