@@ -51,6 +51,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_induced_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -86,7 +94,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_weak_toxicity, op2_vector_shards, op3_ngram_join, op4_decontaminate, op6_host_quality, op7_best_two_fit, op8_secret_index, op9_token_files, op10_line_dedup)
+    own = (op1_weak_toxicity, op2_vector_shards, op3_ngram_join, op4_decontaminate, op5_induced_dedup, op6_host_quality, op7_best_two_fit, op8_secret_index, op9_token_files, op10_line_dedup)
     return {f.__name__: f for f in own}
 
 
