@@ -210,8 +210,43 @@ def _met(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, part: int) -> DataFrame:
-    """Links (a, b) between set ids among pairs of their low 64 bits."""
+def _sketched(texts: DataFrame) -> DataFrame:
+    """low, n (size) and the bit sketch of each set."""
+
+    def sketch(batches):
+        import pyarrow as pa
+
+        for batch in cut(batches):
+            rows = []
+            for s in shingle_sets(batch.column(1)):
+                odd = np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                rows.append((len(s), np.packbits(odd.astype(np.uint8)).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["low", "n", "bits"])
+
+    return texts.select("low", "text").mapInArrow(sketch, "low long, n long, bits binary")
+
+
+def _fit(bits_a, bits_b, n_a, n_b, part: int) -> np.ndarray:
+    """Whether the sketches' Hamming distance and the sizes allow a link."""
+    apart = np.bitwise_count(bits_a ^ bits_b).sum(-1, dtype=np.int64)
+    return ((100 + part) * apart <= (100 - part) * (n_a + n_b)) & (100 * np.minimum(n_a, n_b) >= part * np.maximum(n_a, n_b))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, part: int) -> DataFrame:
+    """Links (a, b) between set ids among pairs of their low 64 bits: by sketches first, then by the sets themselves."""
+
+    def allow(batches):
+        import pyarrow as pa
+
+        for batch in cut(batches, most_rows=4000):
+            a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(a), -1) for k in (4, 5))
+            fit = _fit(x, y, na, nb, part)
+            yield pa.RecordBatch.from_arrays([pa.array(a[fit]), pa.array(b[fit])], ["a", "b"])
+
+    left = sketches.select(F.col("low").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = sketches.select(F.col("low").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(allow, "a long, b long")
 
     def check(batches):
         import pyarrow as pa
@@ -250,10 +285,11 @@ def ngram_join(docs: DataFrame, part: int = 75) -> DataFrame:
     need = met.where("kind = 0").select(F.explode(F.array("a", "b")).alias("low")).distinct()
     wanted = sets.join(need, "low", "left_semi").select("rid", "sid", "low")
     texts = space.table(_of_rows(docs, wanted), "texts")
+    sketches = space.table(_sketched(texts), "sketches")
     links, tree, turn = None, None, 0
     while True:
         pairs = met.where("kind = 0").select("a", "b").distinct()
-        found = space.table(_verify(pairs, texts, part), f"links-{turn}")
+        found = space.table(_verify(pairs, texts, sketches, part), f"links-{turn}")
         links = found if links is None else links.union(found)
         tree = space.table(components(links, space, f"star-{turn}"), f"tree-{turn}")
         crowds = _open(met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("low")), texts, tree)
@@ -262,10 +298,11 @@ def ngram_join(docs: DataFrame, part: int = 75) -> DataFrame:
         if crowds.isEmpty():
             break
         large = crowds.groupBy("key").count().where(F.col("count") > LARGE).select("key")
-        near = _near(crowds, texts, part)
-        if turn < SEEDS and not large.isEmpty():
+        if turn >= SEEDS or large.isEmpty():
+            near = _near(crowds, sketches, part, space, turn)
+        else:
             again = texts.join(crowds.join(large, "key", "left_semi").select("low").distinct(), "low", "left_semi")
-            near = _near(crowds.join(large, "key", "left_anti"), texts, part).union(_met(again, turn, buckets))
+            near = _near(crowds.join(large, "key", "left_anti"), sketches, part, space, turn).union(_met(again, turn, buckets))
         met = space.table(near, f"met-{turn}")
     named = sets.select("sid", "least").join(tree.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = space.table(named, "named")
@@ -287,18 +324,11 @@ def _open(crowds: DataFrame, texts: DataFrame, tree: DataFrame) -> DataFrame:
     return named.join(split, "key", "left_semi").select("key", "low", F.xxhash64("root").alias("root"))
 
 
-def _near(crowds: DataFrame, texts: DataFrame, part: int) -> DataFrame:
-    """Pairs (kind 0) of each crowd that are in different components and whose bit sketches are near enough for a link."""
-
-    def sketch(batches):
-        import pyarrow as pa
+def _near(crowds: DataFrame, sketches: DataFrame, part: int, space: Workspace, turn: int) -> DataFrame:
+    """Pairs (kind 0) in different components whose bit sketches are near enough for a link.
 
-        for batch in cut(batches):
-            rows = []
-            for s in shingle_sets(batch.column(1)):
-                odd = np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                rows.append((len(s), np.packbits(odd.astype(np.uint8)).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["low", "n", "bits"])
+    Crowds that share a member are one cluster, in which every member stands once, however many blocks it shares.
+    """
 
     def near(table):
         import pyarrow as pa
@@ -308,14 +338,15 @@ def _near(crowds: DataFrame, texts: DataFrame, part: int) -> DataFrame:
         found, step = [], max(1, 2_000_000 // bits.size)
         for at in range(0, len(low), step):
             rows = slice(at, at + step)
-            apart = np.bitwise_count(bits[rows, None, :] ^ bits[None, :, :]).sum(2, dtype=np.int64)
-            both = n[rows, None] + n[None, :]
-            fit = ((100 + part) * apart <= (100 - part) * both) & (root[rows, None] != root[None, :]) & (low[rows, None] < low[None, :])
-            x, y = np.nonzero(fit)
+            fit = _fit(bits[rows, None, :], bits[None, :, :], n[rows, None], n[None, :], part)
+            x, y = np.nonzero(fit & (root[rows, None] != root[None, :]) & (low[rows, None] < low[None, :]))
             found.append((low[rows][x], low[y]))
         a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         return pa.table({"kind": np.zeros(len(a), np.int32), "a": a, "b": b})
 
-    members = texts.join(crowds.select("low").distinct(), "low", "left_semi").select("low", "text")
-    sketched = members.mapInArrow(sketch, "low long, n long, bits binary")
-    return crowds.join(sketched, "low").groupBy("key").applyInArrow(near, "kind int, a long, b long")
+    hub = crowds.groupBy("key").agg(F.min("low").alias("hub"))
+    edges = crowds.join(hub, "key").select(F.col("low").alias("a"), F.col("hub").alias("b")).distinct()
+    cluster = components(edges, space, f"cluster-{turn}").select(F.col("node").alias("low"), F.col("root").alias("cluster"))
+    members = crowds.select("low", "root").distinct().join(cluster, "low", "left").withColumn("cluster", F.coalesce("cluster", "low"))
+    members = members.join(sketches, "low")
+    return members.groupBy("cluster").applyInArrow(near, "kind int, a long, b long")
