@@ -1,7 +1,6 @@
 """Corpus-wide line deduplication by deletion neighbourhoods, in DataFrame functions only.
 
-Lines are compared in a normal form (A-Z lower-cased, runs of ASCII white space one
-space, trimmed).  A line of at least ``MIN_CHARS`` characters goes if an equal line, or one
+Lines are compared in a normal form (runs of ASCII white space one space, trimmed).  A line of at least ``MIN_CHARS`` characters goes if an equal line, or one
 within one edit (a character put in, taken out or replaced), stands earlier
 in the corpus.  The order is (doc_id, row hash, line number); null ids come first.
 
@@ -10,7 +9,7 @@ hashes of a line without a stretch that may hold the edit, in three steps, each
 for lines that met another one in the step before:
 
 1. half the line: what is left is its first or its last half;
-2. a stretch of some 1/32 of the line, at every place;
+2. a stretch of some 1/16 of the line, at every place;
 3. one character or none, at every place of a stretch that met: the deletion variants.
 
 All lines with one variant at one place are within one edit of each other, so each is
@@ -27,14 +26,17 @@ from .workspace import Workspace
 MIN_CHARS = 24
 
 
+#: White space that is not just one space.
+_GAP = "\\x20*[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20{2,}"
+
+
 def normal(line: Column) -> Column:
-    folded = F.translate(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(folded)
+    return F.trim(F.regexp_replace(line, _GAP, " "))
 
 
 def _class(n: str) -> str:
-    """Length of the stretches of step 2: a power of two, n / 32 .. n / 64."""
-    return f"cast(shiftleft(1, greatest(0, cast(floor(log2({n})) as int) - 5)) as int)"
+    """Length of the stretches of step 2: a power of two, n / 16 .. n / 32."""
+    return f"cast(shiftleft(1, greatest(0, cast(floor(log2({n})) as int) - 4)) as int)"
 
 
 #: Step 1: (tag, hash) of the first and last half, as the shorter or equal line (n) and as the longer one (n - 1).
@@ -58,7 +60,7 @@ _VARIANTS = """concat(
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """rid, doc_id, line and norm of every line that is long enough."""
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n", -1).alias("ls"))
-    flat = rows.select("rid", "doc_id", F.posexplode("ls").alias("line", "raw"))
+    flat = rows.select("rid", "doc_id", F.posexplode("ls").alias("line", "raw")).where(F.length("raw") >= least)
     return flat.select("rid", "doc_id", "line", normal(F.col("raw")).alias("norm")).where(F.length("norm") >= least)
 
 
@@ -103,7 +105,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, near: bool = True) -> D
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*keep, F.xxhash64("doc_id", "text").alias("_q_rid")).join(own, "_q_rid", "left")
     rows = rows.withColumn("_q_lines", F.split("text", "\n", -1))
-    long = F.expr(f"filter(transform(_q_lines, (x, i) -> if(length({_normal_sql('x')}) >= {least}, i, -1)), i -> i >= 0)")
+    long = F.filter(F.transform("_q_lines", lambda x, i: F.when((F.length(x) >= least) & (F.length(normal(x)) >= least), i).otherwise(-1)), lambda i: i >= 0)
     rows = rows.withColumn("_q_gone", F.when(F.col("text").isNull(), F.array().cast("array<int>")).otherwise(F.array_except(long, F.coalesce("_q_kept", F.array().cast("array<int>")))))
     rows = rows.withColumn("_q_left", F.expr("array_except(sequence(0, size(_q_lines) - 1), _q_gone)"))
     text = F.when(F.size("_q_gone") == 0, F.col("text")).otherwise(F.expr("array_join(transform(_q_left, i -> _q_lines[i]), '\n')"))
@@ -111,14 +113,10 @@ def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, near: bool = True) -> D
     return done.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).select(*keep, "n_lines", "n_removed")
 
 
-def _normal_sql(x: str) -> str:
-    return f"trim(regexp_replace({x}, '[\\\\x20\\\\x09-\\\\x0D]+', ' '))"
-
-
 SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM d),
-n AS (SELECT *, trim(translate(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') AS norm FROM l),
+n AS (SELECT *, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM l),
 e AS (SELECT norm, length(norm) AS z, min((doc_id, line)) AS first FROM n WHERE length(norm) >= 24 GROUP BY norm),
 k AS (
   SELECT DISTINCT norm, z, first, unnest([

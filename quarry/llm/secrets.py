@@ -73,14 +73,15 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
                 more = both(walk(arg[2]), [("", "")])  # the first turn is certain, then a gap
             else:
                 more = [("", "")]
+            if len(ways) * len(more) > most:  # too many ways: what this item adds is given up
+                more = [("", "")]
             ways = both(ways, more)
-            if len(ways) > most:
-                return [("", "")]
         return ways
 
     ways = walk(_parser.parse(pattern.replace("((?i)", "(?i:").replace("\\x20", " ")))
     queries = {frozenset(run[k : k + 3] for run in way for k in range(len(run) - 2)) for way in ways}
-    return None if frozenset() in queries else sorted(queries, key=sorted)
+    least = {q for q in queries if not any(other < q for other in queries)}  # the rest is implied
+    return None if frozenset() in queries else sorted(least, key=sorted)
 
 
 def spans(rule: Rule, text: Column) -> Column:
