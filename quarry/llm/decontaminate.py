@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokens import slices
 
@@ -83,12 +84,13 @@ def _item_blocks(benchmark: DataFrame, most_chars: int) -> list[list[tuple]]:
     return [*blocks, own] if own else blocks
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_chars: int = 8_000_000, texts: bool = True) -> DataFrame:
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_chars: int = 8_000_000, texts: bool = True, keep: list[str] | None = None) -> DataFrame:
     """``docs`` and the benchmark windows found in each.
 
     Adds ``hits`` (array of word spans [from, to)), ``items`` (sorted item ids), ``n_words``, ``n_hit``
     and ``clean_text`` (hit spans cut out; null where the text is null) to doc_id and text.
-    Without ``texts`` both texts come back null, which spares their way back from Python.
+    Without ``texts`` both texts come back null, which spares their way back from Python.  ``keep`` names
+    columns of ``docs`` that come back instead of doc_id and text; one named like a result must not be in it.
 
     The set that is broadcast is bounded: up to ``most_chars`` characters of items go out at once.
     A larger benchmark is a stated query set run in blocks of that size: each block scans all
@@ -96,8 +98,9 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Null and empty texts have no words; a null item_id or text is no item.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, text string, n_words long, n_hit long, hits array<array<int>>, items array<string>, clean_text string"
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"hits": F.lit(None).cast("array<array<int>>"), "items": F.lit(None).cast("array<string>")})
+    own = [F.col(c) for c in keep] if keep else [F.col("doc_id").cast("long").alias("doc_id")]
+    out = docs.select(F.struct(*own).alias("row"), "text", F.lit(None).cast("array<array<int>>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    schema = T.StructType([T.StructField("row", out.schema["row"].dataType), *T.StructType.fromDDL("text string, n_words long, n_hit long, hits array<array<int>>, items array<string>, clean_text string").fields])
     benchmark = benchmark.where("item_id is not null and text is not null")
     blocks = _item_blocks(benchmark, most_chars) or [[]]
     for number, block in enumerate(blocks, 1):
@@ -108,7 +111,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
             known = Windows(sent.value, window)
             for batch in slices(batches):
-                doc, texts, before, owners = (c.to_pylist() for c in batch.columns)
+                texts, before, owners = (c.to_pylist() for c in batch.columns[1:])
                 rows = defaultdict(list)
                 for text, spans, own in zip(texts, before, owners):
                     ws = words(text)
@@ -122,11 +125,12 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     rows["clean"].append(None if bare else text if text is None or not hit.any() else cut_spans(text, hit))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.nulls(batch.num_rows, pa.string()) if bare else batch.column(1), pa.array(rows["n_words"], pa.int64()), pa.array(rows["n_hit"], pa.int64()), pa.array(rows["hits"], pa.list_(pa.list_(pa.int32()))), pa.array(rows["items"], pa.list_(pa.string())), pa.array(rows["clean"], pa.string())],
-                    ["doc_id", "text", "n_words", "n_hit", "hits", "items", "clean_text"],
+                    ["row", "text", "n_words", "n_hit", "hits", "items", "clean_text"],
                 )
 
-        out = out.select("doc_id", "text", "hits", "items").mapInArrow(scan, schema)
-    return out
+        out = out.select("row", "text", "hits", "items").mapInArrow(scan, schema)
+    found = ["n_words", "n_hit", "hits", "items", "clean_text"]
+    return out.select("row.*", *([] if keep else ["text"]), *found)
 
 
 def items_digest(items: list) -> str:

@@ -274,8 +274,31 @@ def ngram_join(docs: DataFrame, part: int = 75) -> DataFrame:
     own component and links with nothing.  Equal sets (copies, repeated rows) are one node
     and count once however many there are.  An empty table gives no rows; other columns are ignored.
     """
+    rows = classes(docs, Workspace(docs.sparkSession, "ngram-join"), part)
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, part: int = 75) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay when one of each group of linked rows stays: that of
+    the smallest doc_id, then of the smallest row hash.  Of rows alike in doc_id and text one stays.
+    Rows without words stay as they are."""
+    space = Workspace(docs.sparkSession, "ngram-join")
+    rows = space.table(classes(docs, space, part), "classes").where("sid is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    best = rows.groupBy("root").agg(F.min(order).alias("best")).select("root", "best.rid")
+    gone = rows.select("root", "rid").distinct().join(best, ["root", "rid"], "left_anti").select("rid")
+    twice = space.table(rows.groupBy("rid").count().where("count > 1").select("rid"), "twice")
+    own = docs.withColumn("_q_rid", F.xxhash64("doc_id", F.col("text")))
+    kept = own.join(gone.select(F.col("rid").alias("_q_rid")), "_q_rid", "left_anti")
+    if not twice.isEmpty():
+        again = twice.select(F.col("rid").alias("_q_rid"))
+        kept = kept.join(again, "_q_rid", "left_anti").unionByName(kept.join(again, "_q_rid", "left_semi").dropDuplicates(["_q_rid"]))
+    return kept.select(docs.columns)
+
+
+def classes(docs: DataFrame, space: Workspace, part: int = 75) -> DataFrame:
+    """rid, doc_id, sid, n_shingles, root (id of the group) and component_id of every row; the last two are null without words."""
     spark = docs.sparkSession
-    space = Workspace(spark, "ngram-join")
     base = space.table(_base(docs), "base")
     sets = space.table(base.where("sid is not null").groupBy("sid", "low").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n")), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -307,8 +330,8 @@ def ngram_join(docs: DataFrame, part: int = 75) -> DataFrame:
     named = sets.select("sid", "least").join(tree.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = space.table(named, "named")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(lowest, "root").select("sid", "component_id")
-    return base.join(named, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(lowest, "root").select("sid", "root", "component_id")
+    return base.join(named, "sid", "left").select("rid", "doc_id", "sid", "n_shingles", "root", "component_id")
 
 
 def _of_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:

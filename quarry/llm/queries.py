@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(TOKENIZER)
@@ -68,7 +68,7 @@ def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_two_fit
 
-    return best_two_fit(table(spark, sf_dir, "documents"), _tokenizer())
+    return best_two_fit(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op8_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op8_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files
 
-    return token_files(table(spark, sf_dir, "documents"), _tokenizer())
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
