@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import communities, detectors, graph, lookups, metrics, progress, resolve, search, tree
+from ..operators import communities, detectors, documents, graph, lookups, metrics, progress, resolve, search, tree
 from ..sources import adapter, pages
 from ..sources.adapter import CTE, table
 from ..streaming import events as ev
@@ -551,3 +551,46 @@ def names_and_prints(s: SparkSession, d: str) -> DataFrame:
 @query(" SELECT DISTINCT name, array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(replace(replace(name, 'cluster_', ''), '_', ' '), ' ')], ' ') AS label FROM symbols")
 def label_format(s: SparkSession, d: str) -> DataFrame:
     return _sym(s, d).select("name", T.format_label(F.col("name")).alias("label")).distinct()
+
+
+# --- documents ------------------------------------------------------------------------------------------------------
+
+
+def _parts(s, d):
+    sym, mem = _sym(s, d), adapter.members(s, d)
+    return sym, _sparse(s, d), mem, metrics.labels(sym, mem)
+
+
+@query()
+def mermaid_architecture(s: SparkSession, d: str) -> DataFrame:
+    return documents.architecture(*_parts(s, d))
+
+
+@query(BOTH + ", n AS (SELECT community_id, count(*) AS n FROM members GROUP BY 1), o AS (SELECT ca AS community_id, count(*) AS o FROM lab WHERE ca <> cb AND kind = 'CALLS' AND confidence >= 1.0 GROUP BY 1) SELECT community_id, n AS members, coalesce(o, 0) AS outgoing FROM n LEFT JOIN o USING (community_id)")
+def module_summaries(s: SparkSession, d: str) -> DataFrame:
+    told = documents.module_summaries(*_parts(s, d))
+    number = lambda p: F.regexp_extract("content", p, 1).cast("long")
+    return told.select("community_id", number(r"\n(\d+) symbols").alias("members"), number(r"(\d+) links to").alias("outgoing"))
+
+
+@query()
+def narratives(s: SparkSession, d: str) -> DataFrame:
+    sym, e, mem, lab = _parts(s, d)
+    return documents.narratives(sym, e, mem, lab, adapter.files(sym))
+
+
+@query()
+def topo_chapters(s: SparkSession, d: str) -> DataFrame:
+    sym, e, mem, lab = _parts(s, d)
+    return documents.curriculum(mem, lab, e, graph.entry_points(sym, e))
+
+
+@query()
+def quiz_questions(s: SparkSession, d: str) -> DataFrame:
+    return documents.quiz(*_parts(s, d))
+
+
+@query()
+def export_document(s: SparkSession, d: str) -> DataFrame:
+    sym, e, mem, lab = _parts(s, d)
+    return documents.export("driver tables", adapter.files(sym), sym, e, mem, lab, detectors.long_method(sym, 25, 35, 45))
