@@ -128,17 +128,17 @@ def communities(nodes: DataFrame, edges: DataFrame, most: int = MOST) -> DataFra
 
 
 def topological(deps: list[tuple[int, int]], ids: list[int], first: set[int] = frozenset()) -> list[int]:
-    """Communities with what they lead to after them (Kahn): entry communities first, then by id; cycles at the end."""
+    """Communities after what they depend on (Kahn), ``deps`` being (user, used): entry communities first, then by id; cycles at the end."""
     deps = sorted(set(d for d in deps if d[0] != d[1]))
-    into = Counter(b for _, b in deps)
-    ready = sorted((c for c in ids if not into[c]), key=lambda c: (c not in first, c))
+    open_ = Counter(a for a, _ in deps)
+    ready = sorted((c for c in ids if not open_[c]), key=lambda c: (c not in first, c))
     out = []
     while ready:
         c = ready.pop(0)
         out.append(c)
         for a, b in deps:
-            if a == c:
-                into[b] -= 1
-                if not into[b]:
-                    ready.append(b)
+            if b == c:
+                open_[a] -= 1
+                if not open_[a]:
+                    ready.append(a)
     return out + sorted(set(ids) - set(out))

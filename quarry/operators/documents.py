@@ -158,8 +158,8 @@ def context(sections: list[tuple[str, DataFrame]], most: int = 32_000) -> DataFr
 def curriculum(members: DataFrame, labels: DataFrame, edges: DataFrame, entries: DataFrame, least: int = 5, most: int = 15) -> DataFrame:
     """chapter_id, position, title, community_id, difficulty, prerequisites (chapter ids), sections.
 
-    The big picture first, then communities of at least ``least`` members (the ``most`` largest), what they
-    lead to after them, then smaller ones together and a last chapter.  Only communities reach the driver.
+    The big picture first, then communities of at least ``least`` members (the ``most`` largest), each after
+    what it depends on, then smaller ones together and a last chapter.  Only communities reach the driver.
     """
     spark = members.sparkSession
     sizes = {r["community_id"]: r["count"] for r in members.groupBy("community_id").count().collect()}

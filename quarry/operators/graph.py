@@ -101,7 +101,7 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int, reverse: bool = False)
 
 def impact(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     """root, symbol_id, depth, risk of what reaches a root over any edge; risk is 1/depth."""
-    return reach(edges, roots, depth, True).where("depth > 0").select("root", F.col("node").alias("symbol_id"), "depth", F.round(1.0 / F.col("depth"), 6).alias("risk"))
+    return reach(edges, roots, depth, True).where("depth > 0").select("root", F.col("node").alias("symbol_id"), "depth", F.round(F.try_divide(F.lit(1.0), F.col("depth")), 6).alias("risk"))
 
 
 def call_chain(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:

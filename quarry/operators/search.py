@@ -34,6 +34,12 @@ def postings(docs: DataFrame, columns: list[str]) -> DataFrame:
     return flat
 
 
+def _places(field: Column, word: list[str]) -> Column:
+    """Where a phrase begins in a token array."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(field) - len(word) + 1, F.lit(1)))
+    return F.filter(starts, lambda p: F.slice(field, p, F.lit(len(word))) == F.array(*[F.lit(t) for t in word]))
+
+
 def bm25(docs: DataFrame, columns: list[str], query: str, limit: int | None = 10) -> DataFrame:
     """id, score of documents that hold every query word (a word of several tokens as a phrase); ties by id.
 
@@ -52,8 +58,7 @@ def bm25(docs: DataFrame, columns: list[str], query: str, limit: int | None = 10
             if len(word) == 1:
                 one.append(F.size(F.filter(field, lambda x: x == word[0])))
             else:
-                here = F.filter(F.sequence(F.lit(1), F.greatest(F.size(field) - len(word) + 1, F.lit(1))), lambda p, field=field: F.slice(field, p, F.lit(len(word))) == F.array(*[F.lit(t) for t in word]))
-                one.append(F.size(here))
+                one.append(F.size(_places(field, word)))
         return sum(one[1:], one[0])
 
     length = sum((F.size(f"f{k}") for k in range(1, len(columns))), F.size("f0"))

@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.text import language_of
 
@@ -121,29 +123,25 @@ def parse_file(path: str, language: str, text: str) -> dict | None:
 def parse_sources(files: DataFrame) -> DataFrame:
     """``files(path, language, content)`` -> parsed files, nested; what does not parse is left out."""
 
+    schema = to_arrow_schema(StructType.fromDDL(PARSED))
+
     def run(batches):
         import pyarrow as pa
 
-        schema = None
         for batch in batches:
             rows = [p for r in batch.to_pylist() if r["content"] is not None and (p := parse_file(r["path"], r["language"], r["content"]))]
-            if schema is None:
-                from pyspark.sql.pandas.types import to_arrow_schema
-                from pyspark.sql.types import StructType
-
-                schema = to_arrow_schema(StructType.fromDDL(PARSED))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", "language", "content").where("language is not null").mapInArrow(run, PARSED)
 
 
 def walk(spark: SparkSession, root: str, most_bytes: int = 20 << 20) -> DataFrame:
-    """path (below ``root``), language, content, mtime, size of every known source file of a tree, hidden ones too, git's own folder not."""
+    """path (below ``root``), language, content, mtime, size of every known source file of a tree.  Spark's file sources pass over names that begin with '.' or '_'."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    home = F.lit(root.rstrip("/").removeprefix("file:").rstrip("/") + "/")
-    path = F.substring_index(F.col("path"), root.rstrip("/").split("/")[-1] + "/", -1) if not root else F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), F.concat(F.lit("^\\Q"), home, F.lit("\\E")), F.lit(""))
+    home = root.removeprefix("file:").rstrip("/") + "/"
+    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^\\Q{home}\\E", "")
     out = raw.where(F.col("length") <= most_bytes).select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
-    out = out.withColumn("language", language_of(F.col("path"))).where("language is not null and path not like '.git/%' and path not like '%/.git/%'")
+    out = out.withColumn("language", language_of(F.col("path"))).where("language is not null")
     return out.withColumn("content", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))).where("content is not null")
 
 
