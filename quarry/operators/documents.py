@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import format_label, mermaid_id, mermaid_label
+from ..functions.text import format_label, mermaid_id, mermaid_label, strip
 from . import communities as com
 from .graph import community_edges, fan_in_out, labelled
 from .progress import difficulty
@@ -143,7 +143,7 @@ def narratives(nodes: DataFrame, edges: DataFrame, members: DataFrame, labels: D
 def split_batched(text) -> F.Column:
     """array<struct<id, body>> of a text's parts headed '## Community <id>'."""
     parts = F.regexp_extract_all(text, F.lit(r"(?s)## Community \d+.*?(?=## Community \d+|$)"), F.lit(0))
-    return F.transform(parts, lambda p: F.struct(F.try_to_number(F.regexp_extract(p, r"## Community (\d+)", 1), F.lit("999999999")).cast("long").alias("id"), F.trim(F.regexp_replace(p, r"(?s)^## Community \d+[^\n]*\n?", "")).alias("body")))
+    return F.transform(parts, lambda p: F.struct(F.try_to_number(F.regexp_extract(p, r"## Community (\d+)", 1), F.lit("999999999")).cast("long").alias("id"), strip(F.regexp_replace(p, r"(?s)^## Community \d+[^\n]*\n?", "")).alias("body")))
 
 
 def context(sections: list[tuple[str, DataFrame]], most: int = 32_000) -> DataFrame:
