@@ -322,10 +322,10 @@ def classes(docs: DataFrame, space: Workspace, part: int = 75) -> DataFrame:
             break
         large = crowds.groupBy("key").count().where(F.col("count") > LARGE).select("key")
         if turn >= SEEDS or large.isEmpty():
-            near = _near(crowds, sketches, part, space, turn)
+            near = _near(crowds, sketches, part)
         else:
             again = texts.join(crowds.join(large, "key", "left_semi").select("low").distinct(), "low", "left_semi")
-            near = _near(crowds.join(large, "key", "left_anti"), sketches, part, space, turn).union(_met(again, turn, buckets))
+            near = _near(crowds.join(large, "key", "left_anti"), sketches, part).union(_met(again, turn, buckets))
         met = space.table(near, f"met-{turn}")
     named = sets.select("sid", "least").join(tree.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = space.table(named, "named")
@@ -347,29 +347,46 @@ def _open(crowds: DataFrame, texts: DataFrame, tree: DataFrame) -> DataFrame:
     return named.join(split, "key", "left_semi").select("key", "low", F.xxhash64("root").alias("root"))
 
 
-def _near(crowds: DataFrame, sketches: DataFrame, part: int, space: Workspace, turn: int) -> DataFrame:
-    """Pairs (kind 0) in different components whose bit sketches are near enough for a link.
+def _near(crowds: DataFrame, sketches: DataFrame, part: int) -> DataFrame:
+    """Pairs (kind 0) of each crowd that are in different components and whose bit sketches are near enough for a link.
 
-    Crowds that share a member are one cluster, in which every member stands once, however many blocks it shares.
+    Crowds with one least member (mostly the blocks of one family) are read together, so a member's sketch
+    travels once for all of them and a pair that meets in many blocks is looked at once.
     """
 
     def near(table):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         low, root, n = (table.column(c).to_numpy() for c in ("low", "root", "n"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(low), -1)
-        found, step = [], max(1, 2_000_000 // bits.size)
-        for at in range(0, len(low), step):
-            rows = slice(at, at + step)
-            fit = _fit(bits[rows, None, :], bits[None, :, :], n[rows, None], n[None, :], part)
-            x, y = np.nonzero(fit & (root[rows, None] != root[None, :]) & (low[rows, None] < low[None, :]))
-            found.append((low[rows][x], low[y]))
-        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        return pa.table({"kind": np.zeros(len(a), np.int32), "a": a, "b": b})
-
-    hub = crowds.groupBy("key").agg(F.min("low").alias("hub"))
-    edges = crowds.join(hub, "key").select(F.col("low").alias("a"), F.col("hub").alias("b")).distinct()
-    cluster = components(edges, space, f"cluster-{turn}").select(F.col("node").alias("low"), F.col("root").alias("cluster"))
-    members = crowds.select("low", "root").distinct().join(cluster, "low", "left").withColumn("cluster", F.coalesce("cluster", "low"))
-    members = members.join(sketches, "low")
-    return members.groupBy("cluster").applyInArrow(near, "kind int, a long, b long")
+        lists = table.column("keys").combine_chunks()
+        keys, whose = lists.flatten().to_numpy(), np.repeat(np.arange(len(low)), pc.list_value_length(lists).to_numpy())
+        order = np.lexsort((whose, keys))
+        keys, whose = keys[order], whose[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        seen = np.zeros((len(low), len(low)), bool) if len(low) <= 4096 else None
+        found = [np.zeros(0, np.int64)]
+        for start, end in zip(first.tolist(), np.append(first[1:], len(keys)).tolist()):
+            own = whose[start:end]
+            step = max(1, 1_000_000 // len(own))
+            for at in range(0, len(own), step):
+                rows = own[at : at + step]
+                new = (root[rows][:, None] != root[own][None, :]) & (rows[:, None] < own[None, :])
+                if seen is not None:
+                    block = np.ix_(rows, own)
+                    new &= ~seen[block]
+                    seen[block] = True
+                x, y = np.nonzero(new)
+                x, y = rows[x], own[y]
+                for cut_at in range(0, len(x), 20_000):
+                    a, b = x[cut_at : cut_at + 20_000], y[cut_at : cut_at + 20_000]
+                    fit = _fit(bits[a], bits[b], n[a], n[b], part)
+                    found.append(a[fit] * len(low) + b[fit])
+        code = np.unique(np.concatenate(found))
+        a, b = low[code // len(low)], low[code % len(low)]
+        return pa.table({"kind": np.zeros(len(a), np.int32), "a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    hubs = crowds.groupBy("key").agg(F.min("low").alias("hub"))
+    members = crowds.join(hubs, "key").groupBy("hub", "low", "root").agg(F.collect_set("key").alias("keys"))
+    return members.join(sketches, "low").groupBy("hub").applyInArrow(near, "kind int, a long, b long")
