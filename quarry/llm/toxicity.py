@@ -5,7 +5,8 @@
 2. Label model.  Votes have covariance C_ij = a_i a_j q(1 - q) wherever two voters are independent given the
    label (q: share of toxic rows; a_i = P(vote | toxic) - P(vote | clean)).  The second moments of the votes over all
    rows that are not held out give every a_i by triplets of voters, and what they leave of C_ij are
-   the correlations; a correlated voter counts less.
+   the correlations; a correlated voter counts less.  Labelled rows only cap how often a voter errs on clean texts.
+   A voter that says nothing on a text on which others vote abstains; silence of all speaks for clean.
 3. A logistic model over the mined features and the votes is fitted to the label model's posteriors.
 
 Only rows whose crc32(doc_id as text) mod 5 is not 0 teach.  Labels are read from at most ``FIT_ROWS`` labelled rows
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .tokens import slices
 from .workspace import Workspace
 
-FIT_ROWS, MOST_FEATURES, LEXICONS = 20_000, 2_048, 5
+FIT_ROWS, MOST_FEATURES, LEXICONS, LEAST_PRECISION = 20_000, 2_048, 5, 0.97
 #: Fixed seed lexicon: common insults.
 SEED_WORDS = frozenset("idiot idiots moron morons stupid loser losers scum trash clown pathetic worthless disgusting imbecile dumb jerk trottel depp abschaum widerlich wertlos imbécile ordure débile minable idiota imbécil basura asqueroso patético".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -79,7 +80,8 @@ class Model:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """Label model's chance that rows of votes are toxic."""
         yes, no = np.log(self.hit / self.false), np.log((1 - self.hit) / (1 - self.false))
-        logit = np.log(self.prior / (1 - self.prior)) + (votes * yes + (1 - votes) * no) @ self.count
+        silent = votes.sum(1) == 0
+        logit = np.log(self.prior / (1 - self.prior)) + votes @ (yes * self.count) + silent * (no @ self.count)
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
     def score(self, own: list[int], votes: np.ndarray) -> float:
@@ -160,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, space: Workspace, fit_rows: int = FI
         rate = F.lit(n1 / (n1 + n0))
         part = F.col("t") / F.col("n")
         gain = 2 * (F.col("t") * F.log(part / rate) + F.when(part < 1, (F.col("n") - F.col("t")) * F.log((1 - part) / (1 - rate))).otherwise(0.0))
-        found = found.where("t > 0").withColumn("gain", gain).where((part > 3 * rate) & (F.col("gain") > 30))
+        found = found.where("t > 0").withColumn("gain", gain).where((part >= LEAST_PRECISION) & (F.col("gain") > 30))
         best = [r["feature"] for r in found.orderBy(F.desc("gain"), "feature").limit(MOST_FEATURES).collect()]
     model = Model(best, min(0.9, max(0.005, (n1 + 0.5) / (n1 + n0 + 1))) if n1 + n0 else 0.1)
     sent = spark.sparkContext.broadcast(model)
@@ -187,11 +189,16 @@ def fit(docs: DataFrame, labels: DataFrame, space: Workspace, fit_rows: int = FI
 
         for batch in slices(batches):
             got = [sent.value.read(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.int32).tolist() for _, v in got], pa.list_(pa.int32()))], ["own", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.int32).tolist() for _, v in got], pa.list_(pa.int32())), batch.column(1)], ["own", "votes", "toxic"])
 
-    got = taught.select("text").mapInArrow(read, "own array<int>, votes array<int>").collect()  # at most ``fit_rows`` rows of small numbers
-    examples = [(sorted(r["own"]), np.array(r["votes"], float)) for r in got]
-    examples.sort(key=lambda e: (e[0], e[1].tolist()))
+    got = taught.select("text", "toxic").mapInArrow(read, "own array<int>, votes array<int>, toxic int").collect()  # at most ``fit_rows`` rows of small numbers
+    examples = [(sorted(r["own"]), np.array(r["votes"], float), r["toxic"]) for r in got]
+    examples.sort(key=lambda e: (e[0], e[1].tolist(), e[2]))
+    clean = np.array([v for _, v, mark in examples if not mark]).reshape(-1, model.voters)
+    if n1 and n0:
+        model.false = np.minimum(model.false, (clean.sum(0) + 1) / (len(clean) + 2))
+        model.hit = np.maximum(model.hit, model.false)
+    examples = [(o, v) for o, v, _ in examples]
     if examples:
         linear_model(model, examples, model.posterior(np.array([v for _, v in examples])))
     else:  # nothing to fit to: the label model's own weights
