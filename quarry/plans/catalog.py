@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import communities, detectors, documents, graph, lookups, metrics, progress, resolve, search, tree
+from ..operators import communities, detectors, documents, graph, layout, lookups, metrics, progress, resolve, search, tree
 from ..sources import adapter, pages
 from ..sources.adapter import CTE, table
 from ..streaming import events as ev
@@ -594,3 +594,34 @@ def quiz_questions(s: SparkSession, d: str) -> DataFrame:
 def export_document(s: SparkSession, d: str) -> DataFrame:
     sym, e, mem, lab = _parts(s, d)
     return documents.export("driver tables", adapter.files(sym), sym, e, mem, lab, detectors.long_method(sym, 25, 35, 45))
+
+
+# --- views ----------------------------------------------------------------------------------------------------------
+
+
+@query(", e AS (SELECT source_id AS symbol_id FROM edges UNION ALL SELECT target_id FROM edges WHERE source_id <> target_id), n AS (SELECT symbol_id, count(*) AS n FROM e GROUP BY 1) SELECT symbol_id, community_id % 10 AS color, round(least(greatest(3 + 0.7 * coalesce(n, 0), 3), 14), 6)::DOUBLE AS size FROM members LEFT JOIN n USING (symbol_id)")
+def node_looks(s: SparkSession, d: str) -> DataFrame:
+    deg = graph.degrees(_sym(s, d), _edges(s, d)).join(adapter.members(s, d), "symbol_id")
+    return deg.select("symbol_id", layout.color_index(F.col("community_id")).alias("color"), F.round(layout.node_size(F.col("degree")), 6).alias("size"))
+
+
+@query(", up AS (SELECT * FROM sparse WHERE source_id < target_id), r(node, k) AS (SELECT symbol_id, 0 FROM symbols UNION SELECT target_id, k + 1 FROM r JOIN up ON source_id = node) SELECT node AS symbol_id, CAST(max(k) AS BIGINT) AS layer FROM r GROUP BY 1")
+def layers(s: SparkSession, d: str) -> DataFrame:
+    # edges towards greater ids have no cycle, so a layer is the longest way in
+    return layout.layers(_sym(s, d), _sparse(s, d).where("source_id < target_id"))
+
+
+@query(", c AS (SELECT DISTINCT chapter_id FROM sections) SELECT chapter_id, coalesce(lead(chapter_id) OVER (ORDER BY chapter_id), -1) AS following FROM c")
+def next_chapter(s: SparkSession, d: str) -> DataFrame:
+    c = adapter.sections(s, d).select("chapter_id").distinct()
+    # the next id by a range join would compare all pairs; the least greater id is found among neighbours in buckets of 64
+    own = c.withColumn("b", F.floor(F.col("chapter_id") / 64))
+    heads = own.groupBy("b").agg(F.min("chapter_id").alias("head"))
+    w = Window.partitionBy("b").orderBy("chapter_id")
+    following = heads.select(F.lead("b").over(Window.orderBy("b")).alias("nb"), "b").join(heads.select(F.col("b").alias("nb"), F.col("head").alias("next_head")), "nb").select("b", "next_head")
+    return own.withColumn("nxt", F.lead("chapter_id").over(w)).join(following, "b", "left").select("chapter_id", F.coalesce("nxt", "next_head", F.lit(-1)).alias("following"))
+
+
+@query(" SELECT chapter_id, count(*) AS n_sections, max(section_id) - 1 AS last_index FROM sections GROUP BY 1")
+def section_order(s: SparkSession, d: str) -> DataFrame:
+    return adapter.sections(s, d).groupBy("chapter_id").agg(F.count(F.lit(1)).alias("n_sections"), (F.max("section_id") - 1).alias("last_index"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import communities, detectors, documents, graph, lookups, metrics, progress, resolve, search, tree
+from quarry.operators import communities, detectors, documents, graph, layout, lookups, metrics, progress, resolve, search, store, tree
 from quarry.sources import code, pages
 from quarry.streaming import events as ev
 
@@ -290,3 +290,27 @@ def test_git_history(spark):
     h = git_history(spark, root, 5)
     assert {"path", "author"} <= set(h.columns)
     metrics.churn(h, 3).collect()
+
+
+def test_store(spark, tmp_path):
+    parsed = code.parse_sources(spark.createDataFrame([("b.py", "python", "def g():\n    pass\n"), ("a.py", "python", PY)], "path string, language string, content string"))
+    files = store.number_files(parsed)
+    ids = {(r.symbol_id, r.file_id, r.name) for r in store.number_symbols(files).collect()}
+    assert ids == {(1, 1, "Child"), (2, 1, "run"), (3, 1, "helper"), (4, 2, "g")}
+    folder = str(tmp_path / "db")
+    for n in (1, 2):
+        store.save({"edges": spark.range(n), "users": spark.range(n)}, folder)
+    assert spark.read.parquet(f"{folder}/edges").count() == 2
+    store.clear(spark, folder)
+    assert not (tmp_path / "db" / "edges").exists() and spark.read.parquet(f"{folder}/users").count() == 2
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string")
+    assert {tuple(r) for r in store.merge(old, new, ["k"]).collect()} == {(1, "a"), (2, "B"), (3, "c")}
+    assert {tuple(r) for r in store.ignore_known(old, new, ["k"]).collect()} == {(1, "a"), (2, "b"), (3, "c")}
+    notes = spark.createDataFrame([(1, "symbol", 5, "x", False), (2, "symbol", 5, "y", True)], "id int, target_type string, target_id int, content string, flagged boolean").withColumn("created_at", F.timestamp_seconds(F.col("id")))
+    assert store.by_target(notes).first().contents == ["y", "x"] and store.toggle(notes, 1).where("flagged").count() == 2
+
+
+def test_layers(spark):
+    got = {r.symbol_id: r.layer for r in layout.layers(nodes(spark, list("abcde")), edges(spark, [(1, 2), (2, 3), (4, 5), (5, 4)])).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 3, 5: 3}
