@@ -1,11 +1,15 @@
 """A training-data pipeline over ``documents``: rules, lines, near copies, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a DataFrame; all but
-the last return the columns of ``documents``.  ``run`` writes each stage's rows to the shared folder and reads them again.
+the last return the columns of ``documents``.  ``run`` writes each stage's rows to the shared folder and reads them again;
+who calls the stages must do so too, since a stage that begins deletes the working tables of the one before.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,30 +19,53 @@ from quarry.llm.ngram_join import one_of_each
 from quarry.llm.packing import best_two_fit
 from quarry.llm.quality import keep_documents
 from quarry.llm.queries import tokenizer_path
-from quarry.llm.workspace import Workspace
+from quarry.llm.workspace import Workspace, recorded
+
+
+_spaces: list[Workspace] = []
+
+
+def _stage(f: Callable) -> Callable:
+    """``f`` as a stage: when it begins, the rows of the stage before are written, so that one's own tables go."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _spaces:
+            _spaces.pop().drop()
+        with recorded() as opened:
+            out = f(spark, docs, sf_dir)
+        _spaces.extend(opened)
+        return out
+
+    return run
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules on hosts that do not mostly fail."""
     return keep_documents(docs)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier in the corpus; a document that loses all its words goes."""
     out = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group linked by word shingles."""
     return one_of_each(docs)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     return scan_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), texts=False, keep=docs.columns).where("n_hit = 0").select(docs.columns)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
     return best_two_fit(docs, tokenizer_path())

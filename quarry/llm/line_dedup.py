@@ -81,6 +81,8 @@ def first_lines(docs: DataFrame, space: Workspace, least: int = MIN_CHARS, near:
     halves = distinct.select("h1", "h2", F.explode(F.expr(_HALVES)).alias("key"))
     met = _met(halves, space, "halves").select("h1", "h2").distinct()
     lines = space.table(distinct.join(met, ["h1", "h2"], "left_semi"), "near")
+    distinct = space.table(distinct.select("h1", "h2", "first"), "firsts")
+    space.keep_only("near", "firsts")
     placed = lines.select("h1", "h2", F.explode(F.expr(_PLACES)).alias("p")).select("h1", "h2", "p.a", "p.z", "p.key")
     where = _met(placed, space, "places").select("h1", "h2", "a", "z").distinct()
     variants = lines.join(where, ["h1", "h2"]).select("h1", "h2", F.explode(F.expr(_VARIANTS)).alias("key")).distinct()
@@ -88,7 +90,7 @@ def first_lines(docs: DataFrame, space: Workspace, least: int = MIN_CHARS, near:
     full = shared.join(lines.select("h1", "h2", "first", "norm"), ["h1", "h2"])
     earliest = full.groupBy("key").agg(F.min(F.struct("first", "norm")).alias("e"))
     gone = full.join(earliest, "key").where("e.first < first and levenshtein(norm, e.norm, 1) >= 0").select("h1", "h2").distinct()
-    return distinct.select("h1", "h2", "first").join(space.table(gone, "gone"), ["h1", "h2"], "left_anti")
+    return distinct.join(space.table(gone, "gone"), ["h1", "h2"], "left_anti")
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, near: bool = True) -> DataFrame:
@@ -102,6 +104,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, near: bool = True) -> D
     space = Workspace(docs.sparkSession, "line-dedup")
     kept = first_lines(docs, space, least, near)
     own = space.table(kept.groupBy(F.col("first.rid").alias("_q_rid")).agg(F.collect_set("first.line").alias("_q_kept")), "kept")
+    space.keep_only("kept")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*keep, F.xxhash64("doc_id", "text").alias("_q_rid")).join(own, "_q_rid", "left")
     rows = rows.withColumn("_q_lines", F.split("text", "\n", -1))

@@ -287,6 +287,7 @@ def one_of_each(docs: DataFrame, part: int = 75) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     best = rows.groupBy("root").agg(F.min(order).alias("best")).select("root", "best.rid")
     gone = rows.select("root", "rid").distinct().join(best, ["root", "rid"], "left_anti").select("rid")
+    space.keep_only("classes")
     twice = space.table(rows.groupBy("rid").count().where("count > 1").select("rid"), "twice")
     own = docs.withColumn("_q_rid", F.xxhash64("doc_id", F.col("text")))
     kept = own.join(gone.select(F.col("rid").alias("_q_rid")), "_q_rid", "left_anti")
@@ -329,6 +330,7 @@ def classes(docs: DataFrame, space: Workspace, part: int = 75) -> DataFrame:
         met = space.table(near, f"met-{turn}")
     named = sets.select("sid", "least").join(tree.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = space.table(named, "named")
+    space.keep_only("base", "named")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(lowest, "root").select("sid", "root", "component_id")
     return base.join(named, "sid", "left").select("rid", "doc_id", "sid", "n_shingles", "root", "component_id")

@@ -179,6 +179,7 @@ def repeats(docs: DataFrame, space: Workspace, window: int = WINDOW, gram: int =
 
     alone = one.where("times > 1").join(several, "key", "left_anti").select("key", "content", F.expr("array(array(0, n))").alias("spans"))
     known = space.table(sorted_.union(counted).union(alone).where("size(spans) > 0"), "known")
+    space.keep_only("blocks", "known")
     cover = found.select("rid", "key", "content", "start").join(known, ["key", "content"])
     return cover.select("rid", F.explode("spans").alias("s"), "start").select("rid", (F.col("start") + F.col("s")[0]).alias("a"), (F.col("start") + F.col("s")[1] - 1 + window).alias("b"))
 

@@ -7,6 +7,7 @@ local (tests) does a temporary folder take its place.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -31,8 +32,14 @@ def shared_root(spark: SparkSession) -> str:
 class Workspace:
     """Tables of one operator call, each written once and read back."""
 
+    #: Where :func:`recorded` notes the workspaces that are opened.
+    record: list[Workspace] | None = None
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        self.names: set[str] = set()
+        if Workspace.record is not None:
+            Workspace.record.append(self)
         self.root = f"{shared_root(spark)}/quarry/{label}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
@@ -41,6 +48,7 @@ class Workspace:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` under ``name`` and return a reader of what was written."""
         df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         self.sweep()
         return self.read(name, df.schema)
 
@@ -48,11 +56,17 @@ class Workspace:
         reader = self.spark.read
         return (reader.schema(schema) if schema is not None else reader).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing will read again."""
+    def drop(self, name: str = "") -> None:
+        """Delete a table that nothing will read again; without a name, all of them."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.discard(name)
+
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables but these, which the result still reads."""
+        for name in self.names.difference(names):
+            self.drop(name)
 
     def sweep(self) -> None:
         """Let Spark's cleaner see which shuffles are unreachable, so their files go now."""
@@ -60,5 +74,15 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def recorded():
+    """The workspaces opened inside, for a caller that knows when their tables are done with."""
+    before, Workspace.record = Workspace.record, []
+    try:
+        yield Workspace.record
+    finally:
+        Workspace.record = before
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

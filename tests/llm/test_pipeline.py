@@ -4,10 +4,10 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from .test_decontaminate import brute as brute_leaks
-from .test_native import brute_lines, measures
-from .test_ngram_join import brute as brute_links
-from .test_tokens import check_packing
+from test_decontaminate import brute as brute_leaks
+from test_native import brute_lines, measures
+from test_ngram_join import brute as brute_links
+from test_tokens import check_packing
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +15,7 @@ def stages(spark, sf_dir):
     out = [spark.read.parquet(f"{sf_dir}/documents.parquet").persist()]
     for _, stage in corpus_pipeline.STAGES:
         out.append(stage(spark, out[-1], sf_dir).persist())
+        out[-1].count()  # before the next stage begins
     return out
 
 
@@ -57,12 +58,10 @@ def test_run(spark, sf_dir, stages):
     assert corpus_pipeline.run(spark, sf_dir).count() == stages[5].count()
 
 
-def test_odd_rows(spark, empty, sf_dir):
-    from .conftest import ODD
-
+def test_odd_rows(spark, odd, empty, sf_dir):
     many = " ".join(f"w{k}" for k in range(80))
     extra = [(20, many), (20, many), (21, many + " x"), (None, many + " y\n" + "a line that is long enough to count here"), (22, None)]
-    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in ODD + extra], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows(odd) + extra], "doc_id long, text string, lang string, source string, n_chars long")
     for frame in (docs, empty.selectExpr("doc_id", "text", "score as lang", "kept as source", "cast(bucket as long) as n_chars")):
         for _, stage in corpus_pipeline.STAGES:
             frame = stage(spark, frame, sf_dir).persist()
