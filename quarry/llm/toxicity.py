@@ -26,6 +26,8 @@ from .tokens import slices
 from .workspace import Workspace
 
 FIT_ROWS, MOST_FEATURES, LEXICONS, LEAST_PRECISION = 20_000, 2_048, 5, 0.97
+#: a_i of a voter that no triplet tells anything about.
+UNKNOWN_GAP = 0.3
 #: Fixed seed lexicon: common insults.
 SEED_WORDS = frozenset("idiot idiots moron morons stupid loser losers scum trash clown pathetic worthless disgusting imbecile dumb jerk trottel depp abschaum widerlich wertlos imbécile ordure débile minable idiota imbécil basura asqueroso patético".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -96,7 +98,7 @@ def label_model(model: Model, n: int, sums: np.ndarray, products: np.ndarray, tu
     var, q = np.diag(cov), model.prior
     live = np.flatnonzero(var > 1e-6)
     spread = q * (1 - q)
-    gap = np.zeros(len(mean))  # a_i
+    gap = np.where(var > 1e-6, UNKNOWN_GAP, 0.0)  # a_i
     tied = np.zeros_like(cov)
     sd = np.sqrt(np.maximum(np.outer(var, var), 1e-12))
     for _ in range(turns):

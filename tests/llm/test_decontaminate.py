@@ -12,12 +12,15 @@ def words(text):
 
 def brute(docs, items):
     windows = [(str(i), w[k : k + min(10, len(w))]) for i, t in items for w in [words(t)] if w and i is not None for k in range(len(w) - min(10, len(w)) + 1)]
+    begins = {}
+    for item, win in windows:
+        begins.setdefault(win[0], []).append((item, win))
     out = []
     for doc, text in docs:
         ws = words(text)
         hit, found = set(), set()
-        for item, win in windows:
-            for k in range(len(ws) - len(win) + 1):
+        for k, w in enumerate(ws):
+            for item, win in begins.get(w, ()):
                 if ws[k : k + len(win)] == win:
                     hit.update(range(k, k + len(win)))
                     found.add(item)
