@@ -120,7 +120,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _met(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
-    """kind 0: sets a < b that share a block; kind 1: block key a of a crowd that holds set b.  Sets by their low 64 bits."""
+    """kind 0: sets a < b that share a block; kind 1: block key a of a crowd that holds set b and whose least set is hub.
+    Sets by their low 64 bits."""
 
     def emit(batches):
         import pyarrow as pa
@@ -180,7 +181,7 @@ def _met(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(k)))
         run = np.repeat(size, size)
-        a, b = [], []
+        a, b, hubs = [], [], np.zeros(0, np.int64)
         small = run <= SMALL
         ks, os_ = k[small], o[small]
         for step in range(1, SMALL):
@@ -193,6 +194,7 @@ def _met(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
         if len(crowd_k):
             start = np.flatnonzero(np.concatenate([[True], crowd_k[1:] != crowd_k[:-1]]))
             length = np.diff(np.append(start, len(crowd_k)))
+            hubs = np.repeat(crowd_o[start], length)  # a crowd's sets are in order
             for pivots in (start, start + np.array([int(mix(crowd_o[s : s + n].astype(np.uint64)).argmin()) for s, n in zip(start.tolist(), length.tolist())])):
                 a.append(np.repeat(crowd_o[pivots], length))
                 b.append(crowd_o)
@@ -204,10 +206,10 @@ def _met(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
         kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(crowd_k), np.int32)])
         left = np.concatenate([pairs[:, 0], crowd_k.view(np.int64)])
         right = np.concatenate([pairs[:, 1], crowd_o])
-        return pa.table({"kind": kind, "a": left, "b": right})
+        return pa.table({"kind": kind, "a": left, "b": right, "hub": np.concatenate([np.zeros(len(pairs), np.int64), hubs])})
 
     dealt = texts.select("text").mapInArrow(emit, "bucket long, data binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
+    return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, hub long")
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
@@ -316,17 +318,19 @@ def classes(docs: DataFrame, space: Workspace, part: int = 75) -> DataFrame:
         found = space.table(_verify(pairs, texts, sketches, part), f"links-{turn}")
         links = found if links is None else links.union(found)
         tree = space.table(components(links, space, f"star-{turn}"), f"tree-{turn}")
-        crowds = _open(met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("low")), texts, tree)
-        crowds = space.table(crowds, f"crowds-{turn}")
+        held = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("low"), "hub")
+        large = held.groupBy("key").count().where(F.col("count") > LARGE).select("key")
+        again = None
+        if turn + 1 < SEEDS and not large.isEmpty():
+            again = held.join(large, "key", "left_semi").select("low").distinct()
+            held = held.join(large, "key", "left_anti")
+        crowds = space.table(_open(held, texts, tree), f"crowds-{turn}")
         turn += 1
-        if crowds.isEmpty():
+        if again is None and crowds.isEmpty():
             break
-        large = crowds.groupBy("key").count().where(F.col("count") > LARGE).select("key")
-        if turn >= SEEDS or large.isEmpty():
-            near = _near(crowds, sketches, part)
-        else:
-            again = texts.join(crowds.join(large, "key", "left_semi").select("low").distinct(), "low", "left_semi")
-            near = _near(crowds.join(large, "key", "left_anti"), sketches, part).union(_met(again, turn, buckets))
+        near = _near(crowds, sketches, part)
+        if again is not None:
+            near = near.union(_met(texts.join(again, "low", "left_semi"), turn, buckets))
         met = space.table(near, f"met-{turn}")
     named = sets.select("sid", "least").join(tree.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = space.table(named, "named")
@@ -341,19 +345,22 @@ def _of_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _rows(docs).select("rid", "text").join(wanted, "rid").select("sid", "low", "text").dropDuplicates(["sid"])
 
 
-def _open(crowds: DataFrame, texts: DataFrame, tree: DataFrame) -> DataFrame:
-    """Members of those crowds whose sets are not all in one component."""
-    label = texts.select("low", "sid").join(tree.withColumnRenamed("node", "sid"), "sid", "left").select("low", F.coalesce("root", "sid").alias("root"))
-    named = crowds.join(label, "low")
-    split = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return named.join(split, "key", "left_semi").select("key", "low", F.xxhash64("root").alias("root"))
+def _open(held: DataFrame, texts: DataFrame, tree: DataFrame) -> DataFrame:
+    """hub, low, root, keys: the blocks that a set shares in the crowds of a hub, for hubs whose sets are not all in one component.
+
+    A hub's crowds are mostly the blocks of one family, so a set stands here once and not once a block.
+    """
+    members = held.groupBy("hub", "low").agg(F.collect_set("key").alias("keys"))
+    label = texts.select("low", "sid").join(tree.withColumnRenamed("node", "sid"), "sid", "left").select("low", F.xxhash64(F.coalesce("root", "sid")).alias("root"))
+    named = members.join(label, "low")
+    split = named.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hub")
+    return named.join(split, "hub", "left_semi").select("hub", "low", "root", "keys")
 
 
 def _near(crowds: DataFrame, sketches: DataFrame, part: int) -> DataFrame:
     """Pairs (kind 0) of each crowd that are in different components and whose bit sketches are near enough for a link.
 
-    Crowds with one least member (mostly the blocks of one family) are read together, so a member's sketch
-    travels once for all of them and a pair that meets in many blocks is looked at once.
+    A hub's crowds are read together, so a pair that meets in many blocks is looked at once.
     """
 
     def near(table):
@@ -387,8 +394,6 @@ def _near(crowds: DataFrame, sketches: DataFrame, part: int) -> DataFrame:
                     found.append(a[fit] * len(low) + b[fit])
         code = np.unique(np.concatenate(found))
         a, b = low[code // len(low)], low[code % len(low)]
-        return pa.table({"kind": np.zeros(len(a), np.int32), "a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table({"kind": np.zeros(len(a), np.int32), "a": np.minimum(a, b), "b": np.maximum(a, b), "hub": np.zeros(len(a), np.int64)})
 
-    hubs = crowds.groupBy("key").agg(F.min("low").alias("hub"))
-    members = crowds.join(hubs, "key").groupBy("hub", "low", "root").agg(F.collect_set("key").alias("keys"))
-    return members.join(sketches, "low").groupBy("hub").applyInArrow(near, "kind int, a long, b long")
+    return crowds.join(sketches, "low").groupBy("hub").applyInArrow(near, "kind int, a long, b long, hub long")

@@ -7,14 +7,17 @@ local (tests) does a temporary folder take its place.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import gc
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_own: dict[str, str] = {}  # folders of local applications
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,8 +27,11 @@ def shared_root(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError(f"{SETTING} must name a folder shared by all executors")
-        root = f"file://{tempfile.gettempdir()}/quarry-tests"
-        spark.conf.set(SETTING, root)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="quarry-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        root = f"file://{_own[app]}"
     return root.rstrip("/")
 
 
