@@ -31,8 +31,9 @@ class Rule:
 
 BASE = (
     Rule("assign", r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    # the longest run from its first place on is what a plain + would match, and no shorter one is kept
+    Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 MORE = (
     Rule("github", r"gh[opsu]_[A-Za-z0-9]{36,}"),
