@@ -1,6 +1,7 @@
 """Corpus-wide line deduplication by deletion neighbourhoods, in DataFrame functions only.
 
-Lines are compared in a normal form (runs of ASCII white space one space, trimmed).  A line of at least ``MIN_CHARS`` characters goes if an equal line, or one
+Lines are compared in a normal form (A-Z lower-cased, runs of ASCII white space one
+space, trimmed).  A line of at least ``MIN_CHARS`` characters goes if an equal line, or one
 within one edit (a character put in, taken out or replaced), stands earlier
 in the corpus.  The order is (doc_id, row hash, line number); null ids come first.
 
@@ -18,6 +19,10 @@ compared with the earliest of them, and no pair of a group is needed besides.
 
 from __future__ import annotations
 
+import functools
+import operator
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +35,18 @@ MIN_CHARS = 24
 _GAP = "\\x20*[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20{2,}"
 
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, _GAP, " "))
+def _gaps(text: Column) -> Column:
+    """Whether any line of ``text`` may hold a gap; found on bytes, so that texts without one meet no pattern."""
+    return functools.reduce(operator.or_, [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
+
+
+def _spaced(line: Column, gaps: Column) -> Column:
+    return F.trim(F.when(gaps, F.regexp_replace(line, _GAP, " ")).otherwise(line))
+
+
+def _folded(line: Column) -> Column:
+    """A-Z lower-cased and nothing else; ``lower`` does just that to ASCII and is far cheaper than ``translate``."""
+    return F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(F.translate(line, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def _class(n: str) -> str:
@@ -59,9 +74,10 @@ _VARIANTS = """concat(
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """rid, doc_id, line and norm of every line that is long enough."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n", -1).alias("ls"))
-    flat = rows.select("rid", "doc_id", F.posexplode("ls").alias("line", "raw")).where(F.length("raw") >= least)
-    return flat.select("rid", "doc_id", "line", normal(F.col("raw")).alias("norm")).where(F.length("norm") >= least)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), _gaps(F.col("text")).alias("gaps"), F.split("text", "\n", -1).alias("ls"))
+    flat = rows.select("rid", "doc_id", "gaps", F.posexplode("ls").alias("line", "raw")).where(F.length("raw") >= least)
+    flat = flat.select("rid", "doc_id", "line", _spaced(F.col("raw"), F.col("gaps")).alias("spaced")).where(F.length("spaced") >= least)
+    return flat.select("rid", "doc_id", "line", _folded(F.col("spaced")).alias("norm"))
 
 
 def _met(keyed: DataFrame, space: Workspace, name: str) -> DataFrame:
@@ -107,8 +123,8 @@ def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, near: bool = True) -> D
     space.keep_only("kept")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*keep, F.xxhash64("doc_id", "text").alias("_q_rid")).join(own, "_q_rid", "left")
-    rows = rows.withColumn("_q_lines", F.split("text", "\n", -1))
-    long = F.filter(F.transform("_q_lines", lambda x, i: F.when((F.length(x) >= least) & (F.length(normal(x)) >= least), i).otherwise(-1)), lambda i: i >= 0)
+    rows = rows.withColumn("_q_lines", F.split("text", "\n", -1)).withColumn("_q_gaps", _gaps(F.col("text")))
+    long = F.filter(F.transform("_q_lines", lambda x, i: F.when((F.length(x) >= least) & (F.length(_spaced(x, F.col("_q_gaps"))) >= least), i).otherwise(-1)), lambda i: i >= 0)
     rows = rows.withColumn("_q_gone", F.when(F.col("text").isNull(), F.array().cast("array<int>")).otherwise(F.array_except(long, F.coalesce("_q_kept", F.array().cast("array<int>")))))
     rows = rows.withColumn("_q_left", F.expr("array_except(sequence(0, size(_q_lines) - 1), _q_gone)"))
     text = F.when(F.size("_q_gone") == 0, F.col("text")).otherwise(F.expr("array_join(transform(_q_left, i -> _q_lines[i]), '\n')"))

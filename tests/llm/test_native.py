@@ -120,6 +120,16 @@ def test_line_dedup(spark, length):
     assert got == brute_lines(rows, line_dedup.MIN_CHARS)
 
 
+def test_line_dedup_folds_a_to_z(spark):
+    fold = lambda x: re.sub("[A-Z]+", lambda m: m[0].lower(), x)
+    ascii_, accented = "all rights reserved by the authors", "alle rechte für die größe vorbehalten"
+    rows = [(1, f"{ascii_}\n{accented}"), (2, f"{ascii_.upper()}\nAlle  Rechte für die größe\tvorbehalten\nOwn Line Of The Second Text"), (3, f"{ascii_.title()}!\nALLE RECHTE FüR DIE GRößE VORBEHALTEN"), (4, "ALLE RECHTE FÜR DIE GRÖßE VORBEHALTEN"), (5, "Short Line\nshort line\nown line of the SECOND text")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
+    assert got == {1: rows[0][1], 2: "Own Line Of The Second Text", 3: "", 4: rows[3][1], 5: "Short Line\nshort line"}
+    assert {k: fold(x) for k, x in got.items()} == brute_lines([(k, fold(x)) for k, x in rows], line_dedup.MIN_CHARS)
+
+
 def test_line_dedup_odd_rows(odd, empty):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"]
