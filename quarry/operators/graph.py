@@ -135,23 +135,78 @@ def flows(nodes: DataFrame, edges: DataFrame, entries: DataFrame, depth: int = 2
     return out.join(heads, "root").select("root", "process", "step_order", F.col("node").alias("symbol_id"), "depth", text.alias("description"))
 
 
-def cycles(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+#: So many edges one task may hold in memory at once.
+FEW_EDGES = 200_000
+
+
+def _strong(batches):
+    """(component, symbol_id) of the strongly connected components of more than one symbol, of all edges at once (Tarjan)."""
+    import pyarrow as pa
+
+    step: dict[int, list[int]] = {}
+    for batch in batches:
+        for a, b in zip(batch.column("source_id").to_pylist(), batch.column("target_id").to_pylist()):
+            step.setdefault(a, []).append(b)
+            step.setdefault(b, [])
+    index, low, held, held_set, out = {}, {}, [], set(), []
+    for root in step:
+        if root in index:
+            continue
+        path = [(root, iter(step[root]))]
+        index[root] = low[root] = len(index)
+        held.append(root)
+        held_set.add(root)
+        while path:
+            node, ways = path[-1]
+            for way in ways:
+                if way not in index:
+                    index[way] = low[way] = len(index)
+                    held.append(way)
+                    held_set.add(way)
+                    path.append((way, iter(step[way])))
+                    break
+                if way in held_set:
+                    low[node] = min(low[node], index[way])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == index[node]:
+                    k = len(held) - 1
+                    while held[k] != node:
+                        k -= 1
+                    own = held[k:]
+                    del held[k:]
+                    held_set.difference_update(own)
+                    if len(own) > 1:
+                        least = min(own)
+                        out.extend((least, x) for x in own)
+    yield pa.RecordBatch.from_pydict({"component": pa.array([c for c, _ in out], pa.int64()), "symbol_id": pa.array([x for _, x in out], pa.int64())})
+
+
+def cycles(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """component (its least symbol), symbol_id of every strongly connected component of more than one symbol.
 
     Forward-backward colouring: ends without way in or out are trimmed; the greatest id is
-    spread forward as a colour; what its holder reaches backward within the colour is one component and goes.
+    spread forward as a colour; what its holder reaches backward within the colour is one component and goes, and so do edges
+    between colours.  Every round takes at least one node, and rounds go on until no edge is left; ``few`` edges or less are finished by one task.
     """
     left = cut(edges.select("source_id", "target_id").where("source_id <> target_id").distinct())
     out = None
-    for _ in range(most_rounds):
+    while True:
         while True:
             kept = left.join(left.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi").join(left.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi")
             kept = cut(kept.select("source_id", "target_id"))
-            same = kept.count() == left.count()
+            n = kept.count()
+            same = n == left.count()
             left = kept
-            if same:
+            if same or n <= few:
                 break
-        if left.isEmpty():
+        if n == 0:
+            break
+        if n <= few:
+            own = cut(left.coalesce(1).mapInArrow(_strong, "component long, symbol_id long"))
+            out = own if out is None else out.unionByName(own)
             break
         color = cut(left.select(F.col("source_id").alias("node"), F.col("source_id").alias("color")).distinct())
         while True:
@@ -173,9 +228,9 @@ def cycles(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
             found = cut(found.unionByName(front))
         sizes = found.groupBy("color").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("component")).where("n > 1")
         own = found.join(sizes, "color").select("component", F.col("node").alias("symbol_id"))
-        out = own if out is None else out.unionByName(own)
+        out = cut(own if out is None else out.unionByName(own))
         gone = found.select("node")
-        left = cut(left.join(gone.select(F.col("node").alias("source_id")), "source_id", "left_anti").join(gone.select(F.col("node").alias("target_id")), "target_id", "left_anti").select("source_id", "target_id"))
+        left = cut(inside.join(gone.select(F.col("node").alias("source_id")), "source_id", "left_anti").join(gone.select(F.col("node").alias("target_id")), "target_id", "left_anti").select("source_id", "target_id"))
     if out is None:
         return edges.sparkSession.createDataFrame([], "component long, symbol_id long")
     return out

@@ -128,6 +128,36 @@ def test_cycles(spark, pairs, want):
     assert {tuple(r) for r in graph.cycles(edges(spark, pairs)).collect()} == want
 
 
+def chained(n):
+    """``n`` two-symbol cycles, each leading to the one before it in id, so that one round of colours takes one of them."""
+    return [p for k in range(1, n + 1) for p in [(2 * k, 2 * k - 1), (2 * k - 1, 2 * k)] + [(2 * k, 2 * k - 2)] * (k > 1)]
+
+
+def test_cycles_beyond_200_components(spark):
+    got = {tuple(r) for r in graph.cycles(edges(spark, chained(250))).collect()}
+    assert got == {(2 * k - 1, x) for k in range(1, 251) for x in (2 * k - 1, 2 * k)}
+
+
+def test_cycles_by_rounds_alone(spark):
+    got = {tuple(r) for r in graph.cycles(edges(spark, chained(3)), few=0).collect()}
+    assert got == {(2 * k - 1, x) for k in range(1, 4) for x in (2 * k - 1, 2 * k)}
+
+
+@pytest.mark.parametrize("few", [0, graph.FEW_EDGES])
+def test_cycles_at_random(spark, few):
+    rng = random.Random(3)
+    pairs = [(rng.randint(1, 40), rng.randint(1, 40)) for _ in range(70)]
+    far = {x: {x} for x in range(1, 41)}
+    for _ in range(40):
+        for a, b in pairs:
+            for seen in far.values():
+                if a in seen:
+                    seen.add(b)
+    own = {x: {y for y in far[x] if x in far[y]} for x in far}
+    want = {(min(m), x) for x, m in own.items() if len(m) > 1}
+    assert want and {tuple(r) for r in graph.cycles(edges(spark, pairs), few).collect()} == want
+
+
 def test_detectors(spark):
     method = [(k, 1, "src/a.py", "python", f"m{k}", "Method", 2 + k, 2 + k) for k in range(2, 27)]
     s = spark.createDataFrame([(1, 1, "src/a.py", "python", "Big", "Class", 1, 100), *method], SYM)
