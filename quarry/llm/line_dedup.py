@@ -13,6 +13,10 @@ for lines that met another one in the step before:
 2. a stretch of some 1/16 of the line, at every place;
 3. one character or none, at every place of a stretch that met: the deletion variants.
 
+Keys of steps 2 and 3 are put together from hashes of beginnings and ends that are taken once a line or stretch,
+so a variant reads some square root of its stretch and not the whole line.
+Lines travel as hashes; only those that met in step 1 are read again from their texts.
+
 All lines with one variant at one place are within one edit of each other, so each is
 compared with the earliest of them, and no pair of a group is needed besides.
 """
@@ -31,22 +35,24 @@ from .workspace import Workspace
 MIN_CHARS = 24
 
 
-#: White space that is not just one space.
-_GAP = "\\x20*[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20{2,}"
+#: White space within a line that is not just one space.
+_GAP = "\\x20*[\\x09\\x0B-\\x0D][\\x20\\x09\\x0B-\\x0D]*|\\x20{2,}"
 
 
-def _gaps(text: Column) -> Column:
-    """Whether any line of ``text`` may hold a gap; found on bytes, so that texts without one meet no pattern."""
-    return functools.reduce(operator.or_, [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
+def _spaced(text: Column) -> Column:
+    """A whole text with single spaces in its lines; texts without a gap, found on bytes, meet no pattern."""
+    gaps = functools.reduce(operator.or_, [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    return F.when(gaps, F.regexp_replace(text, _GAP, " ")).otherwise(text)
 
 
-def _spaced(line: Column, gaps: Column) -> Column:
-    return F.trim(F.when(gaps, F.regexp_replace(line, _GAP, " ")).otherwise(line))
+def _folded(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; ``lower`` does just that to ASCII and is far cheaper than ``translate``."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def _folded(line: Column) -> Column:
-    """A-Z lower-cased and nothing else; ``lower`` does just that to ASCII and is far cheaper than ``translate``."""
-    return F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(F.translate(line, string.ascii_uppercase, string.ascii_lowercase))
+def _normal(text: Column) -> Column:
+    """Array of a text's lines in normal form but for the spaces at their ends; the work is done once a text."""
+    return F.split(_folded(_spaced(text)), "\n", -1)
 
 
 def _class(n: str) -> str:
@@ -54,88 +60,117 @@ def _class(n: str) -> str:
     return f"cast(shiftleft(1, greatest(0, cast(floor(log2({n})) as int) - 4)) as int)"
 
 
-#: Step 1: (tag, hash) of the first and last half, as the shorter or equal line (n) and as the longer one (n - 1).
-_HALVES = """array_distinct(array(
-  xxhash64('f', n div 2, left(norm, n div 2)), xxhash64('f', (n - 1) div 2, left(norm, (n - 1) div 2)),
-  xxhash64('l', n - n div 2, right(norm, n - n div 2)), xxhash64('l', n - 1 - (n - 1) div 2, right(norm, n - 1 - (n - 1) div 2))))"""
+#: Step 1: hashes of the first and last half, as the shorter or equal line (n) and as the longer one (n - 1); one of the four is double.
+_HALVES = """if(n % 2 = 0,
+  array(xxhash64('f', n div 2, left(norm, n div 2)), xxhash64('f', n div 2 - 1, left(norm, n div 2 - 1)), xxhash64('l', n div 2, right(norm, n div 2))),
+  array(xxhash64('f', n div 2, left(norm, n div 2)), xxhash64('l', n div 2, right(norm, n div 2)), xxhash64('l', n div 2 + 1, right(norm, n div 2 + 1))))"""
+
+#: Step 2: c, and the hashes of all beginnings and ends of whole stretches, for the line as the shorter and as the longer one.
+_ENDS = f"""transform(array_distinct(array({_class("n")}, {_class("n - 1")})), c -> named_struct('c', c,
+  'least', (n + if({_class("n - 1")} = c, c - 1, c)) div c - 2, 'most', if({_class("n")} = c, n, n - 1) div c,
+  'heads', transform(sequence(0, n div c), i -> xxhash64(left(norm, i * c))),
+  'tails', transform(sequence(0, n div c), i -> xxhash64(right(norm, i * c)))))"""
+#: What is kept is i stretches before and t - i after; which t are needed follows from where an edit can be.
+_PLACES = """flatten(transform(ends, p -> flatten(transform(sequence(greatest(0, p.least), p.most),
+  t -> transform(sequence(0, t), i -> named_struct('c', p.c, 'a', i * p.c, 'z', n - (t - i) * p.c,
+    'key', xxhash64(p.c, t, i, p.heads[i], p.tails[t - i])))))))"""
+
+#: Step 3, on the middle between a place's beginning and end: its pieces of s characters from either side, and hashes of what lies beyond them ...
+_STEPS = """array(
+  transform(sequence(0, m div s), k -> named_struct('h', xxhash64(left(middle, k * s)), 'own', substring(middle, k * s + 1, s))),
+  transform(sequence(0, m div s), k -> named_struct('h', xxhash64(right(middle, k * s)), 'own', right(left(middle, m - k * s), s))))"""
+#: ... the line without character x, and the whole line as one into which a character may be put at x: what is left of x, what is right of it.
+_VARIANTS = """concat(
+  if(m = 0, array(), transform(sequence(1, m), x -> named_struct('p', x - 1, 'd', 1, 'key', xxhash64(key, x, e[0][(x - 1) div s].h, left(e[0][(x - 1) div s].own, (x - 1) % s), e[1][(m - x) div s].h, right(e[1][(m - x) div s].own, (m - x) % s))))),
+  transform(sequence(1, m + 1), x -> named_struct('p', x - 1, 'd', 0, 'key', xxhash64(key, x, e[0][(x - 1) div s].h, left(e[0][(x - 1) div s].own, (x - 1) % s), e[1][(m - x + 1) div s].h, right(e[1][(m - x + 1) div s].own, (m - x + 1) % s)))))"""
 
-#: Step 2: what is kept is i stretches before and t - i after; which t are needed follows from where an edit can be.
-_PLACES = f"""array_distinct(flatten(transform(
-  array(named_struct('c', {_class("n")}, 'n', n), named_struct('c', {_class("n - 1")}, 'n', n - 1)),
-  p -> flatten(transform(sequence(greatest(0, (p.n + 1 + p.c - 1) div p.c - 2), p.n div p.c),
-    t -> transform(sequence(0, t), i -> named_struct('a', i * p.c, 'z', n - (t - i) * p.c, 'key',
-      xxhash64(p.c, t, i, left(norm, i * p.c), right(norm, (t - i) * p.c)))))))))"""
 
-#: Step 3: the line without character x, and the whole line as one into which a character may be put at x.
-_VARIANTS = """concat(
-  transform(sequence(a, z - 1), x -> xxhash64(x, left(norm, x), right(norm, n - x - 1))),
-  transform(sequence(a, z), x -> xxhash64(x, left(norm, x), right(norm, n - x))))"""
+def _rows(docs: DataFrame) -> DataFrame:
+    """A row is known by its doc_id and a hash of it and the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """rid, doc_id, line and norm of every line that is long enough."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), _gaps(F.col("text")).alias("gaps"), F.split("text", "\n", -1).alias("ls"))
-    flat = rows.select("rid", "doc_id", "gaps", F.posexplode("ls").alias("line", "raw")).where(F.length("raw") >= least)
-    flat = flat.select("rid", "doc_id", "line", _spaced(F.col("raw"), F.col("gaps")).alias("spaced")).where(F.length("spaced") >= least)
-    return flat.select("rid", "doc_id", "line", _folded(F.col("spaced")).alias("norm"))
+    """doc_id, rid, line and norm of every line that is long enough."""
+    flat = _rows(docs).select("doc_id", "rid", F.posexplode(_normal(F.col("text"))).alias("line", "raw")).where(F.octet_length("raw") >= least)
+    return flat.select("doc_id", "rid", "line", F.trim("raw").alias("norm")).where(F.length("norm") >= least)
 
 
-def _met(keyed: DataFrame, space: Workspace, name: str) -> DataFrame:
+def _met(keyed: DataFrame) -> DataFrame:
     """Rows of ``keyed`` whose key another line has too."""
-    keyed = space.table(keyed, name)
     shared = keyed.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key")
     return keyed.join(shared, "key", "left_semi")
 
 
+def _again(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """h1, h2, first, norm, n of distinct lines, read from the texts in which they stand first."""
+    places = asked.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.rid").alias("_rid")).agg(F.collect_list(F.struct("first", "h1", "h2")).alias("asked"))
+    texts = _rows(docs)
+    texts = texts.join(places, texts["doc_id"].eqNullSafe(places["_doc"]) & (texts["rid"] == places["_rid"])).select(_normal(F.col("text")).alias("ls"), "asked")
+    found = texts.select("ls", F.explode("asked").alias("x")).select("x.h1", "x.h2", "x.first", F.trim(F.get("ls", F.col("x.first.line"))).alias("norm"))
+    return found.dropDuplicates(["h1", "h2"]).withColumn("n", F.length("norm"))
+
+
 def first_lines(docs: DataFrame, space: Workspace, least: int = MIN_CHARS, near: bool = True) -> DataFrame:
     """h1, h2 (hashes of a distinct line) and ``first`` (doc_id, rid, line) of those lines that are kept."""
     place = F.struct("doc_id", "rid", "line")
-    distinct = _lines(docs, least).groupBy(F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2")).agg(F.min(place).alias("first"), F.first("norm").alias("norm"))
-    distinct = space.table(distinct.withColumn("n", F.length("norm")), "distinct")
+    each = _lines(docs, least).select("doc_id", "rid", "line", "norm", F.length("norm").alias("n"))
+    each = each.select(F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2"), place.alias("place"), *([F.expr(_HALVES).alias("halves")] if near else []))
+    distinct = each.groupBy("h1", "h2").agg(F.min("place").alias("first"), *([F.first("halves").alias("halves")] if near else []))
+    distinct = space.table(distinct, "distinct")
+    firsts = distinct.select("h1", "h2", "first")
     if not near:
-        return distinct.select("h1", "h2", "first")
-    halves = distinct.select("h1", "h2", F.explode(F.expr(_HALVES)).alias("key"))
-    met = _met(halves, space, "halves").select("h1", "h2").distinct()
-    lines = space.table(distinct.join(met, ["h1", "h2"], "left_semi"), "near")
-    distinct = space.table(distinct.select("h1", "h2", "first"), "firsts")
-    space.keep_only("near", "firsts")
-    placed = lines.select("h1", "h2", F.explode(F.expr(_PLACES)).alias("p")).select("h1", "h2", "p.a", "p.z", "p.key")
-    where = _met(placed, space, "places").select("h1", "h2", "a", "z").distinct()
-    variants = lines.join(where, ["h1", "h2"]).select("h1", "h2", F.explode(F.expr(_VARIANTS)).alias("key")).distinct()
-    shared = space.table(_met(variants, space, "variants"), "shared")
-    full = shared.join(lines.select("h1", "h2", "first", "norm"), ["h1", "h2"])
-    earliest = full.groupBy("key").agg(F.min(F.struct("first", "norm")).alias("e"))
-    gone = full.join(earliest, "key").where("e.first < first and levenshtein(norm, e.norm, 1) >= 0").select("h1", "h2").distinct()
-    return distinct.join(space.table(gone, "gone"), ["h1", "h2"], "left_anti")
-
-
-def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, near: bool = True) -> DataFrame:
-    """``docs`` with ``text`` cut down to its kept lines, and ``n_lines``, ``n_removed``.
+        return firsts
+    met = _met(distinct.select("h1", "h2", F.explode("halves").alias("key"))).select("h1", "h2").distinct()
+    lines = space.table(_again(docs, firsts.join(met, ["h1", "h2"], "left_semi")), "near")
+    placed = lines.select("h1", "h2", "n", F.expr(_ENDS).alias("ends")).select("h1", "h2", F.explode(F.expr(_PLACES)).alias("p")).select("h1", "h2", "p.*")
+    where = _met(space.table(placed, "places"))
+    middle = F.expr("substring(norm, a + 1, z - a)")
+    s = F.expr("cast(shiftleft(1, (cast(log2(c) as int) + 1) div 2) as int)")
+    parts = lines.join(where, ["h1", "h2"]).select("h1", "h2", "key", "a", middle.alias("middle"), F.length(middle).alias("m"), s.alias("s")).withColumn("e", F.expr(_STEPS))
+    variants = parts.select("h1", "h2", "a", F.explode(F.expr(_VARIANTS)).alias("v")).select("h1", "h2", "v.key", (F.col("a") + F.col("v.p")).alias("p"), "v.d")
+    shared = space.table(_met(space.table(variants, "variants")), "shared")
+    # the two sides of the edit, compared as they are, verify an edit distance of one at most in one pass over the line
+    sides = F.struct("first", F.expr("left(norm, p)").alias("a"), F.expr("right(norm, n - p - d)").alias("z"))
+    full = shared.join(lines.select("h1", "h2", "first", "norm", "n"), ["h1", "h2"]).select("h1", "h2", "key", sides.alias("own"))
+    earliest = full.groupBy("key").agg(F.min("own").alias("e"))
+    gone = full.join(earliest, "key").where("e.first < own.first and e.a = own.a and e.z = own.z").select("h1", "h2").distinct()
+    gone = space.table(gone, "gone")
+    space.keep_only("distinct", "gone")
+    return firsts.join(gone, ["h1", "h2"], "left_anti")
+
+
+def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, near: bool = True, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with ``text`` cut down to its kept lines, and how many lines it had and lost (columns ``counts``).
 
     A null text stays null (no lines); an empty text has one, empty line.  Lines below ``least``
-    characters always stay.  Rows alike in doc_id and text are one document: they
-    keep the same lines.  All columns of ``docs`` come back; ``n_lines`` and
-    ``n_removed`` replace columns of that name.  An empty table gives no rows.
+    characters always stay.  A very long text or line is taken whole; a line's cost grows a little faster than its length.
+    Of equal lines the one of the least (doc_id, row hash, line number) stays.  Rows alike in doc_id and text are one document: they
+    keep the same lines.  All columns of ``docs`` come back (names that begin with _q_ are kept for this package), but those named as ``counts`` say are replaced.
+    An empty table gives no rows.
     """
     space = Workspace(docs.sparkSession, "line-dedup")
     kept = first_lines(docs, space, least, near)
-    own = space.table(kept.groupBy(F.col("first.rid").alias("_q_rid")).agg(F.collect_set("first.line").alias("_q_kept")), "kept")
+    own = space.table(kept.groupBy(F.col("first.doc_id").alias("_q_doc"), F.col("first.rid").alias("_q_kept_rid")).agg(F.collect_set("first.line").alias("_q_kept")), "kept")
     space.keep_only("kept")
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(*keep, F.xxhash64("doc_id", "text").alias("_q_rid")).join(own, "_q_rid", "left")
-    rows = rows.withColumn("_q_lines", F.split("text", "\n", -1)).withColumn("_q_gaps", _gaps(F.col("text")))
-    long = F.filter(F.transform("_q_lines", lambda x, i: F.when((F.length(x) >= least) & (F.length(_spaced(x, F.col("_q_gaps"))) >= least), i).otherwise(-1)), lambda i: i >= 0)
-    rows = rows.withColumn("_q_gone", F.when(F.col("text").isNull(), F.array().cast("array<int>")).otherwise(F.array_except(long, F.coalesce("_q_kept", F.array().cast("array<int>")))))
-    rows = rows.withColumn("_q_left", F.expr("array_except(sequence(0, size(_q_lines) - 1), _q_gone)"))
-    text = F.when(F.size("_q_gone") == 0, F.col("text")).otherwise(F.expr("array_join(transform(_q_left, i -> _q_lines[i]), '\n')"))
-    done = rows.withColumn("text", text).withColumn("n_lines", F.coalesce(F.size("_q_lines"), F.lit(0)).cast("long")).withColumn("n_removed", F.size("_q_gone").cast("long"))
-    return done.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).select(*keep, "n_lines", "n_removed")
+    keep = [c for c in docs.columns if c not in counts]
+    rows = docs.select(*keep, F.xxhash64("doc_id", "text").alias("_q_rid"), F.col("doc_id").cast("long").alias("_q_id"))
+    rows = rows.join(own, (F.col("_q_rid") == F.col("_q_kept_rid")) & F.col("_q_id").eqNullSafe(F.col("_q_doc")), "left")
+    rows = rows.withColumn("_q_lines", F.split("text", "\n", -1)).withColumn("_q_spaced", F.split(_spaced(F.col("text")), "\n", -1))
+    none = F.array().cast("array<int>")
+    long = F.filter(F.transform("_q_spaced", lambda x, i: F.when((F.octet_length(x) >= least) & (F.length(F.trim(x)) >= least), i).otherwise(-1)), lambda i: i >= 0)
+    rows = rows.withColumn("_q_long", F.coalesce(long, none)).withColumn("_q_gone", F.when(F.size("_q_long") == F.size(F.coalesce("_q_kept", none)), none).otherwise(F.array_except("_q_long", F.coalesce("_q_kept", none))))
+    left = "array_join(transform(array_except(sequence(0, size(_q_lines) - 1), _q_gone), i -> _q_lines[i]), '\n')"
+    text = F.when(F.size("_q_gone") == 0, F.col("text")).otherwise(F.expr(left))
+    n = F.greatest(F.coalesce(F.size("_q_lines"), F.lit(0)), F.lit(0)).cast("long")
+    done = rows.withColumns({"text": text, "_q_n": n, "_q_removed": F.size("_q_gone").cast("long")})
+    return done.select(*keep, F.col("_q_n").alias(counts[0]), F.col("_q_removed").alias(counts[1]))
 
 
 SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM d),
-n AS (SELECT *, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM l),
+n AS (SELECT *, translate(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM l),
 e AS (SELECT norm, length(norm) AS z, min((doc_id, line)) AS first FROM n WHERE length(norm) >= 24 GROUP BY norm),
 k AS (
   SELECT DISTINCT norm, z, first, unnest([

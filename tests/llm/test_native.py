@@ -130,6 +130,22 @@ def test_line_dedup_folds_a_to_z(spark):
     assert {k: fold(x) for k, x in got.items()} == brute_lines([(k, fold(x)) for k, x in rows], line_dedup.MIN_CHARS)
 
 
+def test_line_dedup_long_lines(spark):
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefgh ij") for _ in range(60_000)).replace("  ", " x").strip()
+    rows = [(1, line), (2, line[:31_000] + line[31_001:]), (3, "z" + line), (4, line[:50] + "Q" + line[51:]), (5, line[:100] + "qq" + line[100:]), (6, line[:-1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: len(r.text) for r in line_dedup.dedup_lines(frame).collect()}
+    assert got == {1: len(line), 2: 0, 3: 0, 4: 0, 5: len(line) + 2, 6: 0}
+
+
+def test_line_dedup_counts_under_other_names(spark):
+    frame = spark.createDataFrame([(1, "a line that is long enough to count", -5, -6)] * 2, "doc_id long, text string, n_lines long, n_removed long")
+    out = line_dedup.dedup_lines(frame.union(frame.withColumn("doc_id", F.lit(2))), counts=("_q_n", "_q_gone"))
+    assert out.columns == ["doc_id", "text", "n_lines", "n_removed", "_q_n", "_q_gone"]
+    assert {tuple(r)[1:] for r in out.where("doc_id = 2").collect()} == {("", -5, -6, 1, 1)}
+
+
 def test_line_dedup_odd_rows(odd, empty):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"]
