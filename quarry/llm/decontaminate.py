@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tokens import slices
+from .workspace import Workspace
 
 WINDOW = 10
 #: Bytes that part words: all ASCII but digits and lower-case letters, after A-Z became a-z.
@@ -71,40 +72,35 @@ def cut_spans(text: str, hit: np.ndarray) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
-def _item_blocks(benchmark: DataFrame, most_chars: int) -> list[list[tuple]]:
-    """Items in blocks whose texts have ``most_chars`` characters at most (or one item), read one block at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    blocks, own, size = [], [], 0
-    for row in items.orderBy("item", "text").toLocalIterator():
-        if own and size + len(row["text"]) > most_chars:
-            blocks.append(own)
-            own, size = [], 0
-        own.append((row["item"], row["text"]))
-        size += len(row["text"])
-    return [*blocks, own] if own else blocks
-
-
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_chars: int = 8_000_000, texts: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` and the benchmark windows found in each.
-
-    Adds ``hits`` (array of word spans [from, to)), ``items`` (sorted item ids), ``n_words``, ``n_hit``
-    and ``clean_text`` (hit spans cut out; null where the text is null) to doc_id and text.
-    Without ``texts`` both texts come back null, which spares their way back from Python.  ``keep`` names
-    columns of ``docs`` that come back instead of doc_id and text; one named like a result must not be in it.
-
-    The set that is broadcast is bounded: up to ``most_chars`` characters of items go out at once.
-    A larger benchmark is a stated query set run in blocks of that size: each block scans all
-    documents, and the marks of earlier blocks travel along.
-    Null and empty texts have no words; a null item_id or text is no item.
-    """
+def _item_blocks(benchmark: DataFrame, space: Workspace, most_chars: int) -> tuple[DataFrame, list[int]]:
+    """Items in a written table by ``block``, and the blocks' numbers.  A block's texts have ``most_chars`` characters at most, or it is one item."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null").distinct()
+    items = space.table(items.withColumn("h", F.xxhash64("item", "text")), "items")
+    total, count = items.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
+    n = max(1, -(-(total or 0) // most_chars))
+    while True:
+        dealt = items.withColumn("block", F.pmod("h", F.lit(n)).cast("int"))
+        if n == 1 and (total or 0) <= most_chars:
+            break
+        over = dealt.groupBy("block").agg(F.sum(F.length("text")).alias("size"), F.count(F.lit(1)).alias("n")).where((F.col("size") > most_chars) & (F.col("n") > 1))
+        if n > 4 * count or over.isEmpty():
+            break
+        n *= 2
+    table = space.table(dealt.drop("h"), "blocks")
+    return table, sorted(r[0] for r in table.select("block").distinct().collect())  # numbers
+
+
+def _scan(docs: DataFrame, row: list, benchmark: DataFrame, window: int, most_chars: int, texts: bool) -> DataFrame:
+    """row, text, n_words, n_hit, hits, items and clean_text of every document; ``row`` is a struct of the given columns."""
     spark = docs.sparkSession
-    own = [F.col(c) for c in keep] if keep else [F.col("doc_id").cast("long").alias("doc_id")]
-    out = docs.select(F.struct(*own).alias("row"), "text", F.lit(None).cast("array<array<int>>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    space = Workspace(spark, "decontaminate")
+    out = docs.select(F.struct(*row).alias("row"), F.col("text"), F.lit(None).cast("array<array<int>>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     schema = T.StructType([T.StructField("row", out.schema["row"].dataType), *T.StructType.fromDDL("text string, n_words long, n_hit long, hits array<array<int>>, items array<string>, clean_text string").fields])
-    benchmark = benchmark.where("item_id is not null and text is not null")
-    blocks = _item_blocks(benchmark, most_chars) or [[]]
-    for number, block in enumerate(blocks, 1):
-        sent, bare = spark.sparkContext.broadcast(block), not texts and number == len(blocks)
+    table, numbers = _item_blocks(benchmark, space, most_chars)
+    for turn, number in enumerate(numbers or [0], 1):
+        last = turn >= len(numbers)
+        block = [(r["item"], r["text"]) for r in table.where(F.col("block") == number).orderBy("item", "text").collect()]  # one block at a time
+        sent, bare = spark.sparkContext.broadcast(block), not texts and last
 
         def scan(batches, sent=sent, bare=bare):
             import pyarrow as pa
@@ -129,8 +125,35 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 )
 
         out = out.select("row", "text", "hits", "items").mapInArrow(scan, schema)
-    found = ["n_words", "n_hit", "hits", "items", "clean_text"]
-    return out.select("row.*", *([] if keep else ["text"]), *found)
+        if not last:  # what this block found is written, so its items may leave the driver
+            out = space.table(out, f"scanned-{turn}")
+            sent.destroy()
+            if turn > 1:
+                space.drop(f"scanned-{turn - 1}")
+    return out
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_chars: int = 8_000_000, texts: bool = True) -> DataFrame:
+    """doc_id and text of ``docs``, and the benchmark windows found in each.
+
+    Adds ``hits`` (array of word spans [from, to)), ``items`` (sorted item ids), ``n_words``, ``n_hit``
+    and ``clean_text`` (hit spans cut out; null where the text is null).
+    Without ``texts`` both texts come back null, which spares their way back from Python.
+
+    The set that is broadcast is bounded: up to ``most_chars`` characters of items (or one item) are held by the driver and go out at once.
+    A larger benchmark is a stated query set run in blocks of that size: each block scans all
+    documents, and the marks of earlier blocks travel along in a written table.
+    Null and empty texts have no words; a null item_id or text is no item.  A very long text is scanned whole, in time proportional to its words.
+    An item that several windows or rows share, or that stands twice, counts once (no ties to break); repeated rows are scanned each.
+    An empty table gives no rows, an empty benchmark no hits; other columns are ignored, whatever their names.
+    """
+    found = _scan(docs, [F.col("doc_id").cast("long").alias("doc_id")], benchmark, window, most_chars, texts)
+    return found.select("row.doc_id", "text", "n_words", "n_hit", "hits", "items", "clean_text")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_chars: int = 8_000_000) -> DataFrame:
+    """The rows of ``docs`` without any hit, with all their columns, whatever their names; else as :func:`scan_documents`."""
+    return _scan(docs, [F.col(c) for c in docs.columns], benchmark, window, most_chars, False).where("n_hit = 0").select("row.*")
 
 
 def items_digest(items: list) -> str:

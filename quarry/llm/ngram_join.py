@@ -17,8 +17,9 @@ Sets that meet are verified on their exact shingles.  In a run of up to ``SMALL`
 pair is verified; a larger run (a crowd) is verified against two pivots.  In a crowd
 that these links leave in more than one component, the pairs between components whose
 bit sketches are near enough (their Hamming distance, too, is a lower bound of the
-difference) are verified; the others are no links.  A crowd of more than ``LARGE`` sets is first
-sketched again with other seeds, which part sets that met by chance.
+difference) are verified; the others are no links.  That comparison is cut into tiles of two blocks of some ``TILE`` sets, each a
+task's group of its own; the largest component is never compared with itself.  A crowd of more than ``LARGE`` sets is first
+sketched again with other seeds, which part sets that met by chance; what ``SEEDS`` turns leave is compared in tiles like any other.
 So no link between different components is lost, and no group emits all its pairs.
 """
 
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .shingles import linked, mix, shingle_sets
 from .tokens import slices as cut
-from .workspace import Workspace, partitions
+from .workspace import Workspace, partitions, row_id
 
-SMALL, LARGE, SEEDS, FLUSH, PER_BUCKET = 16, 16_384, 3, 2_000_000, 4_000_000
+SMALL, LARGE, SEEDS, FLUSH, PER_BUCKET, TILE = 16, 16_384, 3, 2_000_000, 4_000_000, 512
 SKETCH_BITS = 4096
 
 
@@ -99,7 +100,7 @@ def _low(sid: bytes) -> int:
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    """rid (row hash), doc_id, sid (128-bit hash of the set), low (its first 64 bits), n_shingles."""
+    """rid (128-bit row hash), doc_id, sid (128-bit hash of the set), low (its first 64 bits), n_shingles."""
 
     def read(batches):
         import pyarrow as pa
@@ -112,11 +113,11 @@ def _base(docs: DataFrame) -> DataFrame:
                 ["rid", "doc_id", "sid", "low", "n_shingles"],
             )
 
-    return _rows(docs).mapInArrow(read, "rid long, doc_id long, sid binary, low long, n_shingles long")
+    return _rows(docs).mapInArrow(read, "rid struct<x: bigint, y: bigint>, doc_id long, sid binary, low long, n_shingles long")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return docs.select(row_id("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
 
 def _met(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
@@ -274,7 +275,7 @@ def ngram_join(docs: DataFrame, part: int = 75) -> DataFrame:
     Two rows link where 100 x shared shingles >= ``part`` x all shingles; component_id is the
     smallest doc_id reachable by links.  A null or text without words has no shingles, is its
     own component and links with nothing.  Equal sets (copies, repeated rows) are one node
-    and count once however many there are.  An empty table gives no rows; other columns are ignored.
+    and count once however many there are; a tie at the threshold links.  A very long text's set is compared whole.  An empty table gives no rows; other columns are ignored.
     """
     rows = classes(docs, Workspace(docs.sparkSession, "ngram-join"), part)
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -291,7 +292,7 @@ def one_of_each(docs: DataFrame, part: int = 75) -> DataFrame:
     gone = rows.select("root", "rid").distinct().join(best, ["root", "rid"], "left_anti").select("rid")
     space.keep_only("classes")
     twice = space.table(rows.groupBy("rid").count().where("count > 1").select("rid"), "twice")
-    own = docs.withColumn("_q_rid", F.xxhash64("doc_id", F.col("text")))
+    own = docs.withColumn("_q_rid", row_id("doc_id", "text"))
     kept = own.join(gone.select(F.col("rid").alias("_q_rid")), "_q_rid", "left_anti")
     if not twice.isEmpty():
         again = twice.select(F.col("rid").alias("_q_rid"))
@@ -324,7 +325,8 @@ def classes(docs: DataFrame, space: Workspace, part: int = 75) -> DataFrame:
         if turn + 1 < SEEDS and not large.isEmpty():
             again = held.join(large, "key", "left_semi").select("low").distinct()
             held = held.join(large, "key", "left_anti")
-        crowds = space.table(_open(held, texts, tree), f"crowds-{turn}")
+        crowds = space.table(_open(held, texts, tree, space, turn), f"crowds-{turn}")
+        space.drop(f"named-{turn}")
         turn += 1
         if again is None and crowds.isEmpty():
             break
@@ -345,55 +347,68 @@ def _of_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _rows(docs).select("rid", "text").join(wanted, "rid").select("sid", "low", "text").dropDuplicates(["sid"])
 
 
-def _open(held: DataFrame, texts: DataFrame, tree: DataFrame) -> DataFrame:
-    """hub, low, root, keys: the blocks that a set shares in the crowds of a hub, for hubs whose sets are not all in one component.
+def _open(held: DataFrame, texts: DataFrame, tree: DataFrame, space: Workspace, turn: int) -> DataFrame:
+    """hub, low, root, keys (the blocks that a set shares in the crowds of a hub), top (the hub's largest component), x and o (how many
+    sets are in it, and not), for hubs whose sets are not all in one component.
 
     A hub's crowds are mostly the blocks of one family, so a set stands here once and not once a block.
     """
     members = held.groupBy("hub", "low").agg(F.collect_set("key").alias("keys"))
     label = texts.select("low", "sid").join(tree.withColumnRenamed("node", "sid"), "sid", "left").select("low", F.xxhash64(F.coalesce("root", "sid")).alias("root"))
-    named = members.join(label, "low")
-    split = named.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hub")
-    return named.join(split, "hub", "left_semi").select("hub", "low", "root", "keys")
+    named = space.table(members.join(label, "low"), f"named-{turn}")
+    parts = named.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"))
+    hubs = parts.groupBy("hub").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("x"), (F.sum("n") - F.max("n")).alias("o")).where("o > 0")
+    hubs = space.table(hubs, f"hubs-{turn}")  # written, so that the join below may split a hub
+    return named.join(hubs, "hub").select("hub", "low", "root", "keys", "top", "x", "o")
+
+
+#: Tiles of a set: those outside the largest component are compared with each other and with those inside.
+_TILES = """if(root = top,
+  transform(sequence(0, bo - 1), j -> named_struct('i', j, 'j', b, 'inner', false, 'side', 1)),
+  concat(transform(sequence(0, bx - 1), j -> named_struct('i', b, 'j', j, 'inner', false, 'side', 0)),
+         transform(sequence(0, bo - 1), j -> named_struct('i', least(b, j), 'j', greatest(b, j), 'inner', true, 'side', cast(b > j as int)))))"""
 
 
 def _near(crowds: DataFrame, sketches: DataFrame, part: int) -> DataFrame:
     """Pairs (kind 0) of each crowd that are in different components and whose bit sketches are near enough for a link.
 
-    A hub's crowds are read together, so a pair that meets in many blocks is looked at once.
+    A hub's crowds are read together, tile by tile, so a pair that meets in many blocks is looked at once.
     """
 
     def near(table):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        low, root, n = (table.column(c).to_numpy() for c in ("low", "root", "n"))
+        low, root, n, side = (table.column(c).to_numpy() for c in ("low", "root", "n", "side"))
+        alone = bool((side == side[0]).all())  # a block with itself, or a tile of which one side is empty
+        if alone and not (table.column("inner")[0].as_py() and table.column("i")[0] == table.column("j")[0]):
+            return none
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(low), -1)
         lists = table.column("keys").combine_chunks()
         keys, whose = lists.flatten().to_numpy(), np.repeat(np.arange(len(low)), pc.list_value_length(lists).to_numpy())
         order = np.lexsort((whose, keys))
         keys, whose = keys[order], whose[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        seen = np.zeros((len(low), len(low)), bool) if len(low) <= 4096 else None
+        open_ = root[:, None] != root[None, :]
+        open_ &= np.triu(open_) if alone else (side[:, None] < side[None, :])
         found = [np.zeros(0, np.int64)]
         for start, end in zip(first.tolist(), np.append(first[1:], len(keys)).tolist()):
-            own = whose[start:end]
-            step = max(1, 1_000_000 // len(own))
-            for at in range(0, len(own), step):
-                rows = own[at : at + step]
-                new = (root[rows][:, None] != root[own][None, :]) & (rows[:, None] < own[None, :])
-                if seen is not None:
-                    block = np.ix_(rows, own)
-                    new &= ~seen[block]
-                    seen[block] = True
-                x, y = np.nonzero(new)
-                x, y = rows[x], own[y]
-                for cut_at in range(0, len(x), 20_000):
-                    a, b = x[cut_at : cut_at + 20_000], y[cut_at : cut_at + 20_000]
-                    fit = _fit(bits[a], bits[b], n[a], n[b], part)
-                    found.append(a[fit] * len(low) + b[fit])
-        code = np.unique(np.concatenate(found))
+            block = np.ix_(whose[start:end], whose[start:end])
+            x, y = np.nonzero(open_[block])
+            open_[block] = False
+            x, y = whose[start:end][x], whose[start:end][y]
+            for cut_at in range(0, len(x), 20_000):
+                a, b = x[cut_at : cut_at + 20_000], y[cut_at : cut_at + 20_000]
+                fit = _fit(bits[a], bits[b], n[a], n[b], part)
+                found.append(a[fit] * len(low) + b[fit])
+        code = np.concatenate(found)
         a, b = low[code // len(low)], low[code % len(low)]
         return pa.table({"kind": np.zeros(len(a), np.int32), "a": np.minimum(a, b), "b": np.maximum(a, b), "hub": np.zeros(len(a), np.int64)})
 
-    return crowds.join(sketches, "low").groupBy("hub").applyInArrow(near, "kind int, a long, b long, hub long")
+    import pyarrow as pa
+
+    none = pa.table({"kind": np.zeros(0, np.int32), **{c: np.zeros(0, np.int64) for c in ("a", "b", "hub")}})
+    sized = crowds.withColumns({"bo": F.ceil(F.col("o") / TILE), "bx": F.ceil(F.col("x") / TILE)})
+    dealt = sized.withColumn("b", F.pmod(F.xxhash64("low"), F.when(F.col("root") == F.col("top"), F.col("bx")).otherwise(F.col("bo"))))
+    dealt = dealt.join(sketches, "low").select("hub", "low", "root", "keys", "n", "bits", F.explode(F.expr(_TILES)).alias("t")).select("hub", "low", "root", "keys", "n", "bits", "t.*")
+    return dealt.groupBy("hub", "i", "j", "inner").applyInArrow(near, "kind int, a long, b long, hub long")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, row_id
 
 #: Documents of one posting block.
 BLOCK = 4096
@@ -85,42 +85,62 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
     return None if frozenset() in queries else sorted(least, key=sorted)
 
 
+_NONE = "cast(array() as array<struct<start: int, kind: string, end: int>>)"
+#: Matches are summed up in chunks of so many, so that places cost little more than one step a match.
+CHUNK = 128
+
+
 def spans(rule: Rule, text: Column) -> Column:
     """array<struct<start, kind, end>> of a rule's leftmost matches, in code points, end exclusive.
 
-    The n-th match is looked up by its text from the end of the one before: without look-around,
-    an earlier occurrence of that text would itself have been matched there.
+    A match begins after all matches and all gaps (what the pattern splits the text into) before it.
     """
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    zero = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<start: int, kind: string, end: int>>)").alias("out"))
 
-    def step(acc, m):
-        at = F.call_function("locate", m, text, acc["at"])
-        size = F.length(F.regexp_extract(m, rule.pattern, rule.group)) if rule.group else F.length(m)
-        own = F.struct((at - 1).alias("start"), F.lit(rule.name).alias("kind"), (at - 1 + F.length(m)).alias("end"))
-        return F.struct((at + F.length(m)).alias("at"), F.when(size >= rule.least, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
+    def placed(found):
+        gaps = F.split(text, rule.pattern, -1)
+        size = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) if rule.group else F.length(m)
+        items = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), size(m).alias("size")))
+        chunks = F.transform(F.array(items), lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda c: F.slice(x, c * CHUNK + 1, F.lit(CHUNK))))[0]
+
+        def run(chunk, at):
+            def step(acc, m):
+                start = acc["at"] + m["gap"]
+                own = F.struct(start.alias("start"), F.when(m["size"] >= rule.least, F.lit(rule.name)).alias("kind"), (start + m["n"]).alias("end"))
+                return F.struct((start + m["n"]).alias("at"), F.array_append(acc["out"], own).alias("out"))
+
+            return F.aggregate(chunk, F.struct(at.alias("at"), F.expr(_NONE).alias("out")), step, lambda acc: acc["out"])
+
+        def all_(parts):
+            total = F.transform(parts, lambda ch: F.aggregate(ch, F.lit(0), lambda n, m: n + m["gap"] + m["n"]))
+            zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+            begins = F.aggregate(total, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+            return F.flatten(F.zip_with(parts, begins, run))
+
+        return F.filter(F.transform(F.array(chunks), all_)[0], lambda s: s["kind"].isNotNull())
 
-    return F.aggregate(found, zero, step, lambda acc: acc["out"])
+    # a one-element array binds the matches, so they are sought once
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.expr(_NONE)))[0]
 
 
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int = BLOCK) -> DataFrame:
     """doc_id and ``spans`` (sorted by start, then by the rules' order) of every row.
 
-    A null or empty text has no spans; repeated rows are scanned once and returned
+    A null or empty text has no spans; a very long text is scanned whole, in time that grows little faster than its length; spans of
+    different rules may overlap or start together (then in the rules' order); repeated rows are scanned once and returned
     each; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "secrets")
     asked = {r.name: trigram_query(r.pattern) for r in rules}
     grams = sorted({g for q in asked.values() if q for way in q for g in way})
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(row_id("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     low = rows.withColumn("low", F.lower("text"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams])) if grams else F.array().cast("array<string>")
     full = [spans(r, F.col("text")) for r in rules if asked[r.name] is None]
-    scanned = space.table(low.select("rid", "doc_id", held.alias("grams"), (F.concat(*full) if full else F.expr("cast(array() as array<struct<start: int, kind: string, end: int>>)")).alias("full")), "scanned")
+    scanned = space.table(low.select("rid", "doc_id", held.alias("grams"), (F.concat(*full) if full else F.expr(_NONE)).alias("full")), "scanned")
 
     blocks = max(1, -(-scanned.count() // block))
-    posted = scanned.select(F.pmod("rid", F.lit(blocks)).alias("block"), "rid", F.explode("grams").alias("gram"))
+    posted = scanned.select(F.pmod("rid.x", F.lit(blocks)).alias("block"), "rid", F.explode("grams").alias("gram"))
     index = space.table(posted.groupBy("block", "gram").agg(F.collect_set("rid").alias("rids")), "index")
     asks = [(r.name, k, len(way), g) for r in rules if asked[r.name] for k, way in enumerate(asked[r.name]) for g in sorted(way)]
     if asks:
@@ -129,13 +149,13 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int = B
         ways = ways.where("size(lists) = needs").select("kind", F.expr("aggregate(slice(lists, 2, size(lists)), lists[0], (a, b) -> array_intersect(a, b))").alias("rids"))
         candidates = ways.select("kind", F.explode("rids").alias("rid")).groupBy("rid").agg(F.collect_set("kind").alias("kinds"))
         text = F.col("text")
-        each = [F.when(F.array_contains("kinds", r.name), spans(r, text)).otherwise(F.expr("cast(array() as array<struct<start: int, kind: string, end: int>>)")) for r in rules if asked[r.name]]
+        each = [F.when(F.array_contains("kinds", r.name), spans(r, text)).otherwise(F.expr(_NONE)) for r in rules if asked[r.name]]
         verified = rows.select("rid", "text").join(candidates, "rid").select("rid", F.concat(*each).alias("more"))
         verified = space.table(verified.where("size(more) > 0").dropDuplicates(["rid"]), "verified")
     else:
         verified = scanned.select("rid", F.col("full").alias("more")).limit(0)
     order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.name), F.lit(k))])
-    out = scanned.join(verified, "rid", "left").select("doc_id", F.concat("full", F.coalesce("more", F.expr("cast(array() as array<struct<start: int, kind: string, end: int>>)"))).alias("all"))
+    out = scanned.join(verified, "rid", "left").select("doc_id", F.concat("full", F.coalesce("more", F.expr(_NONE))).alias("all"))
     ranked = F.sort_array(F.transform("all", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return out.select("doc_id", ranked.alias("spans"))
 

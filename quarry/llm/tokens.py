@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
-import unicodedata
 
 import numpy as np
 
 END_ID = 1
 #: What may trail a word as one run of neither letters, digits nor white space (no apostrophe: the patterns know contractions).
 _TRAIL = ".,;:!?)]}\"%&$#*|"
+#: Last letter of the blocks whose letters and lower case have not changed since before any Unicode version in use.
+_LATIN = "\u024f"
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -27,15 +29,41 @@ class _Words(dict):
         return ids
 
 
+#: What the fast path relies on in a tokenizer file: fixed values, compared with the file as it stands.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_at_spaces(file: dict) -> bool:
+    """Whether a tokenizer file is of the kind whose texts may be encoded word by word.
+
+    Nothing composes with, is lower-cased by or is matched across white space under these normalizers and this
+    pattern, and a model without dropout encodes each match alone.  Any other file's texts are encoded whole.
+    """
+    normal, pre, model = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}, file.get("model") or {}
+    steps = pre.get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+    return (
+        normal.get("normalizers") == _NORMAL
+        and len(steps) == 2
+        and steps[0] == split
+        and steps[1].get("type") == "ByteLevel"
+        and not steps[1].get("add_prefix_space")
+        and not steps[1].get("use_regex")
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and not file.get("truncation")
+        and not any(t.get("normalized") or t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in file.get("added_tokens") or ())
+    )
+
+
 class Encoder:
-    """Encodes texts exactly as the tokenizer file does, special strings as ordinary text.
-
-    The vocabulary drops white space and never joins what stands on its two
-    sides, so a text's ids are the ids of its words in order, and a word's those of its letters and of
-    the punctuation after them.  Letters go to the file's model folded and in bytes, as its
-    normalizer and splitter would hand them over; any other word is encoded whole.  Words are kept in
-    bounded caches.  Probes at the start and one text of each call are also encoded
-    whole: were the two ever to differ, whole texts are encoded from then on.
+    """Encodes texts exactly as the library does with ``add_special_tokens=False``; a special token's own text is that one id.
+
+    The file decides how (:func:`splits_at_spaces`).  Where it allows, a text's ids are the ids of its words in order, and a word of
+    Latin letters with punctuation after them is folded here and handed to the file's model in bytes, as its
+    normalizer and splitter would; any other word is encoded whole by the library.  Words are kept in
+    bounded caches.  A text that holds the text of a special token is encoded whole.
     """
 
     def __init__(self, path: str, most_words: int = 900_000):
@@ -43,17 +71,18 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.special = [t["content"] for t in file.get("added_tokens") or ()]
         split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {}
-        for c in ["".join(map(chr, range(0x80, 0x800))), "\u0800", *(chr((k << 12) + 0x100) for k in range(1, 16)), "\U00010000", "\U00040000", "\U00080000", "\U000c0000", "\U00100000"]:
-            self.letters.update(zip(c.encode(), split(c)[0][0]))
+        c = "".join(map(chr, range(0x80, 0x800)))
+        self.letters.update(zip(c.encode(), split(c)[0][0]))
         self.parts = _Words(self._part, most_words // 2)
         self.words = _Words(self._word, most_words)
         self.words[""] = b""
-        probes = ["Plain", "été", "Straße", "naïve,", "don't", "it's!", "12ab", "x1.", "ÉLAN?!", "…", "日本語", "한국어", "İx", "ΣΑΣ", "a_b", "#%", "été."]
-        self.by_word = all(self.words[w] == self._whole(w) for w in probes) and self._whole("ab, cd\n12 x") == b"".join(self.words[w] for w in ("ab,", "cd", "12", "x"))
+        self.by_word = splits_at_spaces(file)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
@@ -66,27 +95,25 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         core = word.rstrip(_TRAIL)
-        if not core.isalpha() or "Σ" in core:
+        if not core.isalpha() or max(core) > _LATIN:
+            return self._whole(word)
+        folded = core.lower()
+        if not folded.isalpha() or max(folded) > "\u07ff":
             return self._whole(word)
-        if not core.isascii():
-            core, trail = unicodedata.normalize("NFC", core), word[len(core) :]
-            folded = core.lower()
-            if not folded.isalpha():
-                return self._whole(word)
-            return self.parts[folded] + (self.words[trail] if trail else b"")
-        ids = self.parts[core.lower()]
+        ids = self.parts[folded]
         return ids + self.words[word[len(core) :]] if len(core) < len(word) else ids
 
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        texts = [t or "" for t in texts]
-        if self.by_word:
-            get = self.words.__getitem__
-            out = [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
-            if not texts or self._whole(texts[0]) == out[0]:
-                return out
-            self.by_word = False
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        get, out = self.words.__getitem__, []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif self.by_word and not any(s in t for s in self.special):
+                out.append(b"".join(map(get, t.replace("\n", " ").split(" "))))
+            else:
+                out.append(self._whole(t))
+        return out
 
 
 def encoder(path: str) -> Encoder:

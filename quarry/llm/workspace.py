@@ -14,7 +14,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}  # folders of local applications
@@ -92,3 +93,8 @@ def recorded():
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def row_id(*columns: str) -> Column:
+    """128 bits that stand for a row."""
+    return F.struct(F.xxhash64(*columns).alias("x"), F.xxhash64(F.lit("second"), *columns).alias("y"))

@@ -69,6 +69,8 @@ def test_secrets(spark, odd, empty):
     assert got == {k: python_spans(t) for k, t in rows}
     assert all(not r.spans for r in secrets.secret_scan(odd).collect()) and secrets.secret_scan(odd).count() == odd.count()
     assert secrets.secret_scan(empty).count() == 0
+    long = " ".join(["deadbeef" * 3, "é"] * 4000 + bits * 300)
+    assert [tuple(s) for s in secrets.secret_scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().spans] == python_spans(long)
     text = spark.createDataFrame([(1, "a token=abcdefgh b")], "doc_id long, text string")
     shown = text.join(secrets.secret_scan(text), "doc_id").select(secrets.redact(F.col("text"), F.col("spans")).alias("t"))
     assert shown.first().t == "a [secret] b"

@@ -88,6 +88,13 @@ def test_odd_rows(odd, empty):
     assert run(empty) == []
 
 
+def test_crowds_are_cut_into_tiles(spark, monkeypatch):
+    monkeypatch.setattr(nj, "SMALL", 2)
+    monkeypatch.setattr(nj, "TILE", 3)
+    rows = near_rows()
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 7, 8, 20, 61, 150, 700])
 def test_linked_sets_always_share_a_key(size):
     rng = np.random.default_rng(size)

@@ -14,10 +14,11 @@ from quarry.llm.tokens import Encoder
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+TOK = Tokenizer.from_file(PATH)
+
+
 def plain(text):
-    tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
-    return tok.encode(text or "", add_special_tokens=False).ids + [1]
+    return TOK.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +33,21 @@ def test_words_give_the_ids_of_whole_texts(encoder, text):
     assert got + [1] == plain(text) and encoder.by_word
 
 
+def test_texts_of_special_tokens_and_odd_letters(encoder):
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "Straße", "ÉLAN?!", "İx", "ΣΑΣ.", "ǅ", "e\u0301te", "\u00a0", "\u2003a", "日本", "don't", "'S", "x1.", "\t", "\r\n", " ", "", "\u1c89a", "ſ"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(parts[k] for k in rng.integers(0, len(parts), 6)) for _ in range(400)]
+    assert [np.frombuffer(x, "<u4").tolist() + [1] for x in encoder.encode(texts)] == [plain(t) for t in texts]
+    assert plain("a <|endoftext|> b")[1] == 49407
+
+
+def test_other_files_are_encoded_whole(tmp_path):
+    other = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two  words\n and more", "", None, "été"]
+    assert not other.by_word and [np.frombuffer(x, "<u4").tolist() for x in other.encode(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 1 << 20), max_size=400), st.sampled_from([BIT, BYTE]), st.sampled_from([7, 64, 1 << 16]))
 def test_file_round_trip(ids, kind, block):
