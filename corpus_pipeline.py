@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.decontaminate import scan_documents
+from quarry.llm.decontaminate import clean_documents
 from quarry.llm.line_dedup import dedup_lines
 from quarry.llm.ngram_join import one_of_each
 from quarry.llm.packing import best_two_fit
@@ -42,32 +42,55 @@ def _stage(f: Callable) -> Callable:
 
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules on hosts that do not mostly fail."""
+    """Documents that pass the base rules on hosts that do not mostly fail.
+
+    Null, empty and short texts fail; very long texts are judged whole; repeated rows are judged each; there is nothing to tie;
+    an empty table gives no rows; all columns come back, whatever their names.
+    """
     return keep_documents(docs)
 
 
 @_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier in the corpus; a document that loses all its words goes."""
-    out = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents without lines that stand earlier in the corpus; a document that loses all its words goes.
+
+    Null, empty and wordless texts lose nothing and stay; very long texts and lines are taken whole; of equal lines the one
+    of the least (doc_id, row hash, line number) stays; rows alike in doc_id and text keep the same lines; an empty table gives
+    no rows; all columns come back, those named like the operator's counts too, and ``n_chars`` follows the text.
+    """
+    out = dedup_lines(docs, counts=("_q_n_lines", "_q_n_removed")).where((F.col("_q_n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 @_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by word shingles."""
+    """One document, that of the smallest doc_id, of each group linked by word shingles.
+
+    Null and wordless texts link with nothing and stay; very long texts are compared whole; a tie in doc_id goes to the least row
+    hash, and of rows alike in doc_id and text one stays; an empty table gives no rows; all columns come back, whatever their names.
+    """
     return one_of_each(docs)
 
 
 @_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    return scan_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), texts=False, keep=docs.columns).where("n_hit = 0").select(docs.columns)
+    """Documents without any window of a benchmark item.
+
+    Null, empty and wordless texts hold no window and stay; very long texts are scanned whole; repeated rows are judged each; an empty
+    table gives no rows; all columns come back, whatever their names.
+    """
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 @_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
+    """Sequences of at most 4096 tokens: a row a piece, no longer the columns of ``documents``.
+
+    A null or empty text is the end id alone; very long texts are cut into pieces; repeated rows are packed each; equal lengths
+    are taken by doc_id, then piece; an empty table gives no rows; other columns are ignored, whatever their names.
+    """
     return best_two_fit(docs, tokenizer_path())
 
 
