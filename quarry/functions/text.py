@@ -94,3 +94,14 @@ def language_of(path) -> Column:
     known = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "rs": "rust", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "kts": "kotlin"}  # fixed values
     table = F.create_map(*[F.lit(v) for kv in known.items() for v in kv])
     return F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))
+
+
+#: Colours by language, difficulty and kind of node, and for all else: fixed values.
+COLORS = {"rust": "#dea584", "python": "#3572A5", "typescript": "#3178c6", "javascript": "#f1e05a", "go": "#00ADD8", "java": "#b07219", "c": "#555555", "cpp": "#f34b7d", "csharp": "#178600", "ruby": "#701516", "php": "#4F5D95", "swift": "#F05138", "kotlin": "#A97BFF"}
+OTHER_COLOR = "#8b949e"
+
+
+def language_color(language) -> Column:
+    """A language's colour, in any letter case."""
+    table = F.create_map(*[F.lit(x) for kv in COLORS.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.lower(language)), F.lit(OTHER_COLOR))

@@ -122,37 +122,202 @@ def module_summaries(nodes: DataFrame, edges: DataFrame, members: DataFrame, lab
     return sizes.join(told, "community_id").join(labels, "community_id").join(out, "community_id", "left").select("community_id", text.alias("content"))
 
 
-def narratives(nodes: DataFrame, edges: DataFrame, members: DataFrame, labels: DataFrame, files: DataFrame) -> DataFrame:
-    """kind, target_id, content, is_placeholder: overview, architecture, reading order, extension and contribution guides, module summaries."""
-    one = files.agg(F.count(F.lit(1)).alias("f"), F.sum("sloc").alias("l"))
-    overview = one.crossJoin(nodes.agg(F.count(F.lit(1)).alias("s"))).select(F.format_string("%d files, %d lines, %d symbols.", "f", "l", "s").alias("content"))
-    kinds = edges.groupBy("kind").count().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "count"))), lambda x: F.concat(x["count"], F.lit(" "), x["kind"])), ", ").alias("content"))
-    fan = fan_in_out(nodes, edges, None).join(nodes.select("symbol_id", "name"), "symbol_id")
-    listed = lambda df, n: df.limit(n).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("fan_in")).alias("o"), "symbol_id", "name", "fan_in"))), lambda x: F.concat(F.lit("- "), x["name"], F.lit(" ("), x["fan_in"], F.lit(")"))), "\n").alias("content"))
-    extend = listed(fan.where("fan_in >= 3").orderBy(F.desc("fan_in"), "symbol_id"), 8)
-    read = listed(fan.where("fan_in > 0").orderBy(F.desc("fan_in"), "symbol_id"), 15)
-    loose = members.groupBy("community_id").count().where("count > 2").join(labels, "community_id").orderBy("count", "community_id").limit(5)
-    help_ = loose.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), format_label(F.col("label"))))), "\n").alias("content"))
-    parts = {"overview": overview, "architecture": kinds, "reading_order": read, "extension_guide": extend, "contribution_guide": help_}
-    out = module_summaries(nodes, edges, members, labels).select(F.lit("module_summary").alias("kind"), F.col("community_id").alias("target_id"), "content")
+def _listing(rows: DataFrame, order: list, line, by: list[str] = ()) -> DataFrame:
+    """``lines`` joined by line ends in order, for each ``by`` (or all)."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), line.alias("t")))), lambda x: x["t"])
+    return rows.groupBy(*by).agg(F.array_join(listed, "\n").alias("lines"))
+
+
+def _text(*parts) -> F.Column:
+    """Parts joined; a string is a literal, a null part is left out."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+def _percent(x) -> F.Column:
+    return F.format_string("%.0f", F.round(x * 100, 6))
+
+
+#: What edges are called in a text: fixed values.
+RELATIONS = {"CALLS": "function calls", "IMPORTS": "import dependencies", "EXTENDS": "inheritance relationships", "IMPLEMENTS": "interface implementations", "CONTAINS": "containment relationships"}
+
+
+def narratives(nodes: DataFrame, edges: DataFrame, members: DataFrame, labels: DataFrame, files: DataFrame, cohesion: DataFrame, entries: DataFrame) -> DataFrame:
+    """kind, target_id, content, is_placeholder: overview, architecture, reading order, extension and contribution guides, why it trends, and a summary of each community.
+
+    ``cohesion(community_id, n_members, cohesion)`` and ``entries(symbol_id, name, score, reason)``.  The texts are fixed values.
+    Lists over the whole corpus have a stated length; ties go to the least id.
+    """
+    own = cohesion.join(labels, "community_id").withColumn("title", format_label(F.col("label")))
+    counts = files.agg(F.count(F.lit(1)).alias("f"), F.coalesce(F.sum("sloc"), F.lit(0)).alias("l"), F.array_join(F.array_sort(F.collect_set("language")), ", ").alias("langs"))
+    counts = counts.crossJoin(nodes.agg(F.count(F.lit(1)).alias("s"))).crossJoin(edges.agg(F.count(F.lit(1)).alias("e")))  # one row each
+    counts = counts.crossJoin(own.agg(F.count(F.lit(1)).alias("m"))).crossJoin(entries.agg(F.count(F.lit(1)).alias("x")))
+    section = lambda head, lines: F.when(F.coalesce(lines, F.lit("")) != "", F.concat(F.lit(head), lines))
+
+    glance = _listing(own.where("n_members > 1"), ["community_id"], _text("- **", F.col("title"), "** — ", F.col("n_members"), " symbols (cohesion: ", _percent(F.col("cohesion")), "%)")).withColumnRenamed("lines", "glance")
+    best = _listing(entries.orderBy(F.desc("score"), "symbol_id").limit(5), [(-F.col("score")).alias("k"), "symbol_id"], _text("- `", F.col("name"), "` — ", F.col("reason"))).withColumnRenamed("lines", "best")
+    overview = counts.crossJoin(glance).crossJoin(best).select(
+        _text(
+            "## Project Overview\n\nThis project contains **", F.col("f"), " files** with **", F.col("s"), " symbols** across **", F.col("l"), " lines of code**, written in **", F.when(F.col("langs") == "", "unknown languages").otherwise(F.col("langs")),
+            "**.\n\nThe codebase is organized into **", F.col("m"), " functional modules** (automatically detected communities) with **", F.col("x"), " entry points**.",
+            section("\n\n### Modules at a Glance\n\n", F.col("glance")), section("\n\n### Key Entry Points\n\n", F.col("best")),
+        ).alias("content")
+    )
+    word = F.coalesce(*[F.when(F.col("kind") == k, F.lit(w)) for k, w in RELATIONS.items()])
+    kinds = _listing(edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), [(-F.col("n")).alias("k"), "kind"], _text("- **", F.col("n"), "** ", word)).withColumnRenamed("lines", "kinds")
+    first = members.join(nodes.select("symbol_id", "name"), "symbol_id").withColumn("r", F.row_number().over(Window.partitionBy("community_id").orderBy("symbol_id")))
+    ten = own.where("n_members > 1").orderBy(F.desc("n_members"), "community_id").limit(10)
+    three = first.where("r <= 3").groupBy("community_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), "`, `").alias("names"))
+    tops = _listing(ten.join(three, "community_id", "left"), [(-F.col("n_members")).alias("k"), "community_id"], _text("- **", F.col("title"), "** (", F.col("n_members"), " symbols) — includes: `", F.col("names"), "`")).withColumnRenamed("lines", "tops")
+    architecture = counts.crossJoin(kinds).crossJoin(tops).select(
+        F.when(F.col("m") == 0, "No community/module structure detected yet.").otherwise(
+            _text(
+                "## Architecture\n\nThe codebase consists of **", F.col("s"), " symbols** connected by **", F.col("e"), " relationships** across **", F.col("m"), " modules**.\n\n",
+                F.when(F.col("kinds") != "", F.concat(F.lit("### Relationship Types\n\n"), "kinds", F.lit("\n\n"))), "### Module Hierarchy\n\n", F.col("tops"),
+            )
+        ).alias("content")
+    )
+    eight = entries.join(nodes.select("symbol_id", "kind"), "symbol_id").orderBy(F.desc("score"), "symbol_id").limit(8)
+    eight = eight.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "symbol_id")))  # of eight rows
+    reading = _listing(eight, ["r"], _text(F.col("r"), ". **`", F.col("name"), "`** (", F.col("kind"), ") — ", F.col("reason"), " *(score: ", F.format_string("%.1f", F.col("score")), ")*"))
+    reading = reading.select(F.when(F.col("lines") == "", "No entry points detected. Run analysis to generate reading order.").otherwise(F.concat(F.lit("## Recommended Reading Order\n\nStart with the entry points below, then follow the dependency chains to understand how the codebase fits together.\n\n"), "lines")).alias("content"))
+    fan = fan_in_out(nodes, edges, None).where("fan_in >= 3").orderBy(F.desc("fan_in"), "symbol_id").limit(8).join(nodes.select("symbol_id", "name", "kind"), "symbol_id")
+    extend = _listing(fan, [(-F.col("fan_in")).alias("k"), "symbol_id"], _text("- `", F.col("name"), "` (", F.col("kind"), ") — used by ", F.col("fan_in"), " other symbols"))
+    extend = extend.select(_text("## Extension Guide\n\nTo extend this codebase, look at the modules with the highest cohesion — they represent well-defined functional areas where new features can be added cleanly.\n", section("\n### Key Extension Points (high fan-in)\n\n", F.col("lines"))).alias("content"))
+    loose = own.where("n_members > 2").orderBy("cohesion", "community_id").limit(5)
+    help_ = _listing(loose, ["cohesion", "community_id"], _text("- **", F.col("title"), "** — ", F.col("n_members"), " symbols, cohesion ", _percent(F.col("cohesion")), "%"))
+    help_ = help_.select(
+        _text(
+            "## Contribution Guide\n\nHere's how to get started contributing to this codebase:\n\n1. **Start with entry points** — understand the main execution paths\n2. **Pick a module** — each module is relatively self-contained\n"
+            "3. **Follow the edges** — understand how your module connects to others\n", section("\n### Good First Areas\n\n", F.col("lines")),
+        ).alias("content")
+    )
+    why = counts.select(_text("## Why This Project\n\nThis project is written in ", F.when(F.col("langs") == "", "various languages").otherwise(F.col("langs")), " with ", F.col("f"), " files. Explore the modules, architecture, and entry points to understand its design.").alias("content"))
+
+    parts = {"overview": overview, "architecture": architecture, "reading_order": reading, "extension_guide": extend, "contribution_guide": help_, "why_trending": why}
+    out = summaries(nodes, edges, members, own).select(F.lit("module_summary").alias("kind"), F.col("community_id").alias("target_id"), "content")
     for kind, df in parts.items():
         out = out.unionByName(df.select(F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("target_id"), "content"))
     return out.withColumn("is_placeholder", F.lit(True))
 
 
+#: Kinds that a summary lists as types and as functions, lower-cased.
+TYPES, FUNCTIONS = ("struct", "class", "enum", "trait", "interface"), ("function", "method", "fn")
+
+
+def summaries(nodes: DataFrame, edges: DataFrame, members: DataFrame, own: DataFrame) -> DataFrame:
+    """community_id, content: size, cohesion, links to other communities, all types and ten functions of each community of ``own``."""
+    out = community_edges(edges, members).groupBy(F.col("source_community").alias("community_id")).agg(F.sum("weight").alias("outgoing"))
+    held = members.join(nodes.select("symbol_id", "name", F.lower("kind").alias("k")), "symbol_id").withColumn("t", F.concat(F.lit("- `"), "name", F.lit("`")))
+    types = _listing(held.where(F.col("k").isin(*TYPES)), ["symbol_id"], F.col("t"), ["community_id"]).withColumnRenamed("lines", "types")
+    calls = held.where(F.col("k").isin(*FUNCTIONS)).withColumn("r", F.row_number().over(Window.partitionBy("community_id").orderBy("symbol_id")))
+    funcs = _listing(calls.where("r <= 10"), ["symbol_id"], F.col("t"), ["community_id"]).withColumnRenamed("lines", "funcs").join(calls.groupBy("community_id").agg(F.count(F.lit(1)).alias("nf")), "community_id")
+    text = _text(
+        "## Module: ", F.col("title"), "\n\nThis module contains **", F.col("n_members"), " symbols** with a cohesion score of **", _percent(F.col("cohesion")), "%** and **", F.coalesce("outgoing", F.lit(0)), " external connections**.",
+        F.when(F.col("types").isNotNull(), F.concat(F.lit("\n\n### Types\n\n"), "types")), F.when(F.col("funcs").isNotNull(), F.concat(F.lit("\n\n### Functions\n\n"), "funcs")),
+        F.when(F.col("nf") > 10, F.concat(F.lit("\n- ...and "), F.col("nf") - 10, F.lit(" more"))),
+    )
+    return own.join(out, "community_id", "left").join(types, "community_id", "left").join(funcs, "community_id", "left").select("community_id", text.alias("content"))
+
+
+def explanations(nodes: DataFrame, edges: DataFrame, members: DataFrame, labels: DataFrame, most: int = 5) -> DataFrame:
+    """symbol_id, content: kind, module, and the ``most`` newest edges either way of each symbol, as a text of fixed form."""
+
+    def side(own: str, other: str):
+        named = edges.select("edge_id", F.col(own).alias("symbol_id"), F.col(other).alias("o")).withColumn("r", F.row_number().over(Window.partitionBy("symbol_id").orderBy(F.desc("edge_id"))))
+        named = named.where(F.col("r") <= most).join(nodes.select(F.col("symbol_id").alias("o"), "name"), "o")
+        return named.groupBy("symbol_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: F.concat(F.lit("`"), x["name"], F.lit("`"))), ", ").alias("t"))
+
+    home = members.join(labels, "community_id").groupBy("symbol_id").agg(F.min_by("label", "community_id").alias("label"))
+    rows = nodes.select("symbol_id", "name", "kind").join(home, "symbol_id", "left").join(side("source_id", "target_id").withColumnRenamed("t", "down"), "symbol_id", "left").join(side("target_id", "source_id").withColumnRenamed("t", "up"), "symbol_id", "left")
+    text = _text(
+        "## `", F.col("name"), "`\n\n**Kind:** ", F.col("kind"), " | **Module:** ", F.coalesce(format_label(F.col("label")), F.lit("uncategorized")),
+        F.when(F.col("down").isNotNull(), F.concat(F.lit("\n\n**Calls:** "), "down")), F.when(F.col("up").isNotNull(), F.concat(F.lit("\n\n**Called by:** "), "up")),
+    )
+    return rows.select("symbol_id", text.alias("content"))
+
+
 def split_batched(text) -> F.Column:
     """array<struct<id, body>> of a text's parts headed '## Community <id>'."""
     parts = F.regexp_extract_all(text, F.lit(r"(?s)## Community \d+.*?(?=## Community \d+|$)"), F.lit(0))
     return F.transform(parts, lambda p: F.struct(F.try_to_number(F.regexp_extract(p, r"## Community (\d+)", 1), F.lit("999999999")).cast("long").alias("id"), strip(F.regexp_replace(p, r"(?s)^## Community \d+[^\n]*\n?", "")).alias("body")))
 
 
-def context(sections: list[tuple[str, DataFrame]], most: int = 32_000) -> DataFrame:
-    """One row, ``context``: titled sections of (place, line) frames, cut at ``most`` characters."""
-    out = None
-    for title, rows in sections:
-        own = rows.agg(F.concat(F.lit(f"# {title}\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")).alias(f"s{len(out.columns) if out is not None else 0}"))
-        out = own if out is None else out.crossJoin(own)
-    return out.select(F.substring(F.concat_ws("\n\n", *out.columns), 1, most).alias("context"))
+MOST_CONTEXT, CUT = 32_000, "\n\n... (context truncated for token budget)"
+
+
+def bounded(text) -> F.Column:
+    """A context of at most ``MOST_CONTEXT`` characters; a longer one loses its end and says so."""
+    return F.when(F.length(text) > MOST_CONTEXT, F.concat(F.substring(text, 1, MOST_CONTEXT - 50), F.lit(CUT))).otherwise(text)
+
+
+def _more(n, most: int, what: str, lead: str = "... and ") -> F.Column:
+    return F.when(n > most, F.concat(F.lit(lead), n - most, F.lit(f" more{what}\n")))
+
+
+def overview_context(nodes: DataFrame, edges: DataFrame, members: DataFrame, labels: DataFrame, cohesion: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row, ``context``: counts, communities with ten members each, ten entry points, kinds of symbols, as a text of fixed form."""
+    own = cohesion.join(labels, "community_id")
+    counts = nodes.agg(F.count(F.lit(1)).alias("s")).crossJoin(edges.agg(F.count(F.lit(1)).alias("e"))).crossJoin(own.agg(F.count(F.lit(1)).alias("m"))).crossJoin(entries.agg(F.count(F.lit(1)).alias("x")))  # one row each
+    first = members.join(nodes.select("symbol_id", "name"), "symbol_id").withColumn("r", F.row_number().over(Window.partitionBy("community_id").orderBy("symbol_id"))).where("r <= 10")
+    names = first.groupBy("community_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    line = _text("**", F.col("label"), "** — ", F.col("n_members"), " members (cohesion: ", F.format_string("%.2f", F.col("cohesion")), ")", F.when(F.col("names").isNotNull(), F.concat(F.lit("\n   Members: "), "names", F.coalesce(F.when(F.col("n_members") > 10, F.concat(F.lit(" ... and "), F.col("n_members") - 10, F.lit(" more"))), F.lit("")))))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("community_id", line.alias("t")))), lambda x, i: F.concat(i + 1, F.lit(". "), x["t"]))
+    comms = own.join(names, "community_id", "left").agg(F.array_join(listed, "\n").alias("comms"))
+    ten = entries.orderBy(F.desc("score"), "symbol_id").limit(10)
+    best = _listing(ten, [(-F.col("score")).alias("k"), "symbol_id"], _text("- **", F.col("name"), "** (score: ", F.format_string("%.2f", F.col("score")), ") — ", F.col("reason"))).withColumnRenamed("lines", "best")
+    kinds = _listing(nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), [(-F.col("n")).alias("k"), "kind"], _text("- ", F.col("kind"), ": ", F.col("n"))).withColumnRenamed("lines", "kinds")
+    text = _text(
+        "# Repository Overview\n\n- **Symbols:** ", F.col("s"), "\n- **Relationships:** ", F.col("e"), "\n- **Communities:** ", F.col("m"), "\n\n",
+        F.when(F.col("m") > 0, F.concat(F.lit("## Communities\n\n"), "comms", F.lit("\n\n"))),
+        F.when(F.col("x") > 0, _text("## Entry Points\n\n", F.col("best"), "\n", _more(F.col("x"), 10, " entry points", "  ... and "), "\n")),
+        F.when(F.col("s") > 0, F.concat(F.lit("## Symbol Kinds\n\n"), "kinds", F.lit("\n"))),
+    )
+    return counts.crossJoin(comms).crossJoin(best).crossJoin(kinds).select(bounded(text).alias("context"))
+
+
+def community_contexts(nodes: DataFrame, edges: DataFrame, members: DataFrame, labels: DataFrame, cohesion: DataFrame) -> DataFrame:
+    """community_id, context: fifty members and twenty edges that leave each community, the newest edge of a symbol first."""
+    names = nodes.select("symbol_id", "name", "kind")
+    held = members.join(names, "symbol_id").withColumn("r", F.row_number().over(Window.partitionBy("community_id").orderBy("symbol_id"))).where("r <= 50")
+    listed = _listing(held, ["r"], _text("- **", F.col("name"), "** (", F.col("kind"), ")"), ["community_id"]).withColumnRenamed("lines", "held")
+    leaving = labelled(edges, members).where("source_community <> target_community").withColumn("r", F.row_number().over(Window.partitionBy("source_community").orderBy("source_id", F.desc("edge_id"))))
+    total = community_edges(edges, members).groupBy(F.col("source_community").alias("community_id")).agg(F.sum("weight").alias("out"))
+    some = leaving.where("r <= 20").join(names.select(F.col("symbol_id").alias("source_id"), F.col("name").alias("a")), "source_id").join(names.select(F.col("symbol_id").alias("target_id"), F.col("name").alias("b")), "target_id").withColumnRenamed("source_community", "community_id")
+    edges_ = _listing(some, ["r"], _text("- ", F.col("a"), " → ", F.col("b")), ["community_id"]).withColumnRenamed("lines", "ways")
+    rows = cohesion.join(labels, "community_id").join(listed, "community_id", "left").join(total, "community_id", "left").join(edges_, "community_id", "left")
+    text = _text(
+        "# Community: ", F.col("label"), "\n\n- **ID:** ", F.col("community_id"), "\n- **Members:** ", F.col("n_members"), "\n- **Cohesion:** ", F.format_string("%.2f", F.col("cohesion")), "\n\n## Members\n\n",
+        F.when(F.col("held").isNotNull(), F.concat("held", F.lit("\n"))), _more(F.col("n_members"), 50, " members", "\n... and "),
+        F.when(F.col("out") > 0, _text("\n## External Dependencies\n\n", F.col("ways"), "\n", _more(F.col("out"), 20, " external edges", "\n... and "))),
+    )
+    return rows.select("community_id", bounded(text).alias("context"))
+
+
+def symbol_contexts(nodes: DataFrame, edges: DataFrame, members: DataFrame, labels: DataFrame, most: int = 20) -> DataFrame:
+    """symbol_id, context: kind, file, community and the ``most`` newest edges into and out of each symbol."""
+
+    def side(own: str, other: str, name: str):
+        each = edges.select("edge_id", F.col(own).alias("symbol_id"), F.col(other).alias("o")).withColumn("r", F.row_number().over(Window.partitionBy("symbol_id").orderBy(F.desc("edge_id"))))
+        some = each.where(F.col("r") <= most).join(nodes.select(F.col("symbol_id").alias("o"), "name"), "o")
+        n = edges.groupBy(F.col(own).alias("symbol_id")).agg(F.count(F.lit(1)).alias(f"{name}_n"))
+        return _listing(some, ["r"], _text("- ", F.col("name")), ["symbol_id"]).withColumnRenamed("lines", name).join(n, "symbol_id")
+
+    home = members.join(labels, "community_id").groupBy("symbol_id").agg(F.min_by("label", "community_id").alias("label"))
+    rows = nodes.select("symbol_id", "name", "kind", "file_id").join(home, "symbol_id", "left").join(side("target_id", "source_id", "up"), "symbol_id", "left").join(side("source_id", "target_id", "down"), "symbol_id", "left")
+    part = lambda head, name, what: F.when(F.col(name).isNotNull(), _text(f"## {head}\n\n", F.col(name), "\n", _more(F.col(f"{name}_n"), most, what), "\n"))
+    text = _text(
+        "# Symbol: ", F.col("name"), "\n\n- **Kind:** ", F.col("kind"), "\n- **Symbol ID:** ", F.col("symbol_id"), "\n- **File ID:** ", F.col("file_id"), "\n",
+        F.when(F.col("label").isNotNull(), F.concat(F.lit("- **Community:** "), "label", F.lit("\n"))), "\n", part("Called By", "up", " callers"), part("Calls", "down", " callees"),
+    )
+    return rows.select("symbol_id", bounded(text).alias("context"))
+
+
+def files_context(nodes: DataFrame, paths: list[str], most: int = 100) -> DataFrame:
+    """One row, ``context``: the symbols of the files asked for (only those), ``most`` of them by name of file and id."""
+    own = nodes.where(F.col("path").isin(*paths))
+    some = _listing(own.orderBy("path", "symbol_id").limit(most), ["path", "symbol_id"], _text("- ", F.col("name"), " (", F.col("kind"), ")"))
+    n = own.agg(F.count(F.lit(1)).alias("n"))
+    return some.crossJoin(n).select(bounded(_text("# File Context\n\nRequested files: " + ", ".join(paths) + "\n\n## Symbols in Graph\n\n", F.col("lines"), "\n", _more(F.col("n"), most, " symbols", "\n... and "))).alias("context"))
 
 
 def curriculum(members: DataFrame, labels: DataFrame, edges: DataFrame, entries: DataFrame, least: int = 5, most: int = 15) -> DataFrame:
@@ -180,33 +345,54 @@ def curriculum(members: DataFrame, labels: DataFrame, edges: DataFrame, entries:
     return frame.select("chapter_id", "position", format_label(F.col("title")).alias("title"), "community_id", difficulty(F.col("n")).alias("difficulty"), "prerequisites", F.array(*[F.lit(x) for x in SECTIONS]).alias("sections"))
 
 
-def quiz(symbols: DataFrame, edges: DataFrame, members: DataFrame, labels: DataFrame, most: int = 5, least: int = 3) -> DataFrame:
-    """community_id, place, kind, question, options, correct_index: dependencies, calls, membership, heritage and impact, best first.
+def quiz(symbols: DataFrame, edges: DataFrame, members: DataFrame, labels: DataFrame, most: int = 5) -> DataFrame:
+    """community_id, place, id, kind, question, options, correct_index, explanation: at most ``most`` questions on each community.
 
-    Wrong options are made from the right one; a community with too few facts is padded with questions on itself.
+    In this order: what the first two members depend on, whom they call, which module holds the first, what the two
+    extend, whom a change of the first affects.  A member without such an edge gets a statement that is false.  Any member
+    gives three questions, so none is padded.  Members are taken by id, their edges newest first.  The texts are fixed values.
     """
     names = symbols.select("symbol_id", "name")
-    both = labelled(edges, members).join(names.toDF("source_id", "a"), "source_id").join(names.toDF("target_id", "b"), "target_id")
-    fakes = lambda right: F.array(right, F.concat(right, F.lit("Helper")), F.concat(right, F.lit("Processor")), F.concat(F.lit("Base"), right))
-    pick = lambda df, n, order: df.withColumn("r", F.row_number().over(Window.partitionBy("community_id").orderBy(*order))).where(F.col("r") <= n)
-    own = both.withColumnRenamed("source_community", "community_id")
-    calls = own.where("kind = 'CALLS'")
+    nth = F.row_number().over(Window.partitionBy("community_id").orderBy("symbol_id")) - 1
+    two = members.join(names, "symbol_id").withColumn("i", nth).where("i < 2").select("community_id", "symbol_id", "name", "i")
+    newest = lambda df, key: df.withColumn("r", F.row_number().over(Window.partitionBy("community_id", key).orderBy(F.desc("edge_id")))).where("r <= 4")
+    heads = two.select("community_id", F.col("symbol_id").alias("source_id"), "name", "i")
+    out_edges = edges.join(heads, "source_id").join(names.select(F.col("symbol_id").alias("target_id"), F.col("name").alias("other")), "target_id")
+    near = lambda df, keys: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "other"))), lambda x: x["other"]).alias("others"))
+    down = near(newest(out_edges, "source_id"), ["community_id", "i"])
+    asked = two.join(down, ["community_id", "i"], "left")
+    q = lambda *x: _text("'", *x)
     yes = F.array(F.lit("True"), F.lit("False"))
-    ask = lambda df, rank, kind, q, options: df.select("community_id", F.lit(rank).alias("rank"), "r", F.lit(kind).alias("kind"), q.alias("question"), options.alias("options"))
-    says = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) and v[:1] != "@" else F.col(v[1:]) for v in x])
-    out = ask(pick(calls, 2, ["edge_id"]), 0, "multiple_choice", says("What does ", "@a", " call?"), fakes(F.col("b")))
-    out = out.unionByName(ask(pick(own, 2, ["edge_id"]), 1, "true_false", says("@a", " uses ", "@b", "."), yes))
-    held = members.join(names, "symbol_id").join(labels, "community_id").withColumn("label", format_label(F.col("label")))
-    out = out.unionByName(ask(pick(held, 1, ["symbol_id"]), 2, "multiple_choice", says("Which module contains ", "@name", "?"), fakes(F.col("label"))))
-    out = out.unionByName(ask(pick(own.where("kind in ('EXTENDS', 'IMPLEMENTS')"), 2, ["edge_id"]), 3, "true_false", says("@a", " extends ", "@b", "."), yes))
-    fan = both.groupBy(F.col("target_community").alias("community_id"), "target_id", "b").agg(F.count(F.lit(1)).alias("n"))
-    out = out.unionByName(ask(pick(fan, 1, [F.desc("n"), "target_id"]), 4, "impact_analysis", says("What is affected first if ", "@b", " changes?"), fakes(F.concat(F.lit("its "), F.col("n"), F.lit(" users")))))
-    pad = members.select("community_id").distinct().crossJoin(members.sparkSession.range(least).select((F.col("id") + 1).cast("int").alias("r")))
-    out = out.unionByName(ask(pad, 9, "true_false", says("This chapter is about community ", "@community_id", "."), yes))
-    place = F.row_number().over(Window.partitionBy("community_id").orderBy("rank", "r", "question"))
-    real = F.count_if(F.col("rank") < 9).over(Window.partitionBy("community_id"))
-    out = out.withColumns({"place": place.cast("long"), "real": real})
-    return out.where((F.col("place") <= most) & (F.col("place") <= F.greatest("real", F.lit(least)))).select("community_id", "place", "kind", "question", "options", F.lit(0).alias("correct_index"))
+    cols = lambda rank, kind, id_, question, options, right, why: [
+        "community_id", F.lit(rank).alias("rank"), "i", F.concat(F.lit(f"q_{id_}_"), "community_id", F.lit("_"), "i").alias("id"), F.lit(kind).alias("kind"), question.alias("question"), options.alias("options"), right.cast("int").alias("correct_index"), why.alias("explanation"),
+    ]
+    name, first = F.col("name"), F.get("others", F.lit(0))
+    dep = asked.where("others is not null").select(
+        *cols(0, "multiple_choice", "dep", _text("Which symbol does '", name, "' depend on?"), F.slice(F.array_append("others", F.concat("name", F.lit("Helper"))), 1, 4), F.lit(0), q(name, "' has a direct dependency edge to '", first, "' in the knowledge graph."))
+    )
+    has, fake = first.isNotNull(), F.concat("name", F.lit("Processor"))
+    callee = F.coalesce(first, fake)
+    why = F.when(has, q(name, "' calls '", callee, "' as shown by the CALLS edge in the knowledge graph.")).otherwise(q(name, "' does not call '", callee, "' — there is no such edge in the knowledge graph."))
+    call = asked.select(*cols(1, "true_false", "call", _text("True or False: '", name, "' calls '", callee, "'."), yes, F.when(has, 0).otherwise(1), why))
+    # three labels besides its own are enough, and the four least ids hold them
+    four = labels.orderBy("community_id").limit(4).agg(F.array_sort(F.collect_list(F.struct("community_id", "label"))).alias("known"))
+    held = two.where("i = 0").join(labels, "community_id").crossJoin(F.broadcast(four))  # one row of four labels
+    others = F.slice(F.transform(F.filter("known", lambda x: x["community_id"] != F.col("community_id")), lambda x: x["label"]), 1, 3)
+    options = F.concat(F.array("label"), others)
+    options = F.when(F.size(options) < 2, F.array_append(options, F.lit("Utilities"))).otherwise(options)
+    member = held.select(*cols(2, "multiple_choice", "member", _text("Which module contains '", name, "'?"), options, F.lit(0), q(name, "' is a member of the '", F.col("label"), "' community.")))
+    kin = out_edges.where("kind in ('EXTENDS', 'IMPLEMENTS')").groupBy("community_id", "i").agg(F.max_by(F.struct("other", "kind"), "edge_id").alias("kin"))
+    base = two.join(kin, ["community_id", "i"], "left")
+    verb, parent = F.when(F.col("kin.kind") == "IMPLEMENTS", "implements").otherwise("extends"), F.coalesce("kin.other", F.concat(F.lit("Base"), "name"))
+    why = F.when(F.col("kin").isNotNull(), q(name, "' ", verb, " '", parent, "' as shown by the ", F.upper(verb), " edge in the knowledge graph.")).otherwise(q(name, "' does not extend '", parent, "' — there is no such edge in the knowledge graph."))
+    heritage = base.select(*cols(3, "true_false", "heritage", _text("True or False: '", name, "' ", verb, " '", parent, "'."), yes, F.when(F.col("kin").isNotNull(), 0).otherwise(1), why))
+    into = edges.join(two.where("i = 0").select("community_id", F.col("symbol_id").alias("target_id"), "i"), "target_id").join(names.select(F.col("symbol_id").alias("source_id"), F.col("name").alias("other")), "source_id")
+    hit = two.join(near(newest(into, "target_id"), ["community_id", "i"]), ["community_id", "i"])
+    why = _text("Changing '", name, "' would affect: ", F.array_join("others", ", "), ". These functions have direct dependency edges to '", name, "'.")
+    impact = hit.select(*cols(4, "impact_analysis", "impact", _text("If you change '", name, "', which functions would be affected?"), F.array_append("others", F.lit("No other functions")), F.lit(0), why))
+    all_ = dep.unionByName(call).unionByName(member).unionByName(heritage).unionByName(impact)
+    place = F.row_number().over(Window.partitionBy("community_id").orderBy("rank", "i"))
+    return all_.withColumn("place", place.cast("long")).where(F.col("place") <= most).select("community_id", "place", "id", "kind", "question", "options", "correct_index", "explanation")
 
 
 def export(name: str, files: DataFrame, symbols: DataFrame, edges: DataFrame, members: DataFrame, labels: DataFrame, findings: DataFrame) -> DataFrame:

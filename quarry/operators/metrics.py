@@ -34,6 +34,28 @@ def language_breakdown(files: DataFrame) -> DataFrame:
     return own.withColumn("percent", F.round(100.0 * F.col("files") / F.sum("files").over(Window.partitionBy()), 6))  # a row a language
 
 
+def community_sloc(symbols: DataFrame, members: DataFrame) -> DataFrame:
+    """community_id, member_count, sloc: lines of the members' spans."""
+    spans = symbols.select("symbol_id", (F.col("end_line") - F.greatest(F.col("start_line") - 1, F.lit(0))).alias("loc"))
+    return members.join(spans, "symbol_id").groupBy("community_id").agg(F.count(F.lit(1)).alias("member_count"), F.sum("loc").alias("sloc"))
+
+
+def repo_report(files: DataFrame, symbols: DataFrame, modularity: DataFrame) -> DataFrame:
+    """One row: files, sloc, symbols, names, avg_complexity (mean over files; 0 without any), modularity; ``files`` has complexity."""
+    more = files.agg(F.round(F.coalesce(F.avg("complexity"), F.lit(0.0)), 6).alias("avg_complexity"))
+    q = modularity.agg(F.round(F.coalesce(F.sum("q"), F.lit(0.0)), 4).alias("modularity"))
+    return repo_totals(files, symbols).crossJoin(more).crossJoin(q)  # one row each
+
+
+def dashboard(files: DataFrame) -> DataFrame:
+    """One row: files, sloc, languages (known ones), avg_sloc (half up), top_languages (four by lines, 'language:sloc:percent')."""
+    each = files.groupBy(F.coalesce("language", F.lit("unknown")).alias("l")).agg(F.sum("sloc").alias("s"), F.count("language").alias("known"), F.count(F.lit(1)).alias("n"))
+    rows = F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("o"), "l", "s")))  # a row a language
+    all_ = each.agg(F.sum("n").alias("files"), F.sum("s").alias("sloc"), F.count_if(F.col("known") > 0).alias("languages"), rows.alias("rows"))
+    told = F.transform(F.slice("rows", 1, 4), lambda x: F.concat_ws(":", x["l"], x["s"], F.floor(F.coalesce(F.try_divide(100.0 * x["s"], F.col("sloc")), F.lit(0.0)) + 0.5).cast("long")))
+    return all_.select("files", "sloc", "languages", F.floor(F.coalesce(F.try_divide(F.col("sloc"), F.col("files")), F.lit(0)) + 0.5).cast("long").alias("avg_sloc"), F.array_join(told, ",").alias("top_languages"))
+
+
 def repo_totals(files: DataFrame, symbols: DataFrame) -> DataFrame:
     a = files.agg(F.count(F.lit(1)).alias("files"), F.sum("sloc").alias("sloc"))
     b = symbols.agg(F.count(F.lit(1)).alias("symbols"), F.count_distinct("name").alias("names"))
@@ -53,16 +75,51 @@ def tfidf(symbols: DataFrame, members: DataFrame, top: int = 10) -> DataFrame:
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("community_id", "rank", "term", "score")
 
 
-def labels(symbols: DataFrame, members: DataFrame) -> DataFrame:
-    """community_id, label: its best term and most frequent kind; equal labels are numbered."""
-    best = tfidf(symbols, members, 1).select("community_id", "term")
-    kinds = members.join(symbols.select("symbol_id", "kind"), "symbol_id").groupBy("community_id", "kind").count()
-    first = Window.partitionBy("community_id").orderBy(F.desc("count"), "kind")
-    kind = kinds.withColumn("r", F.row_number().over(first)).where("r = 1").select("community_id", "kind")
-    plural = F.when(F.col("kind") == "Class", "_classes").when(F.col("kind") == "Interface", "_interfaces").when(F.col("kind") == "Struct", "_types").when(F.col("kind") == "Enum", "_enums").when(F.col("kind") == "Trait", "_traits").otherwise("")
-    named = members.select("community_id").distinct().join(best, "community_id", "left").join(kind, "community_id", "left").select("community_id", F.concat(F.coalesce("term", F.concat(F.lit("group_"), F.col("community_id"))), plural).alias("base"))
+#: Words too general for a label: fixed values.
+STOP_WORDS = (
+    "new get set run self impl pub fn let mut str string vec option result default from into test tests mod use type id name data value "
+    "init create make build with for the and err error handle handler process main"
+).split()
+#: What a label ends with where most symbols are of a kind: fixed values.
+KIND_WORDS = {"Class": "classes", "Interface": "interfaces", "Struct": "types", "Enum": "enums", "Trait": "traits"}
+
+
+def common_first(tokens: DataFrame, sizes: DataFrame, share: float = 0.6) -> DataFrame:
+    """community_id, prefix: the most frequent first token of names, if ``share`` of the names (rounded down) have it and there are two names."""
+    heads = tokens.where(F.size("ts") > 0).groupBy("community_id", F.col("ts")[0].alias("tok")).agg(F.count(F.lit(1)).alias("c"))
+    best = heads.groupBy("community_id").agg(F.min_by(F.struct("tok", "c"), F.struct((-F.col("c")).alias("o"), "tok")).alias("b"))
+    return best.join(sizes, "community_id").where((F.col("n") >= 2) & (F.col("b.c") >= F.floor(F.col("n") * share))).select("community_id", F.col("b.tok").alias("prefix"))
+
+
+def labels(symbols: DataFrame, members: DataFrame, misc: int | None = None) -> DataFrame:
+    """community_id, label: common first token and best terms of its names, and a word for its most frequent kind; equal labels are numbered.
+
+    ``misc`` is the community of isolated symbols, which keeps that name.  Ties go to the lesser term, kind, community.
+    """
+    own = members.join(symbols.select("symbol_id", "name", "kind"), "symbol_id").select("community_id", "kind", name_tokens(F.col("name"), ":", 3).alias("ts"))
+    sizes = members.groupBy("community_id").agg(F.count(F.lit(1)).alias("n"))
+    prefix = common_first(own, sizes)
+    counts = own.select("community_id", F.explode("ts").alias("term")).groupBy("community_id", "term").agg(F.count(F.lit(1)).alias("c"))
+    totals = counts.groupBy("community_id").agg(F.sum("c").alias("total"))
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    every = sizes.agg(F.count(F.lit(1)).alias("communities"))  # one row
+    score = F.col("c") / F.col("total") * (F.log(F.col("communities") / F.col("df")) + 1) * F.when(F.col("term") == F.col("prefix"), 1.5).otherwise(1.0)
+    scored = counts.where(~F.col("term").isin(*STOP_WORDS)).join(totals, "community_id").join(df, "term").join(prefix, "community_id", "left").crossJoin(F.broadcast(every)).select("community_id", "term", F.round(score, 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("community_id").orderBy(F.desc("score"), "term"))
+    top = scored.withColumn("r", rank).where("r <= 2").groupBy("community_id").agg(F.max(F.when(F.col("r") == 1, F.col("term"))).alias("t1"), F.max(F.when(F.col("r") == 2, F.col("term"))).alias("t2"))
+    kinds = own.groupBy("community_id", "kind").agg(F.count(F.lit(1)).alias("c")).groupBy("community_id").agg(F.min_by("kind", F.struct((-F.col("c")).alias("o"), "kind")).alias("kind"))
+    all_ = sizes.join(totals, "community_id", "left").join(prefix, "community_id", "left").join(top, "community_id", "left").join(kinds, "community_id", "left")
+    group = F.concat(F.lit("group_"), F.col("community_id"))
+    pair = lambda a, b: F.concat(a, F.lit("_"), b)
+    p, t1, t2 = F.col("prefix"), F.col("t1"), F.col("t2")
+    base = F.when(p.isNotNull(), F.when(t1.isNull() | (t1 == p), p).otherwise(pair(p, t1))).when(t1.isNull(), group).when(t2.isNull(), t1).otherwise(pair(t1, t2))
+    word = F.coalesce(*[F.when(F.col("kind") == k, F.lit(w)) for k, w in KIND_WORDS.items()])
+    one = F.substring(word, F.lit(1), F.length(word) - 1)
+    full = F.when(F.col("total").isNull(), group).when(word.isNull() | F.contains(base, one), base).otherwise(pair(base, word))
+    full = F.when(F.col("community_id") == misc, "misc").otherwise(full) if misc is not None else full
+    named = all_.select("community_id", full.alias("base"))
     nth = F.row_number().over(Window.partitionBy("base").orderBy("community_id"))
-    return named.withColumn("k", nth).select("community_id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("k"))).alias("label"))
+    return named.withColumn("k", nth).select("community_id", F.when(F.col("k") == 1, F.col("base")).otherwise(pair(F.col("base"), F.col("k"))).alias("label"))
 
 
 def dominant_community(symbols: DataFrame, members: DataFrame) -> DataFrame:

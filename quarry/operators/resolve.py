@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import numbered
+
 EXACT, UNIQUE, AMBIGUOUS, IMPORTED = 1.0, 0.7, 0.4, 0.6
 _TS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 _ANY = (".py", ".ts", ".tsx", ".js", ".jsx", ".rs", ".go", ".java", ".mjs", ".cjs")
@@ -111,3 +113,19 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     found = candidates(imports.distinct()).join(index, ["how", "candidate"]).groupBy("path", "module").agg(F.min_by("file_id", F.struct("rank", "file_id")).alias("target_file"))
     own = files.select("path", F.col("file_id").alias("source_file"))
     return found.join(own, "path").where("source_file <> target_file").select("source_file", "target_file").distinct()
+
+
+def build_graph(parsed: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """edge_id, source_id, target_id, kind, confidence of nested ``parsed`` files: calls, then imports, then heritage, each in order of its ends.
+
+    ``symbols(symbol_id, file_id, path, name, ...)`` and ``files(file_id, path)`` carry the ids.
+    """
+    rows = lambda what: parsed.select("path", "language", F.explode(what).alias("x")).select("path", "language", "x.*")
+    calls = call_edges(rows("calls").select("path", "caller", "callee"), symbols)
+    imports = promote_imports(import_edges(rows("imports").select("path", "language", "module"), files), symbols)
+    kin = heritage_edges(rows("heritage").select("child", "parent", "relation"), symbols)
+    out = None
+    for rank, part in enumerate((calls, imports, kin)):
+        own = part.select("source_id", "target_id", "kind", "confidence", F.lit(rank).alias("rank"))
+        out = own if out is None else out.unionByName(own)
+    return numbered(out, ["rank", "source_id", "target_id", "kind", "confidence"], "edge_id").select("edge_id", "source_id", "target_id", "kind", "confidence")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,19 +20,88 @@ def sanitize(query: str) -> list[str]:
 
 def terms(word: str) -> list[str]:
     """Tokens of a query word; several are a phrase."""
-    return re.findall(r"[^\W_]+", word.lower())
+    return re.findall(r"[^\W_]+", "".join(_MARKED.get(c, c) for c in word.lower()))
+
+
+#: Letters whose decomposition is an ASCII letter and marks, and that letter: built by rule from the Latin blocks.
+_MARKED = {chr(c): d[0].lower() for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])}
+_FROM, _TO = "".join(_MARKED), "".join(_MARKED.values())
+
+
+def plain(text: Column) -> Column:
+    """Lower-cased and without diacritics."""
+    low = F.lower(text)
+    return F.when(F.length(low) == F.octet_length(low), low).otherwise(F.translate(low, _FROM, _TO))
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    """Lower-case runs of letters and digits, without diacritics."""
+    return F.array_remove(F.split(plain(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def build_index(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """term, id, len (tokens of the document), places: for each column the positions (from 0) of the term.
+
+    Written by term (``store_index``), a search reads the row groups of its own terms and nothing else.
+    """
+    fields = F.array(*[tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns])
+    rows = docs.select("id", fields.alias("fs")).withColumn("len", F.aggregate("fs", F.lit(0), lambda n, f: n + F.size(f)).cast("long"))
+    rows = rows.select("id", "len", F.posexplode("fs").alias("k", "f")).select("id", "len", "k", F.posexplode("f").alias("at", "term"))
+    own = rows.groupBy("term", "id", "len").agg(F.array_sort(F.collect_list(F.struct("k", "at"))).alias("ps"))
+    return own.select("term", "id", "len", *[F.transform(F.filter("ps", lambda p, k=k: p["k"] == k), lambda p: p["at"]).alias(f"p{k}") for k in range(len(columns))])
+
+
+def store_index(docs: DataFrame, columns: list[str], path: str) -> None:
+    """Write the index, sorted by term within ranges of terms, and the two numbers that a score needs of all documents."""
+    build_index(docs, columns).repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    lens = docs.select("id", sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns[1:]), F.size(tokens(F.coalesce(F.col(columns[0]), F.lit(""))))).alias("len"))
+    lens.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("tokens")).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def changed_index(index: DataFrame, gone: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The index after the documents of ``gone(id)`` left and ``docs`` came or changed."""
+    ids = gone.select("id").union(docs.select("id")).distinct()
+    return index.join(ids, "id", "left_anti").select(index.columns).unionByName(build_index(docs, columns))
+
+
+def search_index(index: DataFrame, totals: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """id, score as :func:`bm25` gives them, from an index: a filter on the query's terms, one shuffle by document."""
+    words = [t for t in (terms(w) for w in sanitize(query)) if t]
+    if not words:
+        return index.select("id", F.lit(0.0).alias("score")).limit(0)
+    own = index.where(F.col("term").isin(*sorted({t for w in words for t in w})))
+    fields = [c for c in index.columns if c[0] == "p" and c[1:].isdigit()]
+    held = own.groupBy("id").agg(F.max("len").alias("len"), F.map_from_entries(F.collect_list(F.struct("term", F.array(*fields)))).alias("at"))
+
+    def times(word: list[str]) -> Column:
+        lists = [F.try_element_at("at", F.lit(t)) for t in word]
+        one = []
+        for k in range(len(fields)):
+            starts = F.get(lists[0], F.lit(k))
+            for n, more in enumerate(lists[1:], 1):
+                starts = F.array_intersect(starts, F.transform(F.get(more, F.lit(k)), lambda p, n=n: p - n))
+            one.append(F.size(starts))
+        return F.coalesce(sum(one[1:], one[0]), F.lit(0))
+
+    seen = held.select("id", "len", *[times(w).cast("long").alias(f"t{k}") for k, w in enumerate(words)])
+    counts = seen.agg(*[F.count_if(F.col(f"t{k}") > 0).alias(f"n{k}") for k in range(len(words))]).crossJoin(totals)  # one row
+    avg = F.col("tokens") / F.col("docs")
+    score = F.lit(0.0)
+    for k in range(len(words)):
+        raw = F.log((F.col("docs") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))
+        f = F.col(f"t{k}")
+        score = score + F.when(raw <= 0, LEAST_IDF).otherwise(raw) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / avg))
+    match = " and ".join(f"t{k} > 0" for k in range(len(words)))
+    return seen.where(match).crossJoin(F.broadcast(counts)).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def postings(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """id, column, position, term of every token; document lengths follow from it."""
-    each = [F.struct(F.lit(c).alias("column"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("words")) for c in columns]
-    flat = docs.select("id", F.explode(F.array(*each)).alias("f")).select("id", "f.column", F.posexplode("f.words").alias("position", "term"))
-    return flat
+def search(tables: dict[str, tuple[DataFrame, list[str]]], query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
+    """kind, id, score: one table's ranking (file, symbol, narrative; any other name means symbol), or all three fused where ``kind`` is None."""
+    if kind is not None:
+        kind = kind if kind in tables else "symbol"
+        docs, columns = tables[kind]
+        return bm25(docs, columns, query, limit).select(F.lit(kind).alias("kind"), "id", F.round("score", 6).alias("score"))
+    return fuse([(k, bm25(*tables[k], query, limit)) for k in ("file", "symbol", "narrative") if k in tables], limit)
 
 
 def _places(field: Column, word: list[str]) -> Column:

@@ -34,6 +34,16 @@ def save(frames: dict[str, DataFrame], folder: str) -> None:
         _move(next(iter(frames.values())).sparkSession, f"{folder}/_new_{name}", f"{folder}/{name}")
 
 
+def load(spark: SparkSession, folder: str, tables: tuple[str, ...] = ANALYSIS) -> dict[str, DataFrame]:
+    """Readers of the tables that are there."""
+    out = {}
+    for name in tables:
+        fs, path = _fs(spark, f"{folder}/{name}")
+        if fs.exists(path):
+            out[name] = spark.read.parquet(f"{folder}/{name}")
+    return out
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

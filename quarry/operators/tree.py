@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors
+from ..plans.lineage import numbered
 
 
 def _parent(path) -> F.Column:
@@ -48,7 +49,7 @@ def file_tree(files: DataFrame, indent: str = "  ") -> DataFrame:
     # every step above the last is a directory; the last is marked by what the row is
     key = F.array_join(F.transform(steps, lambda s, i: F.concat(F.when((i < last) | (F.col("node_type") == "directory"), "0").otherwise("1"), s)), "\u0001")
     line = F.concat(F.repeat(F.lit(indent), F.col("depth").cast("int") - 1), "label", F.when(F.col("node_type") == "directory", "/").otherwise(""))
-    return rows.select(F.row_number().over(Window.orderBy(key)).cast("long").alias("place"), line.alias("line"))  # a listing for people
+    return numbered(rows.select(key.alias("key"), line.alias("line")), ["key"], "place").select("place", "line")
 
 
 def common_prefix(paths: DataFrame) -> DataFrame:
@@ -57,3 +58,71 @@ def common_prefix(paths: DataFrame) -> DataFrame:
     size = F.least(F.length("a"), F.length("b"))
     same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda k: F.substring(F.col("a"), F.lit(1), k) == F.substring(F.col("b"), F.lit(1), k)))
     return ends.select(F.regexp_replace(F.substring(F.col("a"), F.lit(1), same), "[^/]*$", "").alias("prefix"))
+
+
+def printed_tree(files: DataFrame, style: str = "default") -> DataFrame:
+    """place, line of a tree drawn in a style: default and extended (branches), compact (a bar) or minimal (indents); directories first, then by name.
+
+    The first level has no branch and its children no indent.  Whether a node is its parent's last child is one aggregate a parent.
+    """
+    rows = schematic(files, None, 1 << 20).select("node_type", "path", "parent", "depth", "label")
+    mark = F.when(F.col("node_type") == "directory", "0").otherwise("1")
+    rows = rows.withColumn("own", F.concat(mark, "label"))
+    last = rows.groupBy("parent").agg(F.max("own").alias("own")).withColumn("last", F.lit(True))
+    flags = rows.join(last, ["parent", "own"], "left").select("path", "depth", F.coalesce("last", F.lit(False)).alias("last"))
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
+    lines = rows.select("node_type", "path", "label", F.explode(above).alias("step"))
+    way = lines.join(flags.withColumnRenamed("path", "step"), "step").groupBy("node_type", "path", "label").agg(F.array_sort(F.collect_list(F.struct("depth", "last"))).alias("way"))
+    inner = F.slice("way", 2, F.greatest(F.size("way") - 2, F.lit(0)))  # the levels between the first and the node's own
+    tail = F.concat("label", F.when(F.col("node_type") == "directory", "/").otherwise(""))
+    deep = F.size("way") > 1
+    if style == "compact":
+        line = F.concat(F.repeat(F.lit("  "), F.size(inner)), F.when(deep, "| ").otherwise(""), tail)
+    elif style == "minimal":
+        line = F.concat(F.repeat(F.lit("  "), F.size(inner)), tail)
+    else:
+        bars = F.array_join(F.transform(inner, lambda x: F.when(x["last"], "    ").otherwise("│   ")), "")
+        line = F.concat(bars, F.when(~deep, "").when(F.element_at("way", -1)["last"], "└── ").otherwise("├── "), tail)
+    n = F.size(steps) - 1
+    key = F.array_join(F.transform(steps, lambda s, i: F.concat(F.when((i < n) | (F.col("node_type") == "directory"), "0").otherwise("1"), s)), "\u0001")
+    return numbered(way.select(key.alias("key"), line.alias("line")), ["key"], "place").select("place", "line")
+
+
+def collapse(nodes: DataFrame, folder: str) -> DataFrame:
+    """Tree rows without the descendants of ``folder``, which itself stays."""
+    return nodes.where(~F.col("path").startswith(f"{folder}/"))
+
+
+def matching(files: DataFrame, text: str) -> DataFrame:
+    """node_type, path of the files whose path holds ``text``, letter case apart, and of every directory above one."""
+    hits = files.where(F.lower("path").contains(text.lower())).select("path")
+    dirs = hits.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
+    return hits.select(F.lit("file").alias("node_type"), "path").unionByName(dirs.select(F.lit("directory").alias("node_type"), "path"))
+
+
+def enriched(files: DataFrame, dominant: DataFrame, labels: DataFrame, progress: DataFrame, chapters: DataFrame, colors: int = 10) -> DataFrame:
+    """node_type, path, community_id, label, color, chapter_id, done, total of every file and directory.
+
+    ``dominant(path, community_id)`` gives a file's community, :func:`directory_rollup` a directory's; ``chapters(community_id, chapter_id)``
+    and ``progress(chapter_id, done, total)`` say how far its chapter is.
+    """
+    own = files.select("path").join(dominant.select("path", "community_id"), "path", "left").select(F.lit("file").alias("node_type"), "path", "community_id")
+    dirs = directory_rollup(dominant).select(F.lit("directory").alias("node_type"), F.col("dir").alias("path"), "community_id")
+    out = own.unionByName(dirs).join(labels, "community_id", "left").join(chapters, "community_id", "left").join(progress, "chapter_id", "left")
+    label = F.when(F.col("community_id").isNotNull(), F.coalesce("label", F.concat(F.lit("community_"), "community_id")))
+    return out.select("node_type", "path", "community_id", label.alias("label"), (F.col("community_id") % colors).alias("color"), "chapter_id", "done", "total")
+
+
+def of_community(files: DataFrame, symbols: DataFrame, members: DataFrame, community: int) -> DataFrame:
+    """The files that hold a symbol of a community, each once."""
+    held = symbols.select("symbol_id", "file_id").join(members.where(F.col("community_id") == community), "symbol_id", "left_semi")
+    return files.join(held, "file_id", "left_semi")
+
+
+def expand_file(symbols: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The symbols of a file, and every edge that touches one."""
+    from .lookups import touching
+
+    own = symbols.where(F.col("path") == path)
+    return own.select("symbol_id", "name", "kind", "start_line", "end_line"), touching(edges, own.select("symbol_id"))

@@ -35,21 +35,17 @@ def _edges(s, d) -> DataFrame:
     return adapter.edges(s, d)
 
 
-def _sparse(s, d) -> DataFrame:
-    return adapter.sparse(adapter.edges(s, d))
-
-
 def _calls(s, d) -> DataFrame:
     """Edges by name, with the caller's file: what a parser would give."""
     sym = _sym(s, d)
     a = sym.select(F.col("symbol_id").alias("source_id"), "path", F.col("name").alias("caller"))
     b = sym.select(F.col("symbol_id").alias("target_id"), F.col("name").alias("callee"))
-    return _sparse(s, d).join(a, "source_id").join(b, "target_id").select("edge_id", "path", "caller", "callee")
+    return _edges(s, d).where("kind = 'CALLS'").join(a, "source_id").join(b, "target_id").select("edge_id", "path", "caller", "callee")
 
 
-CALLS = ", calls AS (SELECT edge_id, a.path, a.name AS caller, b.name AS callee FROM sparse JOIN symbols a ON a.symbol_id = source_id JOIN symbols b ON b.symbol_id = target_id)"
+CALLS = ", calls AS (SELECT edge_id, a.path, a.name AS caller, b.name AS callee FROM (SELECT edge_id, source_id, target_id FROM edges WHERE kind = 'CALLS') e JOIN symbols a ON a.symbol_id = source_id JOIN symbols b ON b.symbol_id = target_id)"
 NAMES = ", by_file AS (SELECT name, path, max(symbol_id) AS in_file FROM symbols GROUP BY ALL), by_name AS (SELECT name, min(symbol_id) AS first, count(*) AS n FROM symbols GROUP BY name)"
-ENTRY = """, ins AS (SELECT target_id AS symbol_id, count(*) AS i FROM sparse GROUP BY 1), outs AS (SELECT source_id AS symbol_id, count(*) AS o FROM sparse GROUP BY 1),
+ENTRY = """, ins AS (SELECT target_id AS symbol_id, count(*) AS i FROM edges GROUP BY 1), outs AS (SELECT source_id AS symbol_id, count(*) AS o FROM edges GROUP BY 1),
 seen AS (SELECT s.symbol_id, name, lower(name) AS n, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM symbols s LEFT JOIN ins USING (symbol_id) LEFT JOIN outs USING (symbol_id)),
 scored AS (SELECT symbol_id, name, round((n = 'main')::INT * 1.0 + (n IN ('index','mod','__init__'))::INT * 0.5 + (n LIKE '%handle%' OR n LIKE '%route%' OR n LIKE '%endpoint%')::INT * 0.7
     + (n LIKE '%cli%' OR n LIKE '%cmd%' OR n LIKE '%command%')::INT * 0.6 - (i > 5)::INT * 0.5 + CASE WHEN i = 0 AND o > 0 THEN 0.5 WHEN i = 0 THEN 0.2 ELSE 0 END, 6)::DOUBLE AS score,
@@ -58,6 +54,21 @@ scored AS (SELECT symbol_id, name, round((n = 'main')::INT * 1.0 + (n IN ('index
 entries AS (SELECT * FROM scored WHERE score >= 0.5 ORDER BY score DESC, symbol_id LIMIT 30)"""
 DOMINANT = ", dc AS (SELECT file_id, path, community_id, count(*) AS n FROM symbols JOIN members USING (symbol_id) GROUP BY ALL), dom AS (SELECT * FROM dc QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY n DESC, community_id) = 1)"
 TOKENS = r"regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z][a-z])', '\1_\2', 'g')), '[_.-]')"
+#: The labelling rule once more, in SQL.
+LABELS = rf""", lt AS (SELECT community_id, symbol_id, kind, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g')), '[_.:-]'), lambda x: strlen(x) >= 3) AS ts FROM members JOIN symbols USING (symbol_id)),
+lm AS (SELECT community_id, count(*) AS n FROM members GROUP BY 1),
+lf AS (SELECT community_id, ts[1] AS tok, count(*) AS c FROM lt WHERE len(ts) > 0 GROUP BY ALL),
+lp AS (SELECT community_id, tok AS prefix FROM (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY c DESC, tok) AS r FROM lf) JOIN lm USING (community_id) WHERE r = 1 AND n >= 2 AND c >= floor(n * 0.6)),
+lc AS (SELECT community_id, term, count(*) AS c FROM (SELECT community_id, unnest(ts) AS term FROM lt) GROUP BY ALL),
+lw AS (SELECT *, sum(c) OVER (PARTITION BY community_id) AS total, count(*) OVER (PARTITION BY term) AS df FROM lc),
+ls AS (SELECT community_id, term, row_number() OVER (PARTITION BY community_id ORDER BY round(c / total * (ln((SELECT count(*) FROM lm) / df) + 1) * CASE WHEN term = prefix THEN 1.5 ELSE 1 END, 9) DESC, term) AS r FROM lw LEFT JOIN lp USING (community_id) WHERE term NOT IN ({", ".join(repr(w) for w in metrics.STOP_WORDS)})),
+lt2 AS (SELECT community_id, max(term) FILTER (r = 1) AS t1, max(term) FILTER (r = 2) AS t2 FROM ls GROUP BY 1),
+lk AS (SELECT community_id, kind FROM lt GROUP BY community_id, kind QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY count(*) DESC, kind) = 1),
+lb AS (SELECT community_id, CASE WHEN prefix IS NOT NULL THEN CASE WHEN t1 IS NULL OR t1 = prefix THEN prefix ELSE prefix || '_' || t1 END WHEN t1 IS NULL THEN 'group_' || community_id WHEN t2 IS NULL THEN t1 ELSE t1 || '_' || t2 END AS base,
+  CASE kind WHEN 'Class' THEN 'classes' WHEN 'Interface' THEN 'interfaces' WHEN 'Struct' THEN 'types' WHEN 'Enum' THEN 'enums' WHEN 'Trait' THEN 'traits' END AS word, EXISTS (SELECT 1 FROM lc WHERE lc.community_id = lm.community_id) AS any_token
+  FROM lm LEFT JOIN lp USING (community_id) LEFT JOIN lt2 USING (community_id) LEFT JOIN lk USING (community_id)),
+ln_ AS (SELECT community_id, CASE WHEN NOT any_token THEN 'group_' || community_id WHEN word IS NULL OR contains(base, left(word, length(word) - 1)) THEN base ELSE base || '_' || word END AS full_ FROM lb),
+labels AS (SELECT community_id, CASE WHEN r = 1 THEN full_ ELSE full_ || '_' || r END AS label FROM (SELECT *, row_number() OVER (PARTITION BY full_ ORDER BY community_id) AS r FROM ln_))"""
 BOTH = ", lab AS (SELECT e.*, a.community_id AS ca, b.community_id AS cb FROM edges e JOIN members a ON a.symbol_id = source_id JOIN members b ON b.symbol_id = target_id)"
 
 
@@ -140,7 +151,7 @@ def file_fan_in(s: SparkSession, d: str) -> DataFrame:
 
 @query(ENTRY + " SELECT * FROM entries")
 def entry_points(s: SparkSession, d: str) -> DataFrame:
-    return graph.entry_points(_sym(s, d), _sparse(s, d))
+    return graph.entry_points(_sym(s, d), _edges(s, d))
 
 
 @query(BOTH + " SELECT ca AS source_community, cb AS target_community, count(*) AS weight FROM lab WHERE ca <> cb GROUP BY ALL")
@@ -164,15 +175,15 @@ def modularity(s: SparkSession, d: str) -> DataFrame:
 
 
 def _roots(s, d, n=5) -> DataFrame:
-    return graph.entry_points(_sym(s, d), _sparse(s, d), n).select(F.col("symbol_id").alias("root"))
+    return graph.entry_points(_sym(s, d), _edges(s, d), n).select(F.col("symbol_id").alias("root"))
 
 
-TOP5 = ", roots AS (SELECT symbol_id AS root FROM entries ORDER BY score DESC, symbol_id LIMIT 5)"
+TOP5 = ", calls AS (SELECT source_id, target_id FROM edges WHERE kind = 'CALLS'), roots AS (SELECT symbol_id AS root FROM entries ORDER BY score DESC, symbol_id LIMIT 5)"
 
 
-@query(ENTRY + ", roots AS (SELECT target_id AS root FROM sparse GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5), r(root, node, depth) AS (SELECT root, root, 0 FROM roots UNION SELECT root, source_id, depth + 1 FROM r JOIN sparse ON target_id = node WHERE depth < 3), m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL) SELECT root, node AS symbol_id, depth, round(1.0 / depth, 6)::DOUBLE AS risk FROM m WHERE depth > 0")
+@query(ENTRY + ", roots AS (SELECT target_id AS root FROM edges GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5), r(root, node, depth) AS (SELECT root, root, 0 FROM roots UNION SELECT root, source_id, depth + 1 FROM r JOIN edges ON target_id = node WHERE depth < 3), m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL) SELECT root, node AS symbol_id, depth, round(1.0 / depth, 6)::DOUBLE AS risk FROM m WHERE depth > 0")
 def impact(s: SparkSession, d: str) -> DataFrame:
-    e = _sparse(s, d)
+    e = _edges(s, d)
     roots = e.groupBy(F.col("target_id").alias("root")).count().orderBy(F.desc("count"), "root").limit(5).select("root")
     return graph.impact(e, roots, 3)
 
@@ -184,36 +195,56 @@ def impact_by_name(s: SparkSession, d: str) -> DataFrame:
     return graph.impact(_edges(s, d), root, 2).join(sym.select("symbol_id", "name", "kind", "path"), "symbol_id").select("root", "symbol_id", "depth", "name", "kind", "path")
 
 
-@query(ENTRY + TOP5 + ", r(root, node, depth) AS (SELECT root, root, 0 FROM roots UNION SELECT root, target_id, depth + 1 FROM r JOIN sparse ON source_id = node WHERE depth < 5), m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL) SELECT root, node AS symbol_id, depth, name, path, start_line FROM m JOIN symbols ON symbol_id = node")
+@query(ENTRY + TOP5 + ", r(root, node, depth) AS (SELECT root, root, 0 FROM roots UNION SELECT root, target_id, depth + 1 FROM r JOIN calls ON source_id = node WHERE depth < 5), m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL) SELECT root, node AS symbol_id, depth, name, path, start_line FROM m JOIN symbols ON symbol_id = node")
 def call_chain(s: SparkSession, d: str) -> DataFrame:
-    return graph.call_chain(_sym(s, d), _sparse(s, d), _roots(s, d), 5)
+    return graph.call_chain(_sym(s, d), _edges(s, d), _roots(s, d), 5)
+
 
+def _flow_sql(depth: int = 20) -> str:
+    """Queue order, level by level: by the parent's place, then the newest edge."""
+    out = ENTRY + ", calls AS (SELECT source_id AS node, target_id AS nxt, max(edge_id) AS edge_id FROM edges WHERE kind = 'CALLS' GROUP BY ALL), k0 AS MATERIALIZED (SELECT symbol_id AS root, symbol_id AS node, 0 AS depth, 1 AS place FROM entries)"
+    for k in range(1, depth + 1):
+        known = " UNION ALL ".join(f"SELECT root, node FROM k{j}" for j in range(k))
+        out += f", k{k} AS MATERIALIZED (SELECT root, node, {k} AS depth, row_number() OVER (PARTITION BY root ORDER BY p, e DESC, node) AS place FROM (SELECT root, nxt AS node, min((place, -edge_id)) AS w, w[1] AS p, -w[2] AS e FROM k{k - 1} JOIN calls USING (node) GROUP BY root, nxt) n ANTI JOIN ({known}) z USING (root, node))"
+    every = " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(depth + 1))
+    return out + f", o AS (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY depth, place) - 1 AS step_order FROM ({every})) SELECT root, h.name || '_flow' AS process, CAST(step_order AS BIGINT) AS step_order, node AS symbol_id, 'Step ' || step_order || ': ' || n.name AS description FROM o JOIN symbols h ON h.symbol_id = root JOIN symbols n ON n.symbol_id = node"
 
-@query(ENTRY + ", r(root, node, depth) AS (SELECT symbol_id, symbol_id, 0 FROM entries UNION SELECT root, target_id, depth + 1 FROM r JOIN sparse ON source_id = node WHERE depth < 20), m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL) SELECT root, count(*) AS steps, max(depth) AS deepest FROM m GROUP BY 1")
+
+@query(_flow_sql())
 def process_flow(s: SparkSession, d: str) -> DataFrame:
-    sym, e = _sym(s, d), _sparse(s, d)
-    return graph.flows(sym, e, graph.entry_points(sym, e)).groupBy("root").agg(F.count(F.lit(1)).alias("steps"), F.max("depth").alias("deepest"))
+    sym, e = _sym(s, d), _edges(s, d)
+    return graph.flows(sym, e, graph.entry_points(sym, e)).drop("depth")
+
+
+#: The component of one busy symbol by its ways out and in, and mutual reach among all others: exact for any graph.
+_SCC = """, e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges WHERE source_id <> target_id),
+pivot AS (SELECT a AS x FROM e GROUP BY a ORDER BY count(*) DESC, a LIMIT 1),
+fw(x) AS (SELECT x FROM pivot UNION SELECT b FROM fw JOIN e ON a = x), bw(x) AS (SELECT x FROM pivot UNION SELECT a FROM bw JOIN e ON b = x),
+big AS (SELECT x FROM fw SEMI JOIN bw USING (x)), rest AS (SELECT * FROM e WHERE a NOT IN (FROM big) AND b NOT IN (FROM big)),
+r(a, b) AS (SELECT a, b FROM rest UNION SELECT r.a, rest.b FROM r JOIN rest ON rest.a = r.b),
+small AS (SELECT x.a AS symbol_id, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1)
+SELECT (SELECT min(x) FROM big) AS component, x AS symbol_id FROM big WHERE (SELECT count(*) FROM big) > 1 UNION ALL SELECT component, symbol_id FROM small"""
 
 
-@query(", r(a, b) AS (SELECT DISTINCT source_id, target_id FROM sparse WHERE source_id <> target_id UNION SELECT a, target_id FROM r JOIN sparse ON source_id = b) SELECT min(y.b) AS component, x.a AS symbol_id FROM r x JOIN r y ON y.a = x.a JOIN r z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a")
+@query(_SCC)
 def cycles(s: SparkSession, d: str) -> DataFrame:
-    return graph.cycles(_sparse(s, d))
+    return graph.cycles(_edges(s, d))
 
 
-@query(", u AS (SELECT source_id AS a, target_id AS b FROM sparse UNION SELECT target_id, source_id FROM sparse), r(a, b) AS (SELECT symbol_id, symbol_id FROM symbols UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS symbol_id, min(b) AS component FROM r GROUP BY 1")
+@query(", u AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges), f(x) AS (SELECT min(a) FROM u UNION SELECT b FROM f JOIN u ON a = x), rest AS (SELECT * FROM u WHERE a NOT IN (FROM f)), r(a, b) AS (SELECT symbol_id, symbol_id FROM symbols WHERE symbol_id NOT IN (SELECT x FROM f WHERE x IS NOT NULL) UNION SELECT r.a, rest.b FROM r JOIN rest ON rest.a = r.b) SELECT x AS symbol_id, (SELECT min(x) FROM f) AS component FROM f WHERE x IS NOT NULL UNION ALL SELECT a, min(b) FROM r GROUP BY 1")
 def weak_components(s: SparkSession, d: str) -> DataFrame:
-    return graph.weak_components(_sym(s, d), _sparse(s, d))
+    return graph.weak_components(_sym(s, d), _edges(s, d))
 
 
 @query()
 def communities_detect(s: SparkSession, d: str) -> DataFrame:
-    return communities.communities(_sym(s, d), _sparse(s, d))
+    return communities.communities(_sym(s, d), _edges(s, d))
 
 
-@query(", x AS (SELECT symbol_id FROM symbols ORDER BY symbol_id LIMIT 100) SELECT edge_id, source_id, target_id, kind, confidence FROM edges WHERE source_id IN (SELECT symbol_id FROM x) AND target_id IN (SELECT symbol_id FROM x)")
+@query(", x AS (SELECT symbol_id FROM symbols ORDER BY symbol_id LIMIT 500) SELECT edge_id, source_id, target_id, kind, confidence FROM edges WHERE source_id IN (SELECT symbol_id FROM x) AND target_id IN (SELECT symbol_id FROM x)")
 def induced_edges(s: SparkSession, d: str) -> DataFrame:
-    # the page of the graph that a viewer asks for: the first 100 symbols are the query's parameter
-    return lookups.induced(_sym(s, d).orderBy("symbol_id").limit(100), _edges(s, d)).select("edge_id", "source_id", "target_id", "kind", "confidence")
+    # the page of the graph that a viewer asks for: 500 symbols, its default
+    return lookups.induced(lookups.page(_sym(s, d), "symbol_id", 500, 0, 2000), _edges(s, d)).select("edge_id", "source_id", "target_id", "kind", "confidence")
 
 
 @query(", x AS (SELECT symbol_id FROM symbols WHERE file_id = 1) SELECT edge_id, source_id, target_id, kind, confidence FROM edges WHERE source_id IN (FROM x) OR target_id IN (FROM x)")
@@ -241,9 +272,9 @@ def community_context(s: SparkSession, d: str) -> DataFrame:
     return lookups.community_context(_sym(s, d), adapter.members(s, d), _edges(s, d), 12)
 
 
-@query(BOTH + " SELECT ca AS community_id, list_aggregate(list_sort(list(DISTINCT cb)), 'string_agg', ',') AS leads_to FROM lab WHERE ca <> cb AND kind = 'CALLS' AND confidence >= 1.0 GROUP BY 1")
+@query(BOTH + " SELECT ca AS community_id, list_aggregate(list_sort(list(DISTINCT cb)), 'string_agg', ',') AS leads_to FROM lab WHERE ca <> cb GROUP BY 1")
 def community_graph(s: SparkSession, d: str) -> DataFrame:
-    e = graph.community_edges(_sparse(s, d), adapter.members(s, d))
+    e = graph.community_edges(_edges(s, d), adapter.members(s, d))
     return e.groupBy(F.col("source_community").alias("community_id")).agg(F.array_join(F.array_sort(F.collect_set("target_community")), ",").alias("leads_to"))
 
 
@@ -288,7 +319,7 @@ def community_tfidf(s: SparkSession, d: str) -> DataFrame:
     return metrics.tfidf(_sym(s, d), adapter.members(s, d))
 
 
-@query(rf", t AS (SELECT community_id, unnest(list_filter({TOKENS}, lambda x: strlen(x) >= 2)) AS term FROM members JOIN symbols USING (symbol_id)), c AS (SELECT community_id, term, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT community_id, term, round(n / sum(n) OVER (PARTITION BY community_id) * (ln((SELECT count(DISTINCT community_id) FROM members) / count(*) OVER (PARTITION BY term)) + 1), 6) AS score FROM c), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY score DESC, term) = 1), k AS (SELECT community_id, kind FROM members JOIN symbols USING (symbol_id) GROUP BY community_id, kind QUALIFY row_number() OVER (PARTITION BY community_id ORDER BY count(*) DESC, kind) = 1), l AS (SELECT community_id, term || CASE kind WHEN 'Class' THEN '_classes' WHEN 'Struct' THEN '_types' ELSE '' END AS base FROM b JOIN k USING (community_id)), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY community_id) AS r FROM l) SELECT community_id, CASE WHEN r = 1 THEN base ELSE base || '_' || r END AS label FROM n")
+@query(LABELS + " SELECT community_id, label FROM labels")
 def community_labels(s: SparkSession, d: str) -> DataFrame:
     return metrics.labels(_sym(s, d), adapter.members(s, d))
 
@@ -322,14 +353,14 @@ def complexity_lines(s: SparkSession, d: str) -> DataFrame:
 # --- detectors ------------------------------------------------------------------------------------------------------
 
 
-@query(" SELECT 'god_class' AS kind, CASE WHEN count(*) > 12 THEN 'error' ELSE 'warning' END AS severity, o.file_id, o.symbol_id, o.a AS line, '''' || o.name || ''' has ' || count(*) || ' methods' AS message FROM (SELECT file_id, symbol_id, name, start_line - 200 AS a, end_line + 200 AS b FROM symbols WHERE kind IN ('Class', 'Struct')) o JOIN symbols m ON m.file_id = o.file_id AND m.kind = 'Method' AND m.start_line >= a AND m.end_line <= b GROUP BY o.file_id, o.symbol_id, o.name, o.a HAVING count(*) > 2")
+@query(" SELECT 'god_class' AS kind, CASE WHEN count(*) > 12 THEN 'error' ELSE 'warning' END AS severity, o.file_id, o.symbol_id, o.a AS line, '''' || o.name || ''' has ' || count(*) || ' methods' AS message, '" + detectors.GOD_HINT + "' AS suggestion FROM (SELECT file_id, symbol_id, name, start_line - 200 AS a, end_line + 200 AS b FROM symbols WHERE kind IN ('Class', 'Struct')) o JOIN symbols m ON m.file_id = o.file_id AND m.kind = 'Method' AND m.start_line >= a AND m.end_line <= b GROUP BY o.file_id, o.symbol_id, o.name, o.a HAVING count(*) > 2")
 def god_class(s: SparkSession, d: str) -> DataFrame:
     wide = F.col("kind").isin("Class", "Struct")  # parts do not nest, so classes are taken to span 200 lines more each way
     sym = _sym(s, d).withColumns({"start_line": F.col("start_line") - F.when(wide, 200).otherwise(0), "end_line": F.col("end_line") + F.when(wide, 200).otherwise(0)})
     return detectors.god_class(sym, 2, 12)
 
 
-@query(" SELECT 'long_method' AS kind, CASE WHEN z > 45 THEN 'error' WHEN z > 35 THEN 'warning' ELSE 'info' END AS severity, file_id, symbol_id, start_line AS line, '''' || name || ''' is ' || z || ' lines long' AS message FROM (SELECT *, end_line - start_line AS z FROM symbols WHERE kind IN ('Function', 'Method')) WHERE z > 25")
+@query(" SELECT 'long_method' AS kind, CASE WHEN z > 45 THEN 'error' WHEN z > 35 THEN 'warning' ELSE 'info' END AS severity, file_id, symbol_id, start_line AS line, '''' || name || ''' is ' || z || ' lines long' AS message, '" + detectors.LONG_HINT + "' AS suggestion FROM (SELECT *, end_line - start_line AS z FROM symbols WHERE kind IN ('Function', 'Method')) WHERE z > 25")
 def long_method(s: SparkSession, d: str) -> DataFrame:
     return detectors.long_method(_sym(s, d), 25, 35, 45)
 
@@ -413,10 +444,9 @@ def files_by_language(s: SparkSession, d: str) -> DataFrame:
     return adapter.files(_sym(s, d)).where("language = 'rust'")
 
 
-@query(" SELECT symbol_id, name, coalesce(community_id, -1) AS community_id FROM symbols LEFT JOIN (SELECT * FROM members WHERE community_id < 20) USING (symbol_id) ORDER BY symbol_id LIMIT 500")
+@query(" SELECT symbol_id, name, coalesce(community_id, -1) AS community_id FROM symbols LEFT JOIN members USING (symbol_id) ORDER BY symbol_id LIMIT 500")
 def graph_page(s: SparkSession, d: str) -> DataFrame:
-    own = adapter.members(s, d).where("community_id < 20")
-    return lookups.page(_sym(s, d).select("symbol_id", "name").join(own, "symbol_id", "left").fillna(-1, ["community_id"]), "symbol_id", 500, 0, 2000)
+    return lookups.page(_sym(s, d).select("symbol_id", "name").join(adapter.members(s, d), "symbol_id", "left").fillna(-1, ["community_id"]), "symbol_id", 500, 0, 2000)
 
 
 @query(", i AS (SELECT target_id AS symbol_id, count(*) AS n FROM edges GROUP BY 1) SELECT community_id, symbol_id, coalesce(n, 0) AS fan_in, row_number() OVER (PARTITION BY community_id ORDER BY coalesce(n, 0) DESC, symbol_id) AS rank FROM members LEFT JOIN i USING (symbol_id) QUALIFY rank <= 5")
@@ -472,7 +502,7 @@ def file_tree(s: SparkSession, d: str) -> DataFrame:
     return tree.file_tree(adapter.files(_sym(s, d)))
 
 
-@query(" SELECT 'src/' AS prefix")
+@query(", z AS (SELECT min(path) AS a, max(path) AS b FROM files) SELECT regexp_replace(left(a, coalesce(list_max(list_filter(range(1, length(a) + 1), lambda k: left(a, k) = left(b, k))), 0)), '[^/]*$', '') AS prefix FROM z")
 def common_prefix(s: SparkSession, d: str) -> DataFrame:
     return tree.common_prefix(adapter.files(_sym(s, d)))
 

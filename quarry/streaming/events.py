@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.config import Config
+from ..plans.lineage import numbered
+
 BATCH, SECONDS = 50, 2
 #: Answers that are notices of the service and not text: fixed values.
 GARBAGE = ("Credit balance", "credit balance", "rate limit", "Rate limit", "rate_limit", "too many requests", "Too many requests", "billing", "quota exceeded", "insufficient_quota", "overloaded", "capacity", "try again later", "exceeded your", "usage limit", "account balance")
@@ -16,10 +19,24 @@ def persist(events: DataFrame, path: str, checkpoint: str, seconds: int = SECOND
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+def bus(spark, path: str, schema, files: int = 1) -> DataFrame:
+    """Events dropped as files into a folder, read as a stream of at most ``files`` files a batch; every reader has a place of its own."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def bridge(events: DataFrame, path: str, checkpoint: str, config: Config, available_now: bool = False):
+    """Writes the bus to ``path`` if the configuration asks for it; else nothing starts."""
+    return persist(events, path, checkpoint, config.batch_flush_secs, available_now) if config.persist_events else None
+
+
+def progress(events: DataFrame, total: int) -> DataFrame:
+    """files_done, total, percent of a run from its ``file_parsed`` events."""
+    return events.where("type = 'file_parsed'").agg(F.count(F.lit(1)).alias("files_done")).select("files_done", F.lit(total).cast("long").alias("total"), F.floor(100 * F.try_divide(F.col("files_done"), F.lit(total)) + 0.5).cast("long").alias("percent"))
+
+
 def batches(events: DataFrame, size: int = BATCH) -> DataFrame:
-    """batch_id, n, first_id, last_id, and how many of each batch by count; ids in order of (ts, event_id)."""
-    nth = F.row_number().over(Window.orderBy("ts", "event_id")) - 1  # replay of one ordered channel
-    own = events.select("event_id", F.floor(nth / size).cast("long").alias("batch_id"))
+    """batch_id, n, first_id, last_id, and how many of each batch by count; ids in order of (ts, event_id), dealt by ranges."""
+    own = numbered(events.select("event_id", "ts"), ["ts", "event_id"], "nth").select("event_id", F.floor((F.col("nth") - 1) / size).cast("long").alias("batch_id"))
     return own.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
