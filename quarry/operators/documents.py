@@ -112,14 +112,9 @@ def flowcharts(functions: DataFrame) -> DataFrame:
     return functions.select("symbol_id", "name", "body").mapInArrow(run, "symbol_id long, nodes array<struct<id: string, kind: string, label: string>>, edges array<struct<`from`: string, `to`: string, label: string>>")
 
 
-def module_summaries(nodes: DataFrame, edges: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
-    """community_id, content: a templated text on each community."""
-    sizes = members.groupBy("community_id").agg(F.count(F.lit(1)).alias("n"))
-    kinds = members.join(nodes.select("symbol_id", "kind"), "symbol_id").groupBy("community_id", "kind").count()
-    told = kinds.groupBy("community_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "kind", "count"))), lambda x: F.concat(x["count"], F.lit(" "), x["kind"])), ", ").alias("kinds"))
-    out = community_edges(edges, members).groupBy(F.col("source_community").alias("community_id")).agg(F.sum("weight").alias("outgoing"))
-    text = F.concat(F.lit("## "), format_label(F.col("label")), F.lit("\n\n"), F.col("n"), F.lit(" symbols: "), F.col("kinds"), F.lit(". "), F.coalesce("outgoing", F.lit(0)), F.lit(" links to other modules."))
-    return sizes.join(told, "community_id").join(labels, "community_id").join(out, "community_id", "left").select("community_id", text.alias("content"))
+def titled(cohesion: DataFrame, labels: DataFrame) -> DataFrame:
+    """community_id, n_members, cohesion, label and the label as a title."""
+    return cohesion.join(labels, "community_id").withColumn("title", format_label(F.col("label")))
 
 
 def _listing(rows: DataFrame, order: list, line, by: list[str] = ()) -> DataFrame:
@@ -147,7 +142,7 @@ def narratives(nodes: DataFrame, edges: DataFrame, members: DataFrame, labels: D
     ``cohesion(community_id, n_members, cohesion)`` and ``entries(symbol_id, name, score, reason)``.  The texts are fixed values.
     Lists over the whole corpus have a stated length; ties go to the least id.
     """
-    own = cohesion.join(labels, "community_id").withColumn("title", format_label(F.col("label")))
+    own = titled(cohesion, labels)
     counts = files.agg(F.count(F.lit(1)).alias("f"), F.coalesce(F.sum("sloc"), F.lit(0)).alias("l"), F.array_join(F.array_sort(F.collect_set("language")), ", ").alias("langs"))
     counts = counts.crossJoin(nodes.agg(F.count(F.lit(1)).alias("s"))).crossJoin(edges.agg(F.count(F.lit(1)).alias("e")))  # one row each
     counts = counts.crossJoin(own.agg(F.count(F.lit(1)).alias("m"))).crossJoin(entries.agg(F.count(F.lit(1)).alias("x")))
@@ -402,9 +397,9 @@ def export(name: str, files: DataFrame, symbols: DataFrame, edges: DataFrame, me
     badges = language_breakdown(files).agg(F.array_sort(F.collect_list(F.struct((-F.col("percent")).alias("order"), "language", "percent"))).alias("languages"))
     sizes = members.groupBy("community_id").agg(F.count(F.lit(1)).alias("members")).join(labels, "community_id")
     modules = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("members")).alias("order"), "community_id", "label", "members"))).alias("modules"))
-    kinds = edges.groupBy("kind").count().agg(F.map_from_entries(F.collect_list(F.struct("kind", "count"))).alias("edges"))
+    kinds = edges.groupBy("kind").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "count")))).alias("edges"))
     counts = symbols.agg(F.count(F.lit(1)).alias("symbols")).crossJoin(files.agg(F.count(F.lit(1)).alias("files"), F.sum("sloc").alias("sloc")))
-    issues = findings.groupBy("severity").count().agg(F.map_from_entries(F.collect_list(F.struct("severity", "count"))).alias("findings"))
+    issues = findings.groupBy("severity").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "count")))).alias("findings"))
     doc = counts.crossJoin(badges).crossJoin(modules).crossJoin(kinds).crossJoin(issues).withColumn("repo", F.lit(name))  # each one row
     return doc.select(F.to_json(F.struct("repo", "files", "sloc", "symbols", "languages", "modules", "edges", "findings")).alias("document"))
 

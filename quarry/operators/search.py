@@ -48,14 +48,22 @@ def build_index(docs: DataFrame, columns: list[str]) -> DataFrame:
     rows = docs.select("id", fields.alias("fs")).withColumn("len", F.aggregate("fs", F.lit(0), lambda n, f: n + F.size(f)).cast("long"))
     rows = rows.select("id", "len", F.posexplode("fs").alias("k", "f")).select("id", "len", "k", F.posexplode("f").alias("at", "term"))
     own = rows.groupBy("term", "id", "len").agg(F.array_sort(F.collect_list(F.struct("k", "at"))).alias("ps"))
-    return own.select("term", "id", "len", *[F.transform(F.filter("ps", lambda p, k=k: p["k"] == k), lambda p: p["at"]).alias(f"p{k}") for k in range(len(columns))])
+    # (a lambda's second parameter would be an element's index)
+    in_field = lambda k: F.transform(F.filter("ps", lambda p: p["k"] == k), lambda p: p["at"])
+    return own.select("term", "id", "len", *[in_field(k).alias(f"p{k}") for k in range(len(columns))])
 
 
 def store_index(docs: DataFrame, columns: list[str], path: str) -> None:
     """Write the index, sorted by term within ranges of terms, and the two numbers that a score needs of all documents."""
     build_index(docs, columns).repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    lens = docs.select("id", sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns[1:]), F.size(tokens(F.coalesce(F.col(columns[0]), F.lit(""))))).alias("len"))
-    lens.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("tokens")).write.mode("overwrite").parquet(f"{path}/totals")
+    index_totals(docs, columns).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def index_totals(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """One row, docs and tokens: what a score needs of all documents."""
+    sizes = [F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns]
+    lens = docs.select(sum(sizes[1:], sizes[0]).alias("len"))
+    return lens.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("tokens"))
 
 
 def changed_index(index: DataFrame, gone: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,13 +81,16 @@ def search_index(index: DataFrame, totals: DataFrame, query: str, limit: int = 1
     fields = [c for c in index.columns if c[0] == "p" and c[1:].isdigit()]
     held = own.groupBy("id").agg(F.max("len").alias("len"), F.map_from_entries(F.collect_list(F.struct("term", F.array(*fields)))).alias("at"))
 
+    def back(places: Column, n: int) -> Column:
+        return F.transform(places, lambda p: p - n)
+
     def times(word: list[str]) -> Column:
         lists = [F.try_element_at("at", F.lit(t)) for t in word]
         one = []
         for k in range(len(fields)):
             starts = F.get(lists[0], F.lit(k))
             for n, more in enumerate(lists[1:], 1):
-                starts = F.array_intersect(starts, F.transform(F.get(more, F.lit(k)), lambda p, n=n: p - n))
+                starts = F.array_intersect(starts, back(F.get(more, F.lit(k)), n))
             one.append(F.size(starts))
         return F.coalesce(sum(one[1:], one[0]), F.lit(0))
 

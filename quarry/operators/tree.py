@@ -126,3 +126,16 @@ def expand_file(symbols: DataFrame, edges: DataFrame, path: str) -> tuple[DataFr
 
     own = symbols.where(F.col("path") == path)
     return own.select("symbol_id", "name", "kind", "start_line", "end_line"), touching(edges, own.select("symbol_id"))
+
+
+def node_detail(symbols: DataFrame, edges: DataFrame, members: DataFrame, labels: DataFrame, chapters: DataFrame, progress: DataFrame, symbol: int, most: int = 20) -> DataFrame:
+    """A symbol's row with its community's label, the ``most`` least ids that lead to it and that it leads to, and its chapter's progress."""
+
+    def side(own: str, other: str, name: str) -> DataFrame:
+        ids = edges.where(F.col(own) == symbol).select(F.col(other).alias("o")).distinct().orderBy("o").limit(most)
+        return ids.agg(F.nullif(F.array_join(F.array_sort(F.collect_list("o")), ","), F.lit("")).alias(name))  # one row
+
+    own = symbols.where(F.col("symbol_id") == symbol).select("symbol_id", "name", "kind", "path")
+    out = own.join(members, "symbol_id", "left").join(labels, "community_id", "left").join(chapters, "community_id", "left").join(progress.select("chapter_id", "done", "total"), "chapter_id", "left")
+    out = out.crossJoin(side("target_id", "source_id", "callers")).crossJoin(side("source_id", "target_id", "callees"))
+    return out.select("symbol_id", "name", "kind", "path", "label", "callers", "callees", "chapter_id", "done", "total")

@@ -218,15 +218,15 @@ def process_flow(s: SparkSession, d: str) -> DataFrame:
 
 #: The component of one busy symbol by its ways out and in, and mutual reach among all others: exact for any graph.
 _SCC = """, e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges WHERE source_id <> target_id),
-pivot AS (SELECT a AS x FROM e GROUP BY a ORDER BY count(*) DESC, a LIMIT 1),
-fw(x) AS (SELECT x FROM pivot UNION SELECT b FROM fw JOIN e ON a = x), bw(x) AS (SELECT x FROM pivot UNION SELECT a FROM bw JOIN e ON b = x),
+hub0 AS (SELECT a AS x FROM e GROUP BY a ORDER BY count(*) DESC, a LIMIT 1),
+fw(x) AS (SELECT x FROM hub0 UNION SELECT b FROM fw JOIN e ON a = x), bw(x) AS (SELECT x FROM hub0 UNION SELECT a FROM bw JOIN e ON b = x),
 big AS (SELECT x FROM fw SEMI JOIN bw USING (x)), rest AS (SELECT * FROM e WHERE a NOT IN (FROM big) AND b NOT IN (FROM big)),
 r(a, b) AS (SELECT a, b FROM rest UNION SELECT r.a, rest.b FROM r JOIN rest ON rest.a = r.b),
-small AS (SELECT x.a AS symbol_id, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1)
-SELECT (SELECT min(x) FROM big) AS component, x AS symbol_id FROM big WHERE (SELECT count(*) FROM big) > 1 UNION ALL SELECT component, symbol_id FROM small"""
+small AS (SELECT x.a AS symbol_id, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1)"""
+_SCC_ROWS = """SELECT (SELECT min(x) FROM big) AS component, x AS symbol_id FROM big WHERE (SELECT count(*) FROM big) > 1 UNION ALL SELECT component, symbol_id FROM small"""
 
 
-@query(_SCC)
+@query(_SCC + " " + _SCC_ROWS)
 def cycles(s: SparkSession, d: str) -> DataFrame:
     return graph.cycles(_edges(s, d))
 
@@ -365,33 +365,58 @@ def long_method(s: SparkSession, d: str) -> DataFrame:
     return detectors.long_method(_sym(s, d), 25, 35, 45)
 
 
-@query(r", w AS (SELECT file_id, path, count(*) AS n FROM symbols GROUP BY ALL) SELECT 'test_gap' AS kind, 'info' AS severity, file_id, CAST(NULL AS BIGINT) AS symbol_id, CAST(NULL AS BIGINT) AS line, path || ' has no test file' AS message FROM w WHERE n > 5 AND NOT regexp_matches(lower(path), 'test_|_test\.|\.test\.|\.spec\.|/tests/|/test/')")
+_STEM = r"regexp_extract(path, '([^/]*?)\.[^./]+$', 1)"
+_GAPS = rf""", w AS (SELECT file_id, path, count(*) AS n, {_STEM} AS stem, regexp_extract(path, '\.([^./]+)$', 1) AS ext, regexp_replace(path, '[^/]*$', '') AS home FROM symbols GROUP BY ALL),
+want AS (SELECT file_id, unnest(CASE WHEN ext = 'py' THEN [home || 'test_' || stem || '.py', home || stem || '_test.py', home || 'tests/' || stem || '.py', home || 'tests/test_' || stem || '.py', 'tests/test_' || stem || '.py', 'tests/' || stem || '.py']
+  WHEN ext IN ('ts', 'tsx', 'js', 'jsx') THEN [home || stem || '.test.' || ext, home || stem || '.spec.' || ext] WHEN ext = 'go' THEN [home || stem || '_test.go']
+  WHEN ext = 'rs' THEN ['tests/' || stem || '.rs', CASE WHEN contains(path, 'src/') THEN replace(path, 'src/', 'tests/') END] ELSE [] END) AS path FROM w),
+gaps AS (SELECT 'test_gap' AS kind, 'info' AS severity, file_id, CAST(NULL AS BIGINT) AS symbol_id, CAST(NULL AS BIGINT) AS line, path || ' has no test file' AS message, '{detectors.TEST_HINT[0]}' || n || '{detectors.TEST_HINT[1]}' AS suggestion FROM w
+  WHERE n > 5 AND NOT regexp_matches(lower(path), 'test_|_test\.|\.test\.|\.spec\.|/tests/|/test/') AND file_id NOT IN (SELECT want.file_id FROM want JOIN w x ON x.path = want.path))"""
+
+
+@query(_GAPS + " SELECT * FROM gaps")
 def test_gap(s: SparkSession, d: str) -> DataFrame:
     return detectors.test_gap(_sym(s, d))
 
 
-_EXTRA = (r'token\s*=\s*"', "error", "Hardcoded token", "Use environment variables")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
 
+_HITS = ", l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS row, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM sources), hits AS (" + " UNION ALL ".join(
+    f"SELECT 'security_hotspot' AS kind, '{sev}' AS severity, file_id, CAST(NULL AS BIGINT) AS symbol_id, CAST(line AS BIGINT) AS line, {_quoted(text)} AS message, {_quoted(hint)} AS suggestion FROM l WHERE regexp_matches(row, {_quoted(pattern)})" for pattern, sev, text, hint in detectors.HOTSPOTS
+) + ")"
 
-@query(r", l AS (SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS row, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents) SELECT 'security_hotspot' AS kind, severity, file_id, CAST(NULL AS BIGINT) AS symbol_id, CAST(line AS BIGINT) AS line, message FROM (SELECT file_id, line, 'error' AS severity, 'Hardcoded token' AS message FROM l WHERE regexp_matches(row, 'token\s*=\s*" + '"' + r"') UNION ALL SELECT file_id, line, 'error', 'Hardcoded secret' FROM l WHERE regexp_matches(row, '(?i)(password|api_key|secret)\s*=\s*[" + '"' + r"'']'))")
+
+@query(_HITS + " SELECT * FROM hits")
 def security_scan(s: SparkSession, d: str) -> DataFrame:
-    texts = table(s, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
-    return detectors.security(texts, (*detectors.HOTSPOTS, _EXTRA))
+    return detectors.security(adapter.sources(_sym(s, d)))
 
 
-@query()
+_FOUND = f""", rings AS (SELECT 'circular_dependency' AS kind, 'warning' AS severity, arg_min(file_id, symbol_id) AS file_id, component AS symbol_id, CAST(NULL AS BIGINT) AS line,
+  'Circular: ' || string_agg(name, ' → ' ORDER BY symbol_id) || ' → ' || arg_min(name, symbol_id) AS message, '{detectors.CYCLE_HINT}' AS suggestion FROM scc JOIN symbols USING (symbol_id) GROUP BY component),
+spans AS (SELECT 'long_method' AS kind, CASE WHEN z > 200 THEN 'error' WHEN z > 100 THEN 'warning' ELSE 'info' END AS severity, file_id, symbol_id, start_line AS line, '''' || name || ''' is ' || z || ' lines long' AS message, '{detectors.LONG_HINT}' AS suggestion
+  FROM (SELECT *, end_line - start_line AS z FROM symbols WHERE kind IN ('Function', 'Method')) WHERE z > 50),
+gods AS (SELECT 'god_class' AS kind, CASE WHEN count(*) > 30 THEN 'error' ELSE 'warning' END AS severity, o.file_id, o.symbol_id, o.start_line AS line, '''' || o.name || ''' has ' || count(*) || ' methods' AS message, '{detectors.GOD_HINT}' AS suggestion
+  FROM symbols o JOIN symbols m ON m.file_id = o.file_id AND m.kind = 'Method' AND m.start_line >= o.start_line AND m.end_line <= o.end_line WHERE o.kind IN ('Class', 'Struct') GROUP BY o.file_id, o.symbol_id, o.name, o.start_line HAVING count(*) > 20)
+SELECT * FROM gods UNION ALL SELECT * FROM spans UNION ALL SELECT * FROM rings UNION ALL SELECT * FROM hits UNION ALL SELECT * FROM gaps"""
+
+
+@query(_SCC + ", scc AS (" + _SCC_ROWS + ")" + _GAPS + _HITS + _FOUND)
 def findings_all(s: SparkSession, d: str) -> DataFrame:
-    texts = table(s, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
-    return detectors.findings(_sym(s, d), _sparse(s, d), texts)
+    sym = _sym(s, d)
+    return detectors.findings(sym, _edges(s, d), adapter.sources(sym))
 
 
 # --- search ---------------------------------------------------------------------------------------------------------
 
 
 def _bm25_sql(source: str, words: list[str], limit: int) -> str:
-    """BM25 of ``source(id, ws)`` (token lists), for single-token words."""
+    """BM25 of ``source(id, ws)`` (token lists) for words and phrases of two."""
     n = range(len(words))
-    counts = ", ".join(f"len(list_filter(ws, lambda x: x = '{w}')) AS t{k}" for k, w in enumerate(words))
+    # a word of two tokens is a phrase
+    times = lambda w: f"len(list_filter(range(1, len(ws)), lambda k: ws[k] = '{w.split()[0]}' AND ws[k + 1] = '{w.split()[1]}'))" if " " in w else f"len(list_filter(ws, lambda x: x = '{w}'))"
+    counts = ", ".join(f"{times(w)} AS t{k}" for k, w in enumerate(words))
     idf = lambda k: f"(CASE WHEN ln((z - n{k} + 0.5) / (n{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((z - n{k} + 0.5) / (n{k} + 0.5)) END)"
     score = " + ".join(f"{idf(k)} * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * len / avg))" for k in n)
     return f"(SELECT id, round({score}, 6)::DOUBLE AS score, {score} AS raw FROM (SELECT id, len(ws) AS len, {counts} FROM ({source})) d, (SELECT count(*) AS z, avg(len) AS avg, {', '.join(f'count(*) FILTER (t{k} > 0) AS n{k}' for k in n)} FROM (SELECT len(ws) AS len, {counts} FROM ({source}))) g WHERE {' AND '.join(f't{k} > 0' for k in n)} ORDER BY raw DESC, id LIMIT {limit})"
@@ -588,25 +613,77 @@ def label_format(s: SparkSession, d: str) -> DataFrame:
 
 def _parts(s, d):
     sym, mem = _sym(s, d), adapter.members(s, d)
-    return sym, _sparse(s, d), mem, metrics.labels(sym, mem)
+    return sym, _edges(s, d), mem, metrics.labels(sym, mem)
 
 
-@query()
+def _title(x: str) -> str:
+    return f"array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(replace(replace({x}, 'cluster_', ''), '_', ' '), ' ')], ' ')"
+
+
+def _node(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '[^A-Za-z0-9_]', '_', 'g'), '^([^A-Za-z])', 'n\\1')"
+
+
+def _whole(x: str) -> str:
+    return f"CAST(floor(round({x} * 100, 6) + 0.5) AS BIGINT)"
+
+
+_COHESION = ", ci AS (SELECT ca AS community_id, sum(CASE WHEN source_id = target_id THEN 1 ELSE 2 END) AS ends FROM lab WHERE ca = cb GROUP BY 1), coh AS (SELECT community_id, n_members, CASE WHEN n_members <= 1 THEN 1.0 ELSE round((coalesce(ends, 0) // 2) / (n_members * (n_members - 1) / 2), 6) END::DOUBLE AS cohesion FROM (SELECT community_id, count(*) AS n_members FROM members GROUP BY 1) LEFT JOIN ci USING (community_id))"
+_OWN = LABELS + BOTH + _COHESION + f", own AS (SELECT coh.*, label, {_title('label')} AS title FROM coh JOIN labels USING (community_id)), leave AS (SELECT ca AS community_id, count(*) AS outgoing FROM lab WHERE ca <> cb GROUP BY 1)"
+
+
+def _all_parts(s, d):
+    sym, e, mem, lab = _parts(s, d)
+    return sym, e, mem, lab, graph.cohesion(e, mem), graph.entry_points(sym, e)
+
+
+_MERMAID = f""", fan AS (SELECT target_id AS symbol_id, count(*) AS n FROM edges GROUP BY 1),
+top50 AS (SELECT s.symbol_id, name, {_node("name || '_' || s.symbol_id")} AS node FROM symbols s LEFT JOIN fan USING (symbol_id) ORDER BY coalesce(n, 0) DESC, s.symbol_id LIMIT 50),
+pick AS (SELECT top50.*, community_id, coalesce(label, 'other') AS label FROM top50 LEFT JOIN members USING (symbol_id) LEFT JOIN labels USING (community_id)),
+box AS (SELECT label, '  subgraph ' || {_node('label')} || '["' || {_title('label')} || '"]\n' || string_agg('    ' || node || '["' || name || '"]', '\n' ORDER BY symbol_id) || '\n  end' AS t FROM pick GROUP BY label),
+way AS (SELECT '  ' || a.node || CASE WHEN a.community_id = b.community_id THEN ' --> ' ELSE ' -.-> ' END || b.node AS t FROM (SELECT DISTINCT source_id, target_id FROM edges) JOIN pick a ON a.symbol_id = source_id JOIN pick b ON b.symbol_id = target_id)
+SELECT concat_ws('\n', 'graph TD', (SELECT string_agg(t, '\n' ORDER BY label) FROM box), (SELECT string_agg(t, '\n' ORDER BY t) FROM way)) AS mermaid"""
+
+
+@query(LABELS + _MERMAID)
 def mermaid_architecture(s: SparkSession, d: str) -> DataFrame:
     return documents.architecture(*_parts(s, d))
 
 
-@query(BOTH + ", n AS (SELECT community_id, count(*) AS n FROM members GROUP BY 1), o AS (SELECT ca AS community_id, count(*) AS o FROM lab WHERE ca <> cb AND kind = 'CALLS' AND confidence >= 1.0 GROUP BY 1) SELECT community_id, n AS members, coalesce(o, 0) AS outgoing FROM n LEFT JOIN o USING (community_id)")
+_SUMMARY = f""", held AS (SELECT community_id, symbol_id, '- `' || name || '`' AS t, lower(kind) AS k FROM members JOIN symbols USING (symbol_id)),
+types AS (SELECT community_id, string_agg(t, '\n' ORDER BY symbol_id) AS types FROM held WHERE k IN ('struct', 'class', 'enum', 'trait', 'interface') GROUP BY 1),
+funcs AS (SELECT community_id, string_agg(t, '\n' ORDER BY symbol_id) FILTER (r <= 10) AS funcs, count(*) AS nf FROM (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY symbol_id) AS r FROM held WHERE k IN ('function', 'method', 'fn')) GROUP BY 1),
+told AS (SELECT community_id, '## Module: ' || title || '\n\nThis module contains **' || n_members || ' symbols** with a cohesion score of **' || {_whole('cohesion')} || '%** and **' || coalesce(outgoing, 0) || ' external connections**.'
+  || coalesce('\n\n### Types\n\n' || types, '') || coalesce('\n\n### Functions\n\n' || funcs, '') || CASE WHEN nf > 10 THEN '\n- ...and ' || (nf - 10) || ' more' ELSE '' END AS content FROM own LEFT JOIN leave USING (community_id) LEFT JOIN types USING (community_id) LEFT JOIN funcs USING (community_id))"""
+_NARRATIVES = ENTRY + _OWN + _SUMMARY + f""", cnt AS (SELECT (SELECT count(*) FROM files) AS f, (SELECT CAST(sum(sloc) AS BIGINT) FROM files) AS l, (SELECT string_agg(DISTINCT language, ', ' ORDER BY language) FROM files) AS langs, (SELECT count(*) FROM symbols) AS s, (SELECT count(*) FROM edges) AS e, (SELECT count(*) FROM own) AS m, (SELECT count(*) FROM entries) AS x),
+fan AS (SELECT target_id AS symbol_id, count(*) AS n FROM edges GROUP BY 1),
+a1 AS (SELECT string_agg('- **' || title || '** — ' || n_members || ' symbols (cohesion: ' || {_whole('cohesion')} || '%)', '\n' ORDER BY community_id) AS t FROM own WHERE n_members > 1),
+a2 AS (SELECT string_agg('- `' || name || '` — ' || reason, '\n' ORDER BY score DESC, symbol_id) AS t FROM (SELECT * FROM entries ORDER BY score DESC, symbol_id LIMIT 5)),
+a3 AS (SELECT string_agg('- **' || n || '** ' || CASE kind WHEN 'CALLS' THEN 'function calls' WHEN 'IMPORTS' THEN 'import dependencies' WHEN 'EXTENDS' THEN 'inheritance relationships' ELSE 'interface implementations' END, '\n' ORDER BY n DESC, kind) AS t FROM (SELECT kind, count(*) AS n FROM edges GROUP BY 1)),
+three AS (SELECT community_id, string_agg(name, '`, `' ORDER BY symbol_id) AS names FROM (SELECT community_id, symbol_id, name, row_number() OVER (PARTITION BY community_id ORDER BY symbol_id) AS r FROM members JOIN symbols USING (symbol_id)) WHERE r <= 3 GROUP BY 1),
+a4 AS (SELECT string_agg('- **' || title || '** (' || n_members || ' symbols) — includes: `' || names || '`', '\n' ORDER BY n_members DESC, community_id) AS t FROM (SELECT * FROM own JOIN three USING (community_id) WHERE n_members > 1 ORDER BY n_members DESC, community_id LIMIT 10)),
+a5 AS (SELECT string_agg(r || '. **`' || name || '`** (' || kind || ') — ' || reason || ' *(score: ' || printf('%.1f', score) || ')*', '\n' ORDER BY r) AS t FROM (SELECT entries.*, kind, row_number() OVER (ORDER BY score DESC, symbol_id) AS r FROM entries JOIN (SELECT symbol_id, kind FROM symbols) USING (symbol_id)) WHERE r <= 8),
+a6 AS (SELECT string_agg('- `' || name || '` (' || kind || ') — used by ' || n || ' other symbols', '\n' ORDER BY n DESC, symbol_id) AS t FROM (SELECT * FROM fan JOIN symbols USING (symbol_id) WHERE n >= 3 ORDER BY n DESC, symbol_id LIMIT 8)),
+a7 AS (SELECT string_agg('- **' || title || '** — ' || n_members || ' symbols, cohesion ' || {_whole('cohesion')} || '%', '\n' ORDER BY cohesion, community_id) AS t FROM (SELECT * FROM own WHERE n_members > 2 ORDER BY cohesion, community_id LIMIT 5)),
+texts AS (SELECT 'overview' AS kind, '## Project Overview\n\nThis project contains **' || f || ' files** with **' || s || ' symbols** across **' || l || ' lines of code**, written in **' || coalesce(langs, 'unknown languages') || '**.\n\nThe codebase is organized into **' || m || ' functional modules** (automatically detected communities) with **' || x || ' entry points**.' || coalesce('\n\n### Modules at a Glance\n\n' || a1.t, '') || coalesce('\n\n### Key Entry Points\n\n' || a2.t, '') AS content FROM cnt, a1, a2
+UNION ALL SELECT 'architecture', CASE WHEN m = 0 THEN 'No community/module structure detected yet.' ELSE '## Architecture\n\nThe codebase consists of **' || s || ' symbols** connected by **' || e || ' relationships** across **' || m || ' modules**.\n\n' || coalesce('### Relationship Types\n\n' || a3.t || '\n\n', '') || '### Module Hierarchy\n\n' || coalesce(a4.t, '') END FROM cnt, a3, a4
+UNION ALL SELECT 'reading_order', coalesce('## Recommended Reading Order\n\nStart with the entry points below, then follow the dependency chains to understand how the codebase fits together.\n\n' || t, 'No entry points detected. Run analysis to generate reading order.') FROM a5
+UNION ALL SELECT 'extension_guide', '## Extension Guide\n\nTo extend this codebase, look at the modules with the highest cohesion — they represent well-defined functional areas where new features can be added cleanly.\n' || coalesce('\n### Key Extension Points (high fan-in)\n\n' || t, '') FROM a6
+UNION ALL SELECT 'contribution_guide', '## Contribution Guide\n\nHere''s how to get started contributing to this codebase:\n\n1. **Start with entry points** — understand the main execution paths\n2. **Pick a module** — each module is relatively self-contained\n3. **Follow the edges** — understand how your module connects to others\n' || coalesce('\n### Good First Areas\n\n' || t, '') FROM a7
+UNION ALL SELECT 'why_trending', '## Why This Project\n\nThis project is written in ' || coalesce(langs, 'various languages') || ' with ' || f || ' files. Explore the modules, architecture, and entry points to understand its design.' FROM cnt)
+SELECT 'module_summary' AS kind, community_id AS target_id, content, true AS is_placeholder FROM told UNION ALL SELECT kind, NULL, content, true FROM texts"""
+
+
+@query(_OWN + _SUMMARY + " SELECT community_id, content FROM told")
 def module_summaries(s: SparkSession, d: str) -> DataFrame:
-    told = documents.module_summaries(*_parts(s, d))
-    number = lambda p: F.regexp_extract("content", p, 1).cast("long")
-    return told.select("community_id", number(r"\n(\d+) symbols").alias("members"), number(r"(\d+) links to").alias("outgoing"))
+    sym, e, mem, lab = _parts(s, d)
+    return documents.summaries(sym, e, mem, documents.titled(graph.cohesion(e, mem), lab))
 
 
-@query()
+@query(_NARRATIVES)
 def narratives(s: SparkSession, d: str) -> DataFrame:
-    sym, e, mem, lab = _parts(s, d)
-    return documents.narratives(sym, e, mem, lab, adapter.files(sym))
+    sym, e, mem, lab, coh, entries = _all_parts(s, d)
+    return documents.narratives(sym, e, mem, lab, adapter.files(sym), coh, entries)
 
 
 @query()
@@ -615,12 +692,36 @@ def topo_chapters(s: SparkSession, d: str) -> DataFrame:
     return documents.curriculum(mem, lab, e, graph.entry_points(sym, e))
 
 
-@query()
+_QUIZ = """, two AS (SELECT * FROM (SELECT community_id, symbol_id, name, row_number() OVER (PARTITION BY community_id ORDER BY symbol_id) - 1 AS i FROM members JOIN symbols USING (symbol_id)) WHERE i < 2),
+ways AS (SELECT t.community_id, i, t.name, o.name AS other, e.kind, edge_id, row_number() OVER (PARTITION BY t.community_id, i ORDER BY edge_id DESC) AS r FROM edges e JOIN two t ON t.symbol_id = source_id JOIN symbols o ON o.symbol_id = target_id),
+down AS (SELECT community_id, i, list(other ORDER BY r) AS others FROM ways WHERE r <= 4 GROUP BY ALL), kin AS (SELECT community_id, i, arg_max(other, edge_id) AS parent, arg_max(kind, edge_id) AS kind FROM ways WHERE kind IN ('EXTENDS', 'IMPLEMENTS') GROUP BY ALL),
+up AS (SELECT community_id, i, list(other ORDER BY r) AS others FROM (SELECT t.community_id, i, o.name AS other, row_number() OVER (PARTITION BY t.community_id ORDER BY edge_id DESC) AS r FROM edges e JOIN two t ON t.symbol_id = target_id AND i = 0 JOIN symbols o ON o.symbol_id = source_id) WHERE r <= 4 GROUP BY ALL),
+four AS (SELECT list(struct_pack(c := community_id, l := label) ORDER BY community_id) AS known FROM (SELECT * FROM labels ORDER BY community_id LIMIT 4)),
+base AS (SELECT two.*, down.others, down.others[1] AS first, kin.kind AS kin, coalesce(kin.parent, 'Base' || name) AS parent, CASE WHEN kin.kind = 'IMPLEMENTS' THEN 'implements' ELSE 'extends' END AS verb FROM two LEFT JOIN down USING (community_id, i) LEFT JOIN kin USING (community_id, i)),
+asked AS (SELECT community_id, 0 AS rank, i, 'dep' AS w, 'multiple_choice' AS kind, 'Which symbol does ''' || name || ''' depend on?' AS question, list_append(others, name || 'Helper')[1:4] AS options, 0 AS correct_index, '''' || name || ''' has a direct dependency edge to ''' || first || ''' in the knowledge graph.' AS explanation FROM base WHERE others IS NOT NULL
+UNION ALL SELECT community_id, 1, i, 'call', 'true_false', 'True or False: ''' || name || ''' calls ''' || coalesce(first, name || 'Processor') || '''.', ['True', 'False'], CASE WHEN first IS NULL THEN 1 ELSE 0 END, CASE WHEN first IS NOT NULL THEN '''' || name || ''' calls ''' || first || ''' as shown by the CALLS edge in the knowledge graph.' ELSE '''' || name || ''' does not call ''' || name || 'Processor'' — there is no such edge in the knowledge graph.' END FROM base
+UNION ALL SELECT community_id, 2, i, 'member', 'multiple_choice', 'Which module contains ''' || name || '''?', CASE WHEN len(list_filter(known, lambda x: x.c <> community_id)) = 0 THEN [label, 'Utilities'] ELSE list_concat([label], list_transform(list_filter(known, lambda x: x.c <> community_id), lambda x: x.l)[1:3]) END, 0, '''' || name || ''' is a member of the ''' || label || ''' community.' FROM base JOIN labels USING (community_id), four WHERE i = 0
+UNION ALL SELECT community_id, 3, i, 'heritage', 'true_false', 'True or False: ''' || name || ''' ' || verb || ' ''' || parent || '''.', ['True', 'False'], CASE WHEN kin IS NULL THEN 1 ELSE 0 END, CASE WHEN kin IS NOT NULL THEN '''' || name || ''' ' || verb || ' ''' || parent || ''' as shown by the ' || upper(verb) || ' edge in the knowledge graph.' ELSE '''' || name || ''' does not extend ''' || parent || ''' — there is no such edge in the knowledge graph.' END FROM base
+UNION ALL SELECT community_id, 4, i, 'impact', 'impact_analysis', 'If you change ''' || name || ''', which functions would be affected?', list_append(up.others, 'No other functions'), 0, 'Changing ''' || name || ''' would affect: ' || array_to_string(up.others, ', ') || '. These functions have direct dependency edges to ''' || name || '''.' FROM two JOIN up USING (community_id, i)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY rank, i) AS place FROM asked)
+SELECT community_id, place, 'q_' || w || '_' || community_id || '_' || i AS id, kind, question, array_to_string(options, '|') AS options, CAST(correct_index AS INT) AS correct_index, explanation FROM placed WHERE place <= 5"""
+
+
+@query(LABELS + _QUIZ)
 def quiz_questions(s: SparkSession, d: str) -> DataFrame:
-    return documents.quiz(*_parts(s, d))
+    return documents.quiz(*_parts(s, d)).withColumn("options", F.array_join("options", "|"))
 
 
-@query()
+_EXPORT = """, z AS (SELECT kind, CASE WHEN n > 45 THEN 'error' WHEN n > 35 THEN 'warning' ELSE 'info' END AS severity FROM (SELECT kind, end_line - start_line AS n FROM symbols WHERE kind IN ('Function', 'Method')) WHERE n > 25),
+lang AS (SELECT language, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS percent FROM files GROUP BY 1), mods AS (SELECT community_id, label, n FROM labels JOIN (SELECT community_id, count(*) AS n FROM members GROUP BY 1) USING (community_id))
+SELECT '{"repo":"driver tables","files":' || (SELECT count(*) FROM files) || ',"sloc":' || (SELECT CAST(sum(sloc) AS BIGINT) FROM files) || ',"symbols":' || (SELECT count(*) FROM symbols)
+  || ',"languages":[' || (SELECT string_agg('{"order":' || (-percent) || ',"language":"' || language || '","percent":' || percent || '}', ',' ORDER BY percent DESC, language) FROM lang)
+  || '],"modules":[' || (SELECT string_agg('{"order":' || (-n) || ',"community_id":' || community_id || ',"label":"' || label || '","members":' || n || '}', ',' ORDER BY n DESC, community_id) FROM mods)
+  || '],"edges":{' || (SELECT string_agg('"' || kind || '":' || n, ',' ORDER BY kind) FROM (SELECT kind, count(*) AS n FROM edges GROUP BY 1))
+  || '},"findings":{' || (SELECT string_agg('"' || severity || '":' || n, ',' ORDER BY severity) FROM (SELECT severity, count(*) AS n FROM z GROUP BY 1)) || '}}' AS document"""
+
+
+@query(LABELS + _EXPORT)
 def export_document(s: SparkSession, d: str) -> DataFrame:
     sym, e, mem, lab = _parts(s, d)
     return documents.export("driver tables", adapter.files(sym), sym, e, mem, lab, detectors.long_method(sym, 25, 35, 45))
@@ -635,10 +736,14 @@ def node_looks(s: SparkSession, d: str) -> DataFrame:
     return deg.select("symbol_id", layout.color_index(F.col("community_id")).alias("color"), F.round(layout.node_size(F.col("degree")), 6).alias("size"))
 
 
-@query(", up AS (SELECT * FROM sparse WHERE source_id < target_id), r(node, k) AS (SELECT symbol_id, 0 FROM symbols UNION SELECT target_id, k + 1 FROM r JOIN up ON source_id = node) SELECT node AS symbol_id, CAST(max(k) AS BIGINT) AS layer FROM r GROUP BY 1")
+_LAYERS = """, held(x) AS (SELECT symbol_id FROM scc UNION SELECT b FROM held JOIN e ON a = x), free AS (SELECT * FROM e WHERE a NOT IN (FROM held) AND b NOT IN (FROM held)),
+r2(node, k) AS (SELECT symbol_id, 0 FROM symbols WHERE symbol_id NOT IN (FROM held) UNION SELECT b, k + 1 FROM r2 JOIN free ON a = node), top AS (SELECT node, CAST(max(k) AS BIGINT) AS layer FROM r2 GROUP BY 1)
+SELECT node AS symbol_id, layer FROM top UNION ALL SELECT x, (SELECT coalesce(max(layer) + 1, 0) FROM top) FROM held"""
+
+
+@query(_SCC + ", scc AS (" + _SCC_ROWS + ")" + _LAYERS)
 def layers(s: SparkSession, d: str) -> DataFrame:
-    # edges towards greater ids have no cycle, so a layer is the longest way in
-    return layout.layers(_sym(s, d), _sparse(s, d).where("source_id < target_id"))
+    return layout.layers(_sym(s, d), _edges(s, d))
 
 
 @query(", c AS (SELECT DISTINCT chapter_id FROM sections) SELECT chapter_id, coalesce(lead(chapter_id) OVER (ORDER BY chapter_id), -1) AS following FROM c")
@@ -655,3 +760,6 @@ def next_chapter(s: SparkSession, d: str) -> DataFrame:
 @query(" SELECT chapter_id, count(*) AS n_sections, max(section_id) - 1 AS last_index FROM sections GROUP BY 1")
 def section_order(s: SparkSession, d: str) -> DataFrame:
     return adapter.sections(s, d).groupBy("chapter_id").agg(F.count(F.lit(1)).alias("n_sections"), (F.max("section_id") - 1).alias("last_index"))
+
+
+from . import catalog_reads  # noqa: E402,F401  (registers the rest, with what is defined above)

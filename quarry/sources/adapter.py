@@ -67,9 +67,26 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("l_orderkey") * EDGE_STRIDE + F.col("nth")).alias("edge_id"), F.col("l_partkey").alias("source_id"), "target_id", kind.alias("kind"), F.round(1 - F.col("l_discount"), 2).alias("confidence"))
 
 
-def sparse(edges: DataFrame) -> DataFrame:
-    """Certain calls only: the graph that traversals run on."""
-    return edges.where("kind = 'CALLS' and confidence >= 1.0")
+#: Lines of code that parts stand for, by size: some that detectors know, some that only look so.
+LINES = (
+    "value = eval (text)",
+    "exec(command)",
+    "API_KEY = 'abc'",
+    'query = f"SELECT name FROM t"',
+    "import subprocess",
+    "node.innerHTML = html",
+    'evaluate(x); password == "x"',
+    "SELECT a + b",
+    "return 0",
+    "os.system(x); eval(y)",
+)
+
+
+def sources(symbols: DataFrame) -> DataFrame:
+    """file_id, path, language, content: a line for each symbol of a file."""
+    line = _pick(LINES, (F.col("end_line") - F.col("start_line") + 1) % len(LINES))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("symbol_id", line.alias("t")))), lambda x: x["t"])
+    return symbols.groupBy("file_id", "path", "language").agg(F.array_join(rows, "\n").alias("content"))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +104,9 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("content_type", kind)
 
 
+_SQL_LINES = ", ".join("'" + x.replace("'", "''") + "'" for x in LINES)
 #: The same relations in DuckDB SQL.
-CTE = """
+CTE = f"""
 sym0 AS (
   SELECT p_partkey AS symbol_id, CAST(p_size AS BIGINT) AS p_size,
     'src/' || lower(p_type) || '/' || replace(lower(p_brand), '#', '_') || '.' ||
@@ -111,7 +129,7 @@ edges AS (
   SELECT l_orderkey * 4096 + nth AS edge_id, l_partkey AS source_id, target_id,
     CASE WHEN l_returnflag = 'R' THEN 'CALLS' WHEN l_returnflag = 'A' THEN 'IMPORTS' WHEN l_linestatus = 'O' THEN 'EXTENDS' ELSE 'IMPLEMENTS' END AS kind,
     round(1 - l_discount, 2) AS confidence FROM line0 WHERE target_id IS NOT NULL),
-sparse AS (SELECT * FROM edges WHERE kind = 'CALLS' AND confidence >= 1.0),
+sources AS (SELECT file_id, path, language, string_agg([{_SQL_LINES}][(end_line - start_line + 1) % {len(LINES)} + 1], chr(10) ORDER BY symbol_id) AS content FROM symbols GROUP BY ALL),
 commits AS (SELECT event_id AS commit_id, ts, CAST(user_id AS VARCHAR) AS author, 'file_' || json_extract_string(props, '$.k') AS path FROM events),
 sections AS (
   SELECT l_orderkey AS chapter_id, CAST(nth AS BIGINT) AS section_id, l_linestatus = 'F' AS completed,
