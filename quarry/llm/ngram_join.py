@@ -120,9 +120,37 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(row_id("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """rid and z of every row with a text: the text as a zstandard frame, which is what texts travel as."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=3)
+        for batch in cut(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([small.compress(x) for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["rid", "z"])
+
+    return _rows(docs).where("text is not null").select("rid", "text").mapInArrow(run, "rid struct<x: bigint, y: bigint>, z binary")
+
+
+def packed_sets(frames: list[bytes], most_bytes: int = 8 << 20) -> list[np.ndarray]:
+    """Shingle sets of packed texts, of which at most ``most_bytes`` and one more text are open at a time."""
+    import pyarrow as pa
+    import zstandard
+
+    whole, out, at, held = zstandard.ZstdDecompressor(), [], 0, 0
+    for k, frame in enumerate(frames, 1):
+        held += zstandard.frame_content_size(frame)
+        if held > most_bytes or k == len(frames):
+            out += shingle_sets(pa.array([whole.decompress(x) for x in frames[at:k]], pa.large_binary()).cast(pa.large_string()))
+            at, held = k, 0
+    return out
+
+
 def _met(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
     """kind 0: sets a < b that share a block; kind 1: block key a of a crowd that holds set b and whose least set is hub.
-    Sets by their low 64 bits."""
+    Sets by their low 64 bits; ``texts`` has one column, of texts or of packed ones."""
 
     def emit(batches):
         import pyarrow as pa
@@ -142,7 +170,7 @@ def _met(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
 
         for batch in cut(batches):
             new, lows = [], []
-            for s in shingle_sets(batch.column(0)):
+            for s in packed_sets(batch.column(0).to_pylist()) if batch.schema.names == ["z"] else shingle_sets(batch.column(0)):
                 low = _low(set_id(s)) if len(s) else None
                 if low is not None and low not in seen:  # copies of a set are combined before the shuffle
                     seen.add(low)
@@ -209,7 +237,7 @@ def _met(texts: DataFrame, seed: int, buckets: int) -> DataFrame:
         right = np.concatenate([pairs[:, 1], crowd_o])
         return pa.table({"kind": kind, "a": left, "b": right, "hub": np.concatenate([np.zeros(len(pairs), np.int64), hubs])})
 
-    dealt = texts.select("text").mapInArrow(emit, "bucket long, data binary")
+    dealt = texts.mapInArrow(emit, "bucket long, data binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, hub long")
 
 
@@ -221,12 +249,12 @@ def _sketched(texts: DataFrame) -> DataFrame:
 
         for batch in cut(batches):
             rows = []
-            for s in shingle_sets(batch.column(1)):
+            for s in packed_sets(batch.column(1).to_pylist()):
                 odd = np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
                 rows.append((len(s), np.packbits(odd.astype(np.uint8)).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["low", "n", "bits"])
 
-    return texts.select("low", "text").mapInArrow(sketch, "low long, n long, bits binary")
+    return texts.select("low", "z").mapInArrow(sketch, "low long, n long, bits binary")
 
 
 def _fit(bits_a, bits_b, n_a, n_b, part: int) -> np.ndarray:
@@ -257,16 +285,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, part: int) -
         for batch in cut(batches):
             table = pa.Table.from_batches([batch])
             one = {}
-            for sid, text in (("sa", "ta"), ("sb", "tb")):
+            for sid, text in (("sa", "za"), ("sb", "zb")):
                 ids = table.column(sid).to_pylist()
                 fresh = {x: k for k, x in enumerate(ids) if x not in one}
-                one.update(zip(fresh, shingle_sets(table.column(text).combine_chunks().take(pa.array(list(fresh.values()), pa.int64())))))
+                one.update(zip(fresh, packed_sets(table.column(text).combine_chunks().take(pa.array(list(fresh.values()), pa.int64())).to_pylist())))
             hit = [(x, y) for x, y in zip(table.column("sa").to_pylist(), table.column("sb").to_pylist()) if linked(one[x], one[y], part)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in hit], pa.binary()), pa.array([y for _, y in hit], pa.binary())], ["a", "b"])
 
-    left = sets.select(F.col("low").alias("a"), F.col("sid").alias("sa"), F.col("text").alias("ta"))
-    right = sets.select(F.col("low").alias("b"), F.col("sid").alias("sb"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("sa", "ta", "sb", "tb").mapInArrow(check, "a binary, b binary")
+    left = sets.select(F.col("low").alias("a"), F.col("sid").alias("sa"), F.col("z").alias("za"))
+    right = sets.select(F.col("low").alias("b"), F.col("sid").alias("sb"), F.col("z").alias("zb"))
+    return pairs.join(left, "a").join(right, "b").select("sa", "za", "sb", "zb").mapInArrow(check, "a binary, b binary")
 
 
 def ngram_join(docs: DataFrame, part: int = 75) -> DataFrame:
@@ -308,7 +336,7 @@ def classes(docs: DataFrame, space: Workspace, part: int = 75) -> DataFrame:
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(4 * partitions(spark), int(0.6 * total) // PER_BUCKET)
 
-    met = space.table(_met(docs, 0, buckets), "met-0")
+    met = space.table(_met(docs.select("text"), 0, buckets), "met-0")
     need = met.where("kind = 0").select(F.explode(F.array("a", "b")).alias("low")).distinct()
     wanted = sets.join(need, "low", "left_semi").select("rid", "sid", "low")
     texts = space.table(_of_rows(docs, wanted), "texts")
@@ -332,7 +360,7 @@ def classes(docs: DataFrame, space: Workspace, part: int = 75) -> DataFrame:
             break
         near = _near(crowds, sketches, part)
         if again is not None:
-            near = near.union(_met(texts.join(again, "low", "left_semi"), turn, buckets))
+            near = near.union(_met(texts.join(again, "low", "left_semi").select("z"), turn, buckets))
         met = space.table(near, f"met-{turn}")
     named = sets.select("sid", "least").join(tree.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = space.table(named, "named")
@@ -343,8 +371,8 @@ def classes(docs: DataFrame, space: Workspace, part: int = 75) -> DataFrame:
 
 
 def _of_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, low and text of the wanted rows."""
-    return _rows(docs).select("rid", "text").join(wanted, "rid").select("sid", "low", "text").dropDuplicates(["sid"])
+    """sid, low and packed text of the wanted rows; rows alike have one rid, and a set has one wanted row."""
+    return packed(docs).join(wanted, "rid").dropDuplicates(["rid"]).select("sid", "low", "z")
 
 
 def _open(held: DataFrame, texts: DataFrame, tree: DataFrame, space: Workspace, turn: int) -> DataFrame:
