@@ -15,6 +15,7 @@ Only rows whose crc32(doc_id as text) mod 5 is not 0 teach.  Labels are read fro
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 from .tokens import slices
 from .workspace import Workspace
 
-FIT_ROWS, MOST_FEATURES, LEXICONS, LEAST_PRECISION = 20_000, 2_048, 5, 0.97
+FIT_ROWS, MOST_FEATURES, LEXICONS = 20_000, 2_048, 5
+#: What a mined feature must show on the labelled rows, however many there are: at most this share of the features is there by
+#: chance; and its share of clean rows is no more than this, or exceeds it by no more than chance would (so many deviations).
+FALSE_SHARE, CLEAN_SHARE, DEVIATIONS, BINS = 0.05, 0.03, 1.64, 4
 #: a_i of a voter that no triplet tells anything about.
 UNKNOWN_GAP = 0.3
 #: Fixed seed lexicon: common insults.
@@ -45,6 +49,17 @@ def features_of(text: str | None) -> tuple[set, list]:
     return words | stems, [bool(_ADDRESS.search(text)), bool(_SHOUT.search(text))]
 
 
+def least_gain(bins: list[tuple[int, int]], tested: int) -> float:
+    """Least gain (a chi-square of one degree) at which chance explains ``FALSE_SHARE`` of the features above it (Benjamini and
+    Hochberg); ``bins`` has (gain in steps of 1 / ``BINS``, features), ``tested`` is the number of all features."""
+    held, least = 0, math.inf
+    for step, n in sorted(bins, reverse=True):
+        held += n
+        if tested * math.erfc(math.sqrt(step / BINS / 2)) / 2 <= FALSE_SHARE * held:
+            least = step / BINS
+    return least
+
+
 @dataclass
 class Model:
     features: list[str] = field(default_factory=list)  # mined, best first
@@ -164,8 +179,11 @@ def fit(docs: DataFrame, labels: DataFrame, space: Workspace, fit_rows: int = FI
         rate = F.lit(n1 / (n1 + n0))
         part = F.col("t") / F.col("n")
         gain = 2 * (F.col("t") * F.log(part / rate) + F.when(part < 1, (F.col("n") - F.col("t")) * F.log((1 - part) / (1 - rate))).otherwise(0.0))
-        found = found.where("t > 0").withColumn("gain", gain).where((part >= LEAST_PRECISION) & (F.col("gain") > 30))
-        best = [r["feature"] for r in found.orderBy(F.desc("gain"), "feature").limit(MOST_FEATURES).collect()]
+        found = space.table(found.withColumn("gain", F.when(part > rate, gain)), "found")
+        bins = found.groupBy(F.floor(F.col("gain") * BINS).alias("step")).count().collect()  # as many rows as there are gains, by the step
+        least = least_gain([(r["step"], r["count"]) for r in bins if r["step"] is not None], sum(r["count"] for r in bins))
+        few = F.col("n") - F.col("t") <= CLEAN_SHARE * F.col("n") + DEVIATIONS * F.sqrt(F.col("n") * CLEAN_SHARE * (1 - CLEAN_SHARE))
+        best = [r["feature"] for r in found.where(few & (F.col("gain") >= F.lit(least))).orderBy(F.desc("gain"), "feature").limit(MOST_FEATURES).collect()]
     model = Model(best, min(0.9, max(0.005, (n1 + 0.5) / (n1 + n0 + 1))) if n1 + n0 else 0.1)
     sent = spark.sparkContext.broadcast(model)
 
@@ -212,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, space: Workspace, fit_rows: int = FI
 def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``; only the whole text enters a score.
 
-    A null text scores as an empty one.  Repeated rows are scored each.  A null doc_id is not held
+    A null text scores as an empty one.  A very long text is read whole.  Repeated rows are scored each, and alike.  A null doc_id is not held
     out.  Without any label the seed lexicon and patterns decide.  An empty table gives no rows; other columns are ignored.
     """
     model = fit(docs, labels, Workspace(docs.sparkSession, "toxicity"), fit_rows)
