@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace, partitions
 
-PER_BUCKET, GIANT, RESERVE = 4096, 1024, 8
+PER_BUCKET, GIANT, RESERVE, STRETCH = 4096, 1024, 8, 4096
 #: Weights of bytes, tokens and rows in the dot product, each measured in shards' capacities.
 WEIGHTS = np.array([1.0, 0.1, 0.02])
 _PLACED = "h1 long, h2 long, first long, n long, shard int, bucket long, start long"
@@ -86,7 +86,9 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs(doc_id, text)``.
 
     size: UTF-8 bytes of the text (null: none) plus 1.  Equal texts share a shard unless together
-    they nearly fill one; null is a text of its own.  ``slot`` numbers a shard's rows from 0 without gaps.
+    they nearly fill one; null is a text of its own.  ``tokens`` are runs without white space, a stand-in that needs no
+    tokenizer: a long run, or a script without spaces, counts as one.  A very long text is a giant and placed whole; of groups
+    alike in size the least hash goes first, of shards alike the least number.  ``slot`` numbers a shard's rows from 0 without gaps.
     Repeated rows take a slot each.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -130,8 +132,12 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
             loads = own.join(part, ["h1", "h2"]).groupBy("shard").agg(F.sum("bytes"), F.sum("tokens"), F.sum("rows")).collect()  # a row a shard
             for r in loads:
                 residual[r[0]] -= np.array([float(x) for x in r[1:]])
-    before = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("own"))
-    before = before.select("shard", "bucket", (F.sum("own").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("own")).alias("before"))
+    # rows of a shard in the buckets before each: first between stretches of buckets, then within a stretch, so a task sums some thousands
+    own = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("own")).withColumn("stretch", F.floor(F.col("bucket") / STRETCH))
+    past = own.groupBy("shard", "stretch").agg(F.sum("own").alias("all"))
+    past = past.select("shard", "stretch", (F.sum("all").over(Window.partitionBy("shard").orderBy("stretch")) - F.col("all")).alias("past"))
+    inner = F.sum("own").over(Window.partitionBy("shard", "stretch").orderBy("bucket")) - F.col("own")
+    before = own.withColumn("inner", inner).join(past, ["shard", "stretch"]).select("shard", "bucket", (F.col("past") + F.col("inner")).alias("before"))
     placed = placed.join(before, ["shard", "bucket"]).select("h1", "h2", "first", "n", "shard", (F.col("before") + F.col("start")).alias("slot0"))
     ahead = F.sum("rows").over(Window.partitionBy("h1", "h2").orderBy("salt")) - F.col("rows")  # of at most ``salts`` cells
     spans = cells.withColumn("ahead", ahead).join(placed, ["h1", "h2"]).where("first < ahead + rows and ahead < first + n")
