@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int) -> DataFrame:
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), text))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "piece", "start", "length", "ids_crc32", "tie"])
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("tie"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("tie"))
     return read.mapInArrow(cut, PIECE)
 
 
@@ -93,9 +93,9 @@ def best_two_fit(docs: DataFrame, tokenizer: str, room: int = 4096, per_part: in
     """Pack ``docs(doc_id, text)`` into sequences of at most ``room`` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.  Pieces (not
-    texts) are written, then dealt by hash over tasks of about ``per_part`` pieces; each packs its
-    own, so a task leaves one part-filled sequence at most.  A null or empty text is
-    the end id alone; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
+    texts) are written with a number of their row, then dealt by its hash over tasks of about ``per_part`` pieces, repeated
+    rows too; each packs its own, so a task leaves one part-filled sequence at most.  A null or empty text is
+    the end id alone; a very long text is cut into pieces, the longest of which come first; pieces alike in length go by doc_id, then piece; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "packing")
