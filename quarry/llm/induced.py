@@ -22,7 +22,7 @@ import numpy as np
 
 from .shingles import mix
 
-RANGES, HELD_BYTES = 96, 256 << 20
+RANGES, HELD_BYTES = 96, 4 << 20
 
 
 class RangeQueue:

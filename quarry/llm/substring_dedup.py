@@ -193,7 +193,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cell
     """doc_id, n_bytes, spans (removed byte runs [from, to), merged), kept (remaining bytes) and kept_sha256 of every row.
 
     Texts are UTF-8 bytes; a null one is empty.  Strings are judged on the input.  Matches never cross rows;
-    rows alike repeat each other.  Without ``texts`` ``kept`` is null.  An empty
+    rows alike repeat each other.  A very long text is cut into blocks like any other, its spans gathered a row; there is nothing to tie.  Without ``texts`` ``kept`` is null.  An empty
     table gives no rows; other columns are ignored.
     """
     space = Workspace(docs.sparkSession, "substring-dedup")

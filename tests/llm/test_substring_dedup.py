@@ -63,6 +63,26 @@ def test_whole_table(documents):
     assert run(documents) == brute([(r.doc_id, r.text) for r in documents.collect()], 400)
 
 
+def test_queues_of_production_size_touch_the_disk(monkeypatch):
+    rng = np.random.default_rng(5)
+    common = [rng.integers(97, 123, 130, dtype=np.uint8).tobytes() for _ in range(40)]
+    own = [rng.integers(97, 123, 130, dtype=np.uint8).tobytes() if k % 3 else common[k % 40] for k in range(30_000)]
+    pieces = [(x[:64], k % 50, x[64 : 64 + k % 60]) for k, x in enumerate(own)]
+    counts = [1 + min(64, k % 60) for k in range(len(own))]
+    written = []
+    push = induced.RangeQueue.push
+    monkeypatch.setattr(induced.RangeQueue, "push", lambda self, places, ranges: (push(self, places, ranges), written.append(len(self.spilled)))[0])
+    got = induced.repeated_starts(pieces, counts, 64)
+    assert max(written) > 0
+    seen = {}
+    for (a, m, b), n in zip(pieces, counts):
+        for s in range(n):
+            key = (a[s:], m, b[: 64 - len(a[s:]) - 1])
+            seen[key] = seen.get(key, 0) + 1
+    for (a, m, b), n, again in zip(pieces, counts, got):
+        assert [seen[(a[s:], m, b[: 64 - len(a[s:]) - 1])] > 1 for s in range(n)] == again.tolist()
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=50), st.integers(1, 12), st.sampled_from([1, 2, 96]), st.sampled_from([1, 1 << 20]))
 def test_suffixes_are_in_order(symbols, depth, ranges, limit):
