@@ -77,7 +77,8 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, source, the base measures, host_rate and kept of every row.
 
     A row is kept if it passes the base rules and its host's shrunken failure rate is not
-    above ``threshold``.  A null, empty or blank text has no words and fails; repeated rows are judged each;
+    above ``threshold``.  A null, empty or blank text has no words and fails; a very long text is judged whole;
+    repeated rows are judged each; there is nothing to tie;
     an empty table gives no rows; other columns are ignored.
     """
     space = Workspace(docs.sparkSession, "quality")

@@ -192,7 +192,8 @@ def read_token_files(spark: SparkSession, folder: str, starts: dict[int, int]) -
 def token_files(docs: DataFrame, tokenizer: str, parts: int | None = None, file_ids: int = 4_000_000, kind: int = BIT) -> DataFrame:
     """Write ``docs`` as token files in the shared folder and read them back.
 
-    Nulls, empties: a null or empty text is the end id alone.  Repeated rows are
+    Nulls, empties: a null or empty text is the end id alone.  A very long text is encoded whole and may run over blocks and
+    files.  Rows of one doc_id stand in order of their texts' hashes.  Repeated rows are
     documents of their own, side by side.  An empty table gives no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession

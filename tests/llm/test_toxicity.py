@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from quarry.llm.toxicity import Model, features_of, label_model, score_documents
+from quarry.llm.toxicity import Model, features_of, label_model, least_gain, score_documents
 
 
 def held(doc_id):
@@ -41,6 +41,16 @@ def test_held_out_accuracy(spark):
     assert all(abs(again[k] - r.score) < 1e-9 for k, r in out.items())
 
 
+def test_gain_follows_the_number_of_features():
+    rng = np.random.default_rng(1)
+    chance, real = rng.standard_normal(20_000) ** 2, rng.uniform(25, 200, 300)
+    gains = np.concatenate([chance[::2], real])  # half of those that chance gives lie below the rate and have no gain
+    steps, counts = np.unique(np.floor(gains * 4).astype(int), return_counts=True)
+    least = least_gain(list(zip(steps.tolist(), counts.tolist())), 20_300)
+    assert (chance[::2] >= least).sum() <= 0.1 * 300 and (real >= least).all()
+    assert least_gain([(4, 10)], 1000) == float("inf") and least_gain([], 0) == float("inf")
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(3)
     y = rng.random(200_000) < 0.2
