@@ -317,8 +317,9 @@ def one_of_each(docs: DataFrame, part: int = 75) -> DataFrame:
     rows = space.table(classes(docs, space, part), "classes").where("sid is not null")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     best = rows.groupBy("root").agg(F.min(order).alias("best")).select("root", "best.rid")
-    gone = rows.select("root", "rid").distinct().join(best, ["root", "rid"], "left_anti").select("rid")
-    space.keep_only("classes")
+    # written, so that its size is known: where it is small enough for Spark to broadcast, no text is exchanged
+    gone = space.table(rows.select("root", "rid").distinct().join(best, ["root", "rid"], "left_anti").select("rid"), "gone")
+    space.keep_only("classes", "gone")
     twice = space.table(rows.groupBy("rid").count().where("count > 1").select("rid"), "twice")
     own = docs.withColumn("_q_rid", row_id("doc_id", "text"))
     kept = own.join(gone.select(F.col("rid").alias("_q_rid")), "_q_rid", "left_anti")
