@@ -93,12 +93,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rule_ensemble import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_bucket_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
-    own = (op1_weak_toxicity, op2_vector_shards, op3_ngram_join, op4_decontaminate, op5_induced_dedup, op6_host_quality, op7_best_two_fit, op8_secret_index, op9_token_files, op10_line_dedup)
+    own = (op1_weak_toxicity, op2_vector_shards, op3_ngram_join, op4_decontaminate, op5_induced_dedup, op6_host_quality, op7_best_two_fit, op8_secret_index, op9_token_files, op10_line_dedup, op11_rule_ensemble, op12_bucket_resampling)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, quality, secrets
+    from . import line_dedup, quality, resampling, secrets
 
-    return {"op6_host_quality": quality.SQL, "op8_secret_index": secrets.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op6_host_quality": quality.SQL, "op8_secret_index": secrets.SQL, "op10_line_dedup": line_dedup.SQL, "op12_bucket_resampling": resampling.SQL}
