@@ -36,12 +36,15 @@ def sloc(text, language) -> Column:
     return F.when(language.isin("python", "ruby"), hashed).otherwise(other).cast("long")
 
 
+def line_complexity(line) -> Column:
+    """What a trimmed line adds: every mark that it holds once, and every branch word."""
+    marks = sum((F.contains(line, F.lit(m)).cast("int") for m in BRANCH_MARKS), F.lit(0))
+    return marks + F.size(F.filter(F.split(line, "[^\\p{L}\\p{N}_]+"), lambda w: w.isin(*BRANCH_WORDS)))
+
+
 def complexity(text) -> Column:
     """1 + marks once for each line that holds them + every branch word."""
-    rows = F.transform(lines(text), strip)
-    marks = lambda x: sum((F.contains(x, F.lit(m)).cast("int") for m in BRANCH_MARKS), F.lit(0))
-    words = lambda x: F.size(F.filter(F.split(x, "[^\\p{L}\\p{N}_]+"), lambda w: w.isin(*BRANCH_WORDS)))
-    return F.aggregate(rows, F.lit(1), lambda acc, x: acc + marks(x) + words(x)).cast("double")
+    return F.aggregate(F.transform(lines(text), strip), F.lit(1), lambda acc, x: acc + line_complexity(x)).cast("double")
 
 
 def from_loc(loc) -> Column:

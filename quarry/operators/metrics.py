@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import name_tokens
+from . import spans
 
 
 def file_fan_in(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -20,6 +22,27 @@ def churn(commits: DataFrame, latest: int = 1000) -> DataFrame:
     return commits.join(newest, "commit_id", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("churn"), F.count_distinct("author").alias("contributors"))
 
 
+def symbol_complexity(texts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``symbols(symbol_id, path, start_line, end_line, ...)`` with the complexity of their lines in ``texts(path, content)``.
+
+    Lines that add nothing are left out before they meet the spans that hold them.  A symbol whose file has no text is judged by its length.
+    """
+    rows = texts.where("content is not null").select("path", F.posexplode(T.lines(F.col("content"))).alias("k", "line"))
+    rows = rows.select("path", (F.col("k") + 1).cast("long").alias("at"), T.line_complexity(T.strip(F.col("line"))).alias("n")).where("n > 0")
+    held = spans.containing(rows, symbols.select("path", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"), "symbol_id"))
+    sums = held.groupBy("symbol_id").agg(F.sum("n").alias("_q_n"))
+    read = texts.where("content is not null").select("path", F.lit(True).alias("_q_read")).distinct()
+    loc = F.greatest(F.col("end_line") - F.greatest(F.col("start_line") - 1, F.lit(0)), F.lit(0))
+    own = F.when(F.col("_q_read"), 1.0 + F.coalesce("_q_n", F.lit(0))).otherwise(T.from_loc(loc))
+    return symbols.join(sums, "symbol_id", "left").join(read, "path", "left").withColumn("complexity", own).drop("_q_n", "_q_read")
+
+
+def file_complexity(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``files(path, ...)`` with the mean of their symbols' complexities, 1.0 without any."""
+    mean = symbols.groupBy("path").agg(F.avg("complexity").alias("complexity"))
+    return files.join(mean, "path", "left").withColumn("complexity", F.coalesce("complexity", F.lit(1.0)))
+
+
 def heatmap(files: DataFrame) -> DataFrame:
     """``files(file_id, sloc, complexity, churn, fan_in)`` with heat: min-max scaled 0.4, 0.3, 0.2, 0.1; a flat measure counts 0."""
     parts = (("complexity", 0.4), ("churn", 0.3), ("sloc", 0.2), ("fan_in", 0.1))

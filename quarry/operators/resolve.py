@@ -27,23 +27,23 @@ def resolve(refs: DataFrame, symbols: DataFrame, name: str, to: str) -> DataFram
     return out.withColumns({to: F.coalesce("in_file", "first"), f"{to}_confidence": conf}).drop("in_file", "first", "n")
 
 
-def call_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``calls(path, caller, callee)`` -> source_id, target_id, kind, confidence (that of the callee); duplicates stay.
+def call_edges(calls: DataFrame, symbols: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
+    """``calls(path, caller, callee)`` -> source_id, target_id, kind, confidence (that of the callee); duplicates stay; with the columns ``keep`` of ``calls``.
 
     A caller ``<module>`` is the file's least symbol.
     """
     heads = symbols.groupBy("path").agg(F.min("symbol_id").alias("head"))
     out = resolve(resolve(calls, symbols, "caller", "source_id"), symbols, "callee", "target_id").join(heads, "path", "left")
     source = F.when(F.col("caller") == "<module>", F.col("head")).otherwise(F.col("source_id"))
-    return out.select(source.alias("source_id"), "target_id", F.lit("CALLS").alias("kind"), F.col("target_id_confidence").alias("confidence")).where("source_id is not null and target_id is not null")
+    return out.select(*keep, source.alias("source_id"), "target_id", F.lit("CALLS").alias("kind"), F.col("target_id_confidence").alias("confidence")).where("source_id is not null and target_id is not null")
 
 
-def heritage_edges(heritage: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``heritage(child, parent, relation)`` -> edges between the first symbols of those names, confidence 1."""
+def heritage_edges(heritage: DataFrame, symbols: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
+    """``heritage(child, parent, relation)`` -> edges between the first symbols of those names, confidence 1; with the columns ``keep`` of ``heritage``."""
     _, by_name = name_index(symbols)
     child = by_name.select(F.col("name").alias("child"), F.col("first").alias("source_id"))
     parent = by_name.select(F.col("name").alias("parent"), F.col("first").alias("target_id"))
-    return heritage.join(child, "child").join(parent, "parent").select("source_id", "target_id", F.upper("relation").alias("kind"), F.lit(1.0).alias("confidence"))
+    return heritage.join(child, "child").join(parent, "parent").select(*keep, "source_id", "target_id", F.upper("relation").alias("kind"), F.lit(1.0).alias("confidence"))
 
 
 def promote_imports(deps: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -762,4 +762,4 @@ def section_order(s: SparkSession, d: str) -> DataFrame:
     return adapter.sections(s, d).groupBy("chapter_id").agg(F.count(F.lit(1)).alias("n_sections"), (F.max("section_id") - 1).alias("last_index"))
 
 
-from . import catalog_reads  # noqa: E402,F401  (registers the rest, with what is defined above)
+from . import catalog_code, catalog_reads  # noqa: E402,F401  (register the rest, with what is defined above)

@@ -135,3 +135,42 @@ sections AS (
   SELECT l_orderkey AS chapter_id, CAST(nth AS BIGINT) AS section_id, l_linestatus = 'F' AS completed,
     ['overview','key_concepts','diagram','code_walkthrough','connections','quiz'][(nth - 1) % 6 + 1] AS content_type FROM line0)
 """
+
+
+def code_files(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """path, language, mtime, content: the corpus written out as code that the parsers read.
+
+    A file first imports the files of its own language that its symbols import; then comes a definition for each
+    symbol in order of symbol_id, with a line for each call.  ``PARSED_CTE`` says what a parser must find.
+    """
+    ends = symbols.select("symbol_id", "path", "language", "name")
+    a, b = ends.select(*[F.col(c).alias(f"{c}_a") for c in ends.columns]), ends.select(*[F.col(c).alias(f"{c}_b") for c in ends.columns])
+    both = edges.join(a, edges["source_id"] == a["symbol_id_a"]).join(b, edges["target_id"] == b["symbol_id_b"])
+    stem = F.element_at(F.split("path_b", "[/.]"), -2)
+    folder = F.element_at(F.split("path_b", "/"), -2)
+    module = F.when(F.col("language_a") == "python", F.concat(F.lit("import src."), folder, F.lit("."), stem)).when(F.col("language_a").isin("typescript", "javascript"), F.concat(F.lit("import { all } from './"), stem, F.lit("'")))
+    module = module.when(F.col("language_a") == "rust", F.concat(F.lit("use crate::"), folder, F.lit("::"), stem, F.lit(";"))).when(F.col("language_a") == "go", F.concat(F.lit('import "src/'), folder, F.lit("/"), stem, F.lit('"'))).otherwise(F.concat(F.lit("import src."), folder, F.lit("."), stem, F.lit(";")))
+    imports = both.where("kind = 'IMPORTS' and language_a = language_b and path_a <> path_b").select(F.col("path_a").alias("path"), module.alias("line")).distinct()
+    imports = imports.groupBy("path").agg(F.array_sort(F.collect_list("line")).alias("imports"))
+    calls = both.where("kind = 'CALLS'").groupBy(F.col("source_id").alias("symbol_id")).agg(F.array_sort(F.collect_list(F.struct("edge_id", F.col("name_b").alias("name")))).alias("calls"))
+    lang, name = F.col("language"), F.col("name")
+    head = F.when(lang == "python", F.concat(F.lit("def "), name, F.lit("():"))).when(lang.isin("typescript", "javascript"), F.concat(F.lit("export function "), name, F.lit("() {")))
+    head = head.when(lang == "rust", F.concat(F.lit("pub fn "), name, F.lit("() {"))).when(lang == "go", F.concat(F.lit("func "), name, F.lit("() {"))).otherwise(F.concat(F.lit("  public void "), name, F.lit("() {")))
+    none = F.array().cast("array<string>")
+    said = F.coalesce(F.transform("calls", lambda c: F.concat(F.lit("    "), c["name"], F.when(lang == "python", "()").otherwise("();"))), none)
+    body = F.when((lang == "python") & (F.size(said) == 0), F.array(F.lit("    pass"))).otherwise(said)
+    rows = F.concat(F.array(head), body, F.when(lang == "python", none).otherwise(F.array(F.lit("}"))))
+    own = symbols.join(calls, "symbol_id", "left").select("path", "language", F.struct("symbol_id", rows.alias("rows")).alias("s"))
+    texts = own.groupBy("path", "language").agg(F.flatten(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["rows"])).alias("rows"), F.max("s.symbol_id").alias("last"))
+    content = F.array_join(F.concat(F.coalesce("imports", none), F.col("rows")), "\n")
+    return texts.join(imports, "path", "left").select("path", "language", F.timestamp_seconds("last").alias("mtime"), content.alias("content"))
+
+
+#: What parsing :func:`code_files` gives: spans in the written text, and imports of the own language.
+PARSED_CTE = """
+, own_imports AS (SELECT DISTINCT a.path, b.path AS target FROM edges JOIN symbols a ON a.symbol_id = source_id JOIN symbols b ON b.symbol_id = target_id WHERE edges.kind = 'IMPORTS' AND a.language = b.language AND a.path <> b.path),
+n_calls AS (SELECT source_id AS symbol_id, count(*) AS n FROM edges WHERE kind = 'CALLS' GROUP BY 1),
+high AS (SELECT symbol_id, path, language, name, CASE WHEN language = 'python' THEN 1 + greatest(1, coalesce(n, 0)) ELSE 2 + coalesce(n, 0) END AS h, coalesce(k, 0) AS top FROM symbols LEFT JOIN n_calls USING (symbol_id) LEFT JOIN (SELECT path, count(*) AS k FROM own_imports GROUP BY 1) USING (path)),
+written AS (SELECT symbol_id, path, language, name, CASE WHEN language = 'java' THEN 'Method' ELSE 'Function' END AS kind, CAST(top + sum(h) OVER w - h + 1 AS BIGINT) AS start_line, CAST(top + sum(h) OVER w AS BIGINT) AS end_line FROM high WINDOW w AS (PARTITION BY path ORDER BY symbol_id)),
+placed AS (SELECT *, row_number() OVER (ORDER BY path, start_line, name) AS nth FROM written)
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import heapq
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,13 +99,18 @@ def parse_lines(text: str, language: str) -> dict:
             relation, sure = _HERITAGE.get(language, ("EXTENDS", 0.5))
             heritage += [{"child": child, "parent": p, "relation": relation, "confidence": sure} for p in parents if p and p not in ("implements", "extends")]
     defined = {s["start_line"] for s in symbols}
+    coming, around = sorted(range(len(symbols)), key=lambda n: -symbols[n]["start_line"]), []  # around: a heap of the spans begun, shortest first
     for k, row in enumerate(rows):
+        while coming and symbols[coming[-1]]["start_line"] <= k + 1:
+            n = coming.pop()
+            heapq.heappush(around, (symbols[n]["end_line"] - symbols[n]["start_line"], n))
+        while around and symbols[around[0][1]]["end_line"] < k + 1:
+            heapq.heappop(around)
         if k + 1 in defined or row.lstrip().startswith(("//", "*", "/*")):
             continue
         for m in re.finditer(rf"{_NAME}!?\s*\(", row):
             if m[1] not in _WORDS:
-                around = [s for s in symbols if s["start_line"] <= k + 1 <= s["end_line"]]
-                owner = min(around, key=lambda s: s["end_line"] - s["start_line"])["name"] if around else MODULE
+                owner = symbols[around[0][1]]["name"] if around else MODULE
                 calls.append({"caller": owner, "callee": m[1], "line": k + 1})
     return {"symbols": symbols, "imports": imports, "calls": calls, "heritage": heritage}
 
