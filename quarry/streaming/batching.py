@@ -95,7 +95,10 @@ def batched(events: DataFrame, shard: Column, size: int = BATCH, seconds: float
 
 
 def write(batches: DataFrame, path: str, checkpoint: str, available_now: bool = False, seconds: float = SECONDS):
-    """Start writing ``batches`` to ``path`` by shard, exactly once through the checkpoint; the session's state store setting is put back."""
+    """Start writing ``batches`` to ``path`` by shard, exactly once through the checkpoint; the session's state store setting is put back.
+
+    ``available_now`` is for the event clock: by the processing clock Spark plans batch after batch for timers that may come, so such a stream runs until it is stopped.
+    """
     spark = batches.sparkSession
     before = spark.conf.get(STORE, None)
     spark.conf.set(STORE, ROCKS)  # what timers and lists need; the query copies its settings when it starts
