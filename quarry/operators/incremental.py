@@ -44,9 +44,9 @@ def _begin(spark: SparkSession, root: str) -> None:
 
 
 def _put(df: DataFrame, root: str, name: str, run: int) -> int:
-    """Write ``df`` as a run's part of a relation, in place of one that broke off; the number of rows."""
+    """Write ``df`` as a run's whole part of a relation, in place of one that broke off; the number of rows."""
     seen = Observation()
-    df.withColumn("run", F.lit(run).cast("long")).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{root}/{name}")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{root}/{name}/run={run}")
     return seen.get["n"]
 
 

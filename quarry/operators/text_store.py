@@ -8,7 +8,7 @@ Folders below one root, all partitioned Parquet:
 * ``gone/batch=``: id, was, len: texts of the batch ``was`` that this batch replaces;
 * ``totals/batch=``: docs, tokens, buckets; written last, so a batch without it is not read.
 
-Writing a batch again replaces it (dynamic partition overwrite), so a run that broke off is repeated without harm.
+Writing a batch again replaces it, so a run that broke off is repeated without harm.
 """
 
 from __future__ import annotations
@@ -28,13 +28,19 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _put(df: DataFrame, path: str, *by: str) -> int:
-    """Write partitions of ``df`` in place of those of the same values; the number of rows."""
+def _put(df: DataFrame, path: str, batch: int, by: str | None = None) -> int:
+    """Write ``df`` as a batch's whole part of a table, in place of one that broke off; the number of rows."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(f"{path}/batch={batch}")
     return seen.get["n"]
 
 
+def _finished(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """Rows of a table's finished batches."""
+    return spark.read.schema(schema).parquet(f"{root}/{name}").join(spark.read.schema(_TOTALS).parquet(f"{root}/totals").select("batch"), "batch", "left_semi")
+
+
 def _postings_schema(columns: int) -> str:
     return "term string, id bigint, len bigint, " + "".join(f"p{k} array<int>, " for k in range(columns)) + "batch bigint, bucket int"
 
@@ -51,21 +57,21 @@ def add_batch(docs: DataFrame, columns: list[str], root: str, batch: int, bucket
     own = own.groupBy("id").agg(F.max_by(F.struct(*names), F.xxhash64(*names)).alias("v")).select("id", "v.*")
     index = search.build_index(own, names)
     slices = math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) / buckets)  # a frequent term's bucket is dealt over so many tasks
-    index = index.withColumns({"batch": F.lit(batch).cast("long"), "bucket": bucket_of(F.col("term"), buckets)})
+    index = index.withColumn("bucket", bucket_of(F.col("term"), buckets))
     index = index.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(slices))).sortWithinPartitions("bucket", "term", "id")
     sizes = [F.size(search.tokens(F.coalesce(F.col(n), F.lit("")))) for n in names]
-    lengths = own.select("id", sum(sizes[1:], sizes[0]).cast("long").alias("len"), F.lit(batch).cast("long").alias("batch"))
+    lengths = own.select("id", sum(sizes[1:], sizes[0]).cast("long").alias("len"))
 
-    wrote = {"postings": _put(index, f"{root}/postings", "batch", "bucket"), "texts": _put(lengths, f"{root}/lengths", "batch")}
+    wrote = {"postings": _put(index, f"{root}/postings", batch, "bucket"), "texts": _put(lengths, f"{root}/lengths", batch)}
     before = spark.read.schema(_LENGTHS).parquet(f"{root}/lengths")
     now = before.where(F.col("batch") == batch)
     old = before.where(F.col("batch") < batch).withColumnRenamed("batch", "was").join(now.select("id"), "id", "left_semi")
     if batch > 0:
         dead = spark.read.schema(_GONE).parquet(f"{root}/gone").where(F.col("batch") < batch).select("id", "was")
         old = old.join(dead, ["id", "was"], "left_anti")
-    wrote["replaced"] = _put(old.select("id", "was", "len", F.lit(batch).cast("long").alias("batch")), f"{root}/gone", "batch")
-    totals = now.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).select("docs", "tokens", F.lit(buckets).alias("buckets"), F.lit(batch).cast("long").alias("batch"))
-    _put(totals, f"{root}/totals", "batch")
+    wrote["replaced"] = _put(old.select("id", "was", "len"), f"{root}/gone", batch)
+    totals = now.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).select("docs", "tokens", F.lit(buckets).alias("buckets"))
+    _put(totals, f"{root}/totals", batch)
     return wrote
 
 
@@ -76,14 +82,13 @@ def stored(spark: SparkSession, root: str, columns: int, words: list[str] | None
     if words is not None:
         buckets = totals.agg(F.max("buckets")).first()[0]
         index = index.where(F.col("bucket").isin(*[bucket_of(F.lit(w), buckets) for w in words]) & F.col("term").isin(*words))
-    dead = spark.read.schema(_GONE).parquet(f"{root}/gone").select("id", F.col("was").alias("batch"))
+    dead = _finished(spark, root, "gone", _GONE).select("id", F.col("was").alias("batch"))
     return index.join(totals.select("batch"), "batch", "left_semi").join(dead, ["id", "batch"], "left_anti").drop("bucket")
 
 
 def stored_totals(spark: SparkSession, root: str) -> DataFrame:
     """One row, docs and tokens of the texts in force."""
-    gone = spark.read.schema(_GONE).parquet(f"{root}/gone").join(spark.read.schema(_TOTALS).parquet(f"{root}/totals").select("batch"), "batch", "left_semi")
-    less = gone.agg(F.count(F.lit(1)).alias("less_docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("less_tokens"))
+    less = _finished(spark, root, "gone", _GONE).agg(F.count(F.lit(1)).alias("less_docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("less_tokens"))
     held = spark.read.schema(_TOTALS).parquet(f"{root}/totals").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     return held.crossJoin(less).select((F.col("docs") - F.col("less_docs")).alias("docs"), (F.col("tokens") - F.col("less_tokens")).alias("tokens"))  # one row each
 
@@ -101,13 +106,13 @@ def merge(spark: SparkSession, root: str, into: str, columns: int) -> int:
     """
     totals = spark.read.schema(_TOTALS).parquet(f"{root}/totals")
     buckets, last = totals.agg(F.max("buckets"), F.max("batch")).first()
-    index = stored(spark, root, columns).withColumns({"batch": F.lit(last).cast("long"), "bucket": bucket_of(F.col("term"), buckets)})
+    index = stored(spark, root, columns).drop("batch").withColumn("bucket", bucket_of(F.col("term"), buckets))
     slices = math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) / buckets)
     index = index.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(slices))).sortWithinPartitions("bucket", "term", "id")
-    n = _put(index, f"{into}/postings", "batch", "bucket")
-    dead = spark.read.schema(_GONE).parquet(f"{root}/gone").select("id", F.col("was").alias("batch"))
-    lengths = spark.read.schema(_LENGTHS).parquet(f"{root}/lengths").join(totals.select("batch"), "batch", "left_semi").join(dead, ["id", "batch"], "left_anti")
-    _put(lengths.select("id", "len", F.lit(last).cast("long").alias("batch")), f"{into}/lengths", "batch")
-    _put(spark.createDataFrame([], _GONE), f"{into}/gone", "batch")
-    _put(stored_totals(spark, root).select("docs", "tokens", F.lit(buckets).alias("buckets"), F.lit(last).cast("long").alias("batch")), f"{into}/totals", "batch")
+    n = _put(index, f"{into}/postings", last, "bucket")
+    dead = _finished(spark, root, "gone", _GONE).select("id", F.col("was").alias("batch"))
+    lengths = _finished(spark, root, "lengths", _LENGTHS).join(dead, ["id", "batch"], "left_anti")
+    _put(lengths.select("id", "len"), f"{into}/lengths", last)
+    _put(spark.createDataFrame([], "id bigint, was bigint, len bigint"), f"{into}/gone", last)
+    _put(stored_totals(spark, root).select("docs", "tokens", F.lit(buckets).alias("buckets")), f"{into}/totals", last)
     return n
