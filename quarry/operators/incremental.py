@@ -50,6 +50,12 @@ def _put(df: DataFrame, root: str, name: str, run: int) -> int:
     return seen.get["n"]
 
 
+def _work(df: DataFrame, root: str, name: str) -> DataFrame:
+    """``df`` written as a table of this run alone, which the next one replaces, so that what reads it twice computes it once."""
+    df.write.mode("overwrite").parquet(f"{root}/work/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/work/{name}")
+
+
 def _known(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """path, run, language, mtime of the files in force, as of the finished runs below ``before``."""
     done = _read(spark, root, "done", _DONE).select("run")
@@ -104,14 +110,15 @@ def _endings(paths: DataFrame) -> DataFrame:
     return paths.select(F.lit("exact").alias("how"), F.col("path").alias("candidate")).unionByName(ends).distinct()
 
 
-def _resolved(now: DataFrame, paths: DataFrame) -> DataFrame:
+def _resolved(now: DataFrame, paths: DataFrame, root: str) -> DataFrame:
     """Edges that the files of ``paths`` give rise to in the corpus ``now``; only symbols that they name are indexed."""
     own = now.join(paths, "path", "left_semi")
     calls, kin = flat(own, "calls").select("path", "caller", "callee"), flat(own, "heritage").select("path", "child", "parent", "relation")
     named = calls.select(F.explode(F.array("caller", "callee")).alias("name")).union(kin.select(F.explode(F.array("child", "parent")).alias("name"))).distinct()
-    targets = resolve.import_edges(_modules(own), now.select(F.col("path").alias("file_id"), "path"))
+    targets = _work(resolve.import_edges(_modules(own), now.select(F.col("path").alias("file_id"), "path")), root, "targets")
     whole = paths.union(targets.select("target_file")).distinct()  # files whose first symbol counts
     symbols = identified(now).join(named.withColumn("named", F.lit(True)), "name", "left").join(whole.withColumn("whole", F.lit(True)), "path", "left").where("named or whole")
+    symbols = _work(symbols.select("symbol_id", "file_id", "path", "name"), root, "symbols")
     parts = [
         resolve.call_edges(calls, symbols, keep=["path"]),
         resolve.promote_imports(targets, symbols).withColumn("path", F.col("source_id.path")),
@@ -134,7 +141,7 @@ def update(files: DataFrame, root: str) -> dict[str, int]:
     last = last_run(spark, root)
     run = 0 if last is None else last + 1
     here = files.where("path is not null")
-    known = _known(spark, root, run)
+    known = _work(_known(spark, root, run), root, "known")
     listing = here.select("path", "language", F.col("mtime").cast("timestamp").alias("mtime"))
     came = lookups.changed(known, listing).where("state <> 'unchanged'").join(listing, "path").select("path", "language", "mtime", "state")
     left = known.join(listing.select("path"), "path", "left_anti").select("path", "language", "mtime", F.lit("gone").alias("state"))
@@ -163,6 +170,6 @@ def update(files: DataFrame, root: str) -> dict[str, int]:
         linked = paths.union(by_name.join(moved, "name", "left_semi").select("path")).union(by_path).distinct()
     counts["linked"] = _put(linked, root, "linked", run)
     linked = _read(spark, root, "linked", _LINKED).where(F.col("run") == run).select("path")
-    counts["edges"] = _put(_resolved(now, linked), root, "edges", run)
+    counts["edges"] = _put(_resolved(now, linked, root), root, "edges", run)
     _put(spark.createDataFrame([tuple(counts.values())], "n_touched bigint, n_parsed bigint, n_linked bigint, n_edges bigint"), root, "done", run)
     return counts
