@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .graph import weak_components
 
 SWEEPS, MOST = 20, 15
@@ -85,18 +86,15 @@ def merge(sizes: dict[int, int], ties: dict[tuple[int, int], int], most: int = M
         if len(groups) <= 1:
             return
         place = {c: k for k, g in enumerate(groups) for c in g}
-        moves = []
-        for k, g in enumerate(groups):
-            if sum(sizes[c] for c in g) > threshold:
-                continue
-            near: Counter = Counter()
-            for (a, b), n in ties.items():
-                if a in g and place[b] != k:
-                    near[place[b]] += n
-                if b in g and place[a] != k:
-                    near[place[a]] += n
-            if near:
-                moves.append((k, min(near, key=lambda x: (-near[x], x))))
+        near: dict[int, Counter] = {k: Counter() for k, g in enumerate(groups) if sum(sizes[c] for c in g) <= threshold}
+        for (a, b), n in ties.items():  # once a pass, for all small groups
+            x, y = place[a], place[b]
+            if x != y:
+                if x in near:
+                    near[x][y] += n
+                if y in near:
+                    near[y][x] += n
+        moves = [(k, min(own, key=lambda x: (-own[x], x))) for k, own in near.items() if own]
         for k, to in moves:
             groups[to], groups[k] = groups[to] + groups[k], []
         groups = sorted((g for g in groups if g), key=lambda g: (-sum(sizes[c] for c in g), min(g)))
@@ -116,7 +114,8 @@ def merge(sizes: dict[int, int], ties: dict[tuple[int, int], int], most: int = M
 def communities(nodes: DataFrame, edges: DataFrame, most: int = MOST) -> DataFrame:
     """symbol_id, community_id (1 is the largest) after merging.  The matrix of communities is what reaches the driver."""
     spark = nodes.sparkSession
-    found = detect(nodes, edges).withColumn("community", F.coalesce("community", F.lit(0))).persist()
+    found = detect(nodes, edges).withColumn("community", F.coalesce("community", F.lit(0)))
+    found = cut(found)
     sizes = {r[0]: r[1] for r in found.groupBy("community").count().collect()}
     a = found.select(F.col("symbol_id").alias("source_id"), F.col("community").alias("a"))
     b = found.select(F.col("symbol_id").alias("target_id"), F.col("community").alias("b"))

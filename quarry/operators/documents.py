@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import format_label, mermaid_id, mermaid_label, strip
+from ..functions.text import format_label, lines, mermaid_id, mermaid_label, strip
 from . import communities as com
 from .graph import community_edges, fan_in_out, labelled
 from .progress import difficulty
@@ -58,6 +59,25 @@ def validate_mermaid(text: str) -> list[str]:
     return errors
 
 
+def mermaid_errors(text: Column) -> Column:
+    """The same as an array column: what is outside quotes are the parts of even place between them, so brackets are counted there."""
+    rows = lines(text)
+    bare = F.transform(rows, strip)
+    head = F.coalesce(F.get(F.filter(bare, lambda x: x != ""), F.lit(0)), F.lit(""))
+    known = functools.reduce(Column.__or__, [head.startswith(k) for k in STARTS])
+    parts = F.split(text, '"', -1)
+    outside = F.array_join(F.filter(parts, lambda x, i: i % 2 == 0), "")
+    count = lambda c: F.length(outside) - F.length(F.replace(outside, F.lit(c)))
+    told = [F.when(~known, F.concat(F.lit("No diagram keyword at the start: '"), F.substring(head, 1, 40), F.lit("'")))]
+    told += [F.when(count(a) != count(b), F.lit(f"Unbalanced {what}")) for a, b, what in (("(", ")", "parentheses"), ("[", "]", "square brackets"), ("{", "}", "curly braces"))]
+    told.append(F.when(F.size(parts) % 2 == 0, F.lit("Unbalanced double quotes")))
+    arrows = F.transform(rows, lambda r, i: F.when(r.contains(" -> ") & ~r.contains("-->") & ~r.contains("-.->"), F.concat(F.lit("Line "), (i + 1).cast("string"), F.lit(": invalid edge '->'"))))
+    opened, closed = F.size(F.filter(bare, lambda x: x.startswith("subgraph "))), F.size(F.filter(bare, lambda x: x == "end"))
+    last = F.when(opened != closed, F.concat(opened.cast("string"), F.lit(" subgraphs but "), closed.cast("string"), F.lit(" ends")))
+    return F.when(F.size(rows) <= 0, F.array(F.lit("Empty diagram"))).otherwise(F.array_compact(F.concat(F.array(*told), arrows, F.array(last))))
+
+
+#: Lines that a flowchart passes over, and how the others are told apart.
 _SKIP = ("//", "#", "fn ", "def ", "func ", "function ", "pub fn ", "async fn ", "pub async fn ")
 _FLOW = (("decision", re.compile(r"(\} )?(else )?if |match |switch[ (]")), ("loop", re.compile(r"for |while |loop( \{)?$")), ("exit", re.compile(r"return( .*|;)?$")))
 

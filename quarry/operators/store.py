@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import numbered
+
 #: Tables of one analysis, in the order in which they depend on each other.
 ANALYSIS = ("files", "symbols", "edges", "communities", "community_members", "processes", "process_steps", "file_metrics", "patterns", "narratives", "chapters", "chapter_sections", "quiz_questions", "progress")
 
 
 def number_files(parsed: DataFrame) -> DataFrame:
-    """``parsed`` files with file_id by path from 1: a row a file is numbered, not a row a symbol."""
-    return parsed.withColumn("file_id", F.row_number().over(Window.orderBy("path")).cast("long"))
+    """``parsed`` files with file_id by path from 1; paths alone are dealt by ranges and numbered, contents stay where they are."""
+    return parsed.join(numbered(parsed.select("path"), ["path"], "file_id"), "path")
 
 
 def number_symbols(files: DataFrame) -> DataFrame:
-    """symbol_id, file_id, name, kind, start_line, end_line, signature: ids by file, then by place.
-
-    Each file's first id follows from the counts of the files before it; symbols are numbered within their file.
-    """
-    before = F.sum(F.size("symbols")).over(Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
-    own = files.select("file_id", "symbols", F.coalesce(before, F.lit(0)).alias("before"))
-    ordered = F.array_sort(F.transform("symbols", lambda x, i: F.struct(x["start_line"].alias("start_line"), x["name"].alias("name"), i.alias("i"), x["kind"].alias("kind"), x["end_line"].alias("end_line"), x["signature"].alias("signature"))))
-    flat = own.select("file_id", "before", F.posexplode(ordered).alias("at", "x"))
-    return flat.select((F.col("before") + F.col("at") + 1).cast("long").alias("symbol_id"), "file_id", "x.name", "x.kind", "x.start_line", "x.end_line", "x.signature")
+    """symbol_id, file_id, name, kind, start_line, end_line, signature: ids by file, then by place; no task sees all of them."""
+    flat = files.select("file_id", F.posexplode("symbols").alias("i", "x")).select("file_id", "i", "x.*")
+    return numbered(flat, ["file_id", "start_line", "name", "i"], "symbol_id").select("symbol_id", "file_id", "name", "kind", "start_line", "end_line", "signature")
 
 
 def save(frames: dict[str, DataFrame], folder: str) -> None:

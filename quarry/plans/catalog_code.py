@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental, metrics, resolve, spans, store, text_store
-from ..sources import adapter, code
+from ..operators import documents, incremental, layout, metrics, resolve, spans, store, text_store
+from ..sources import adapter, code, ignore
 from ..sources.adapter import PARSED_CTE, table
 from ..streaming import batching
 from .catalog import _DOCS, _bm25_sql, _edges, _sym, query
@@ -135,3 +135,52 @@ def event_writer(s: SparkSession, d: str) -> DataFrame:
     batching.write(rows, f"{folder}/out", f"{folder}/mark", available_now=True).awaitTermination()
     out = s.read.parquet(f"{folder}/out").withColumn("shard", F.col("shard").cast("long"))
     return out.groupBy("shard", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+# --- ignore files -----------------------------------------------------------------------------------------------------
+
+#: Ignore files of the corpus, by folder.
+_IGNORE = [("", "# all\n\n*.js\n!brand_1*.js\nsrc/**/brand_3?.rs\n"), ("src", "promo/\n/small/brand_[!12]*.go\n"), ("src/promo", "!*.rs\n"), ("src/large", "brand_*\n!brand_11.ts\nnone/**\n")]
+
+
+@query(r" SELECT path, language FROM files WHERE NOT (path LIKE 'src/promo/%' OR (path LIKE '%.js' AND NOT regexp_matches(path, '/brand_1[^/]*\.js$')) OR regexp_matches(path, '^src/(.*/)?brand_3.\.rs$') OR regexp_matches(path, '^src/small/brand_[^12][^/]*\.go$') OR (path LIKE 'src/large/brand\_%' ESCAPE '\' AND path <> 'src/large/brand_11.ts'))")
+def unignored_files(s: SparkSession, d: str) -> DataFrame:
+    files = adapter.files(_sym(s, d)).select("path", "language")
+    return ignore.unignored(files, s.createDataFrame(_IGNORE, "folder string, content string"))
+
+
+# --- layout -----------------------------------------------------------------------------------------------------------
+
+
+@query(""", k AS (SELECT path, array_to_string([CASE WHEN i < len(string_split(path, '/')) THEN '0' ELSE '1' END || string_split(path, '/')[i] FOR i IN range(1, len(string_split(path, '/')) + 1)], chr(1)) AS key FROM files), l AS (SELECT path, row_number() OVER (ORDER BY key) - 1 AS nth FROM k),
+n AS (SELECT dir AS path, min(nth) AS a, max(nth) AS b FROM (SELECT unnest([array_to_string(string_split(path, '/')[1:j], '/') FOR j IN range(0, len(string_split(path, '/')))]) AS dir, nth FROM l) GROUP BY 1 UNION ALL SELECT path, nth, nth FROM l)
+SELECT path, CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END::BIGINT AS depth, (CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END * 180)::BIGINT AS x, (20 + (a + b) * 21)::DOUBLE AS y,
+  CASE WHEN path = '' THEN 120.0 ELSE greatest(140.0, length(string_split(path, '/')[-1]) * 7.5 + 32) END::DOUBLE AS width, 36.0::DOUBLE AS height FROM n""")
+def tree_positions(s: SparkSession, d: str) -> DataFrame:
+    return layout.tree_positions(adapter.files(_sym(s, d)))
+
+
+# --- diagrams ---------------------------------------------------------------------------------------------------------
+
+
+def _bracket_sql(a: str, b: str, what: str) -> str:
+    return f"CASE WHEN length(replace(o, '{a}', '')) <> length(replace(o, '{b}', '')) THEN 'Unbalanced {what}' END"
+
+
+_STARTS = " OR ".join(f"starts_with(head, '{k.strip()}' || chr({ord(k[-1])}))" if k[-1].isspace() else f"starts_with(head, '{k}')" for k in documents.STARTS)
+
+
+@query(rf"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'graph TD' || chr(10) || text WHEN 1 THEN replace(text, ' a ', ' -> ') WHEN 2 THEN chr(10) || 'pie "(' || chr(10) || ' subgraph x' || chr(10) || text ELSE '' END AS text FROM documents),
+r AS (SELECT doc_id, text, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS ls, string_split(text, '"') AS ps FROM t),
+b AS (SELECT *, list_transform(ls, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS bs, array_to_string(list_filter(ps, lambda x, i: i % 2 = 1), '') AS o FROM r),
+h AS (SELECT *, coalesce(list_filter(bs, lambda x: x <> '')[1], '') AS head, len(list_filter(bs, lambda x: starts_with(x, 'subgraph '))) AS n1, len(list_filter(bs, lambda x: x = 'end')) AS n2 FROM b)
+SELECT doc_id, CASE WHEN len(ls) = 0 THEN 'Empty diagram' ELSE array_to_string(list_filter(list_concat(
+  [CASE WHEN NOT ({_STARTS}) THEN 'No diagram keyword at the start: ''' || left(head, 40) || '''' END,
+   {_bracket_sql("(", ")", "parentheses")}, {_bracket_sql("[", "]", "square brackets")}, {_bracket_sql("{", "}", "curly braces")}, CASE WHEN len(ps) % 2 = 0 THEN 'Unbalanced double quotes' END],
+  list_transform(ls, lambda x, i: CASE WHEN contains(x, ' -> ') AND NOT contains(x, '-->') AND NOT contains(x, '-.->') THEN 'Line ' || i || ': invalid edge ''->''' END), [CASE WHEN n1 <> n2 THEN n1 || ' subgraphs but ' || n2 || ' ends' END]), lambda x: x IS NOT NULL), '; ') END AS errors FROM h""", cte=False)
+def mermaid_checks(s: SparkSession, d: str) -> DataFrame:
+    """Checks of diagram texts, on texts made into diagrams, well and badly."""
+    docs = table(s, d, "documents")
+    kind = F.col("doc_id") % 4
+    text = F.when(kind == 0, F.concat(F.lit("graph TD\n"), "text")).when(kind == 1, F.replace("text", F.lit(" a "), F.lit(" -> "))).when(kind == 2, F.concat(F.lit('\npie "(\n subgraph x\n'), "text")).otherwise("")
+    return docs.select("doc_id", text.alias("text")).select("doc_id", F.array_join(documents.mermaid_errors(F.col("text")), "; ").alias("errors"))

@@ -295,6 +295,8 @@ def test_diagrams(spark):
     assert documents.flowcharts(spark.createDataFrame([(1, "f", "\n".join(rows))], "symbol_id long, name string, body string")).first().nodes[0]["label"] == "Start: f"
     assert documents.validate_mermaid("graph TD\n  a --> b") == [] and documents.validate_mermaid("") == ["Empty diagram"]
     assert len(documents.validate_mermaid("tree\n a[x -> b\n subgraph q")) == 4
+    for text in ("graph TD\n  a --> b", "", "tree\n a[x -> b\n subgraph q", 'pie "(" ( {', '\n\ngantt\n "]\nend\nend', "  "):
+        assert one(spark, text, documents.mermaid_errors) == documents.validate_mermaid(text)
     n, e = nodes(spark, ["main", "other"]), edges(spark, [(1, 2)])
     m = spark.createDataFrame([(1, 1), (2, 2)], "community_id long, symbol_id long")
     lab = spark.createDataFrame([(1, "core"), (2, "edge_case")], "community_id long, label string")
