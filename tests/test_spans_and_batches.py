@@ -114,5 +114,5 @@ def test_tree_positions(spark):
     files = spark.createDataFrame([("b.py",), ("a/x.py",), ("a/c/y.py",), ("a/c/a-long-name-of-a-file.py",)], "path string")
     got = {r.path: (r.depth, r.x, r.y, r.width) for r in layout.tree_positions(files).collect()}
     assert {p: v[2] for p, v in got.items()} == {"a/c/a-long-name-of-a-file.py": 20, "a/c/y.py": 62, "a/x.py": 104, "b.py": 146, "a/c": 41, "a": 62, "": 83}
-    assert got["a/c"][:2] == (2, 360) and got[""] == (0, 0, 83, 120.0) and got["a/c/a-long-name-of-a-file.py"][3] == 25 * 7.5 + 32 and got["b.py"][3] == 140.0
+    assert got["a/c"][:2] == (2, 360) and got[""] == (0, 0, 83, 120.0) and got["a/c/a-long-name-of-a-file.py"][3] == len("a-long-name-of-a-file.py") * 7.5 + 32 and got["b.py"][3] == 140.0
     assert layout.tree_positions(files.limit(0)).count() == 0
