@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.text import language_of
+from .scan import scan
 
 PARSED = (
     "path string, language string, sloc long, symbols array<struct<name: string, kind: string, start_line: bigint, end_line: bigint, signature: string>>, "
@@ -73,8 +74,10 @@ def parse_python(text: str) -> dict:
 
 
 def parse_lines(text: str, language: str) -> dict:
-    """Heuristic extraction by line patterns; a definition ends where its braces close."""
-    rows = text.splitlines()
+    """Heuristic extraction by line patterns over what is code; a definition ends where its braces close."""
+    text = text.replace("\r\n", "\n").removesuffix("\n")
+    bare, code = (x.split("\n") for x in scan(text, language))  # strings matter to imports alone
+    rows, shown = code, text.split("\n")
     symbols, imports, calls, heritage, seen = [], [], [], [], set()
     for k, row in enumerate(rows):
         for kind, pattern in _DEFINITIONS[language]:
@@ -88,10 +91,10 @@ def parse_lines(text: str, language: str) -> dict:
                     end = j
                     if (opened and depth <= 0) or (not opened and rows[j].rstrip().endswith(";")):
                         break
-                symbols.append({"name": m[1], "kind": kind, "start_line": k + 1, "end_line": end + 1, "signature": row.strip()})
+                symbols.append({"name": m[1], "kind": kind, "start_line": k + 1, "end_line": end + 1, "signature": shown[k].strip()})
                 break
         for pattern in _IMPORTS[language]:
-            if m := re.match(pattern, row):
+            if m := re.match(pattern, bare[k]):
                 imports.append({"module": m[2].strip("'\"`; "), "name": (m[1] or "").strip("{} ") or "*", "line": k + 1})
                 break
         if language in _PARENTS and (m := re.search(_PARENTS[language], row)):
@@ -106,7 +109,7 @@ def parse_lines(text: str, language: str) -> dict:
             heapq.heappush(around, (symbols[n]["end_line"] - symbols[n]["start_line"], n))
         while around and symbols[around[0][1]]["end_line"] < k + 1:
             heapq.heappop(around)
-        if k + 1 in defined or row.lstrip().startswith(("//", "*", "/*")):
+        if k + 1 in defined:
             continue
         for m in re.finditer(rf"{_NAME}!?\s*\(", row):
             if m[1] not in _WORDS:
