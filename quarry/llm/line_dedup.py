@@ -1,9 +1,9 @@
 """Corpus-wide line deduplication by deletion neighbourhoods, in DataFrame functions only.
 
 Lines are compared in a normal form (A-Z lower-cased, runs of ASCII white space one
-space, trimmed).  A line of at least ``MIN_CHARS`` characters goes if an equal line, or one
-within one edit (a character put in, taken out or replaced), stands earlier
-in the corpus.  The order is (doc_id, row hash, line number); null ids come first.
+space, trimmed).  A line goes if an equal line stands earlier in the corpus; one of at least ``MIN_CHARS``
+characters also if another of that length within one edit (a character put in, taken out or replaced) does.
+Blank lines stay.  The order is (doc_id, row hash, line number); null ids come first.
 
 Two lines within one edit share all characters before the edit and all after it.  Keys are
 hashes of a line without a stretch that may hold the edit, in three steps, each only
@@ -18,7 +18,8 @@ so a variant reads some square root of its stretch and not the whole line.
 Lines travel as hashes; only those that met in step 1 are read again from their texts.
 
 All lines with one variant at one place are within one edit of each other, so each is
-compared with the earliest of them, and no pair of a group is needed besides.
+compared with the earliest of them, and no pair of a group is needed besides.  A pair that shares
+many variants is compared once, by what lies on the two sides of the edit.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
+#: Lines of fewer characters are compared as they are: one edit makes another word of a short one.
 MIN_CHARS = 24
 
 
@@ -90,10 +92,10 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, rid, line and norm of every line that is long enough."""
-    flat = _rows(docs).select("doc_id", "rid", F.posexplode(_normal(F.col("text"))).alias("line", "raw")).where(F.octet_length("raw") >= least)
-    return flat.select("doc_id", "rid", "line", F.trim("raw").alias("norm")).where(F.length("norm") >= least)
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, line and norm of every line that is not blank."""
+    flat = _rows(docs).select("doc_id", "rid", F.posexplode(_normal(F.col("text"))).alias("line", "raw"))
+    return flat.select("doc_id", "rid", "line", F.trim("raw").alias("norm")).where("norm <> ''")
 
 
 def _met(keyed: DataFrame) -> DataFrame:
@@ -114,8 +116,8 @@ def _again(docs: DataFrame, asked: DataFrame) -> DataFrame:
 def first_lines(docs: DataFrame, space: Workspace, least: int = MIN_CHARS, near: bool = True) -> DataFrame:
     """h1, h2 (hashes of a distinct line) and ``first`` (doc_id, rid, line) of those lines that are kept."""
     place = F.struct("doc_id", "rid", "line")
-    each = _lines(docs, least).select("doc_id", "rid", "line", "norm", F.length("norm").alias("n"))
-    each = each.select(F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2"), place.alias("place"), *([F.expr(_HALVES).alias("halves")] if near else []))
+    each = _lines(docs).select("doc_id", "rid", "line", "norm", F.length("norm").alias("n"))
+    each = each.select(F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2"), place.alias("place"), *([F.when(F.col("n") >= least, F.expr(_HALVES)).alias("halves")] if near else []))
     distinct = each.groupBy("h1", "h2").agg(F.min("place").alias("first"), *([F.first("halves").alias("halves")] if near else []))
     distinct = space.table(distinct, "distinct")
     firsts = distinct.select("h1", "h2", "first")
@@ -130,52 +132,71 @@ def first_lines(docs: DataFrame, space: Workspace, least: int = MIN_CHARS, near:
     parts = lines.join(where, ["h1", "h2"]).select("h1", "h2", "key", "a", middle.alias("middle"), F.length(middle).alias("m"), s.alias("s")).withColumn("e", F.expr(_STEPS))
     variants = parts.select("h1", "h2", "a", F.explode(F.expr(_VARIANTS)).alias("v")).select("h1", "h2", "v.key", (F.col("a") + F.col("v.p")).alias("p"), "v.d")
     shared = space.table(_met(space.table(variants, "variants")), "shared")
-    # the two sides of the edit, compared as they are, verify an edit distance of one at most in one pass over the line
-    sides = F.struct("first", F.expr("left(norm, p)").alias("a"), F.expr("right(norm, n - p - d)").alias("z"))
-    full = shared.join(lines.select("h1", "h2", "first", "norm", "n"), ["h1", "h2"]).select("h1", "h2", "key", sides.alias("own"))
+    full = shared.join(lines.select("h1", "h2", "first"), ["h1", "h2"]).select("key", F.struct("first", "h1", "h2", "p", "d").alias("own"))
     earliest = full.groupBy("key").agg(F.min("own").alias("e"))
-    gone = full.join(earliest, "key").where("e.first < own.first and e.a = own.a and e.z = own.z").select("h1", "h2").distinct()
+    pairs = full.join(earliest, "key").where("e.first < own.first")
+    pairs = pairs.groupBy("own.h1", "own.h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")).agg(F.min(F.struct("own.p", "own.d", F.col("e.p").alias("ep"), F.col("e.d").alias("ed"))).alias("at"))
+    pairs = space.table(pairs, "pairs").join(lines.select("h1", "h2", "norm", "n"), ["h1", "h2"])
+    pairs = pairs.join(lines.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("norm").alias("other"), F.col("n").alias("m")), ["e1", "e2"])
+    # the two sides of one edit, compared as they are, verify an edit distance of one at most in one pass over the lines
+    alike = "left(norm, at.p) = left(other, at.ep) and right(norm, n - at.p - at.d) = right(other, m - at.ep - at.ed)"
+    gone = pairs.where(alike).select("h1", "h2").distinct()
     gone = space.table(gone, "gone")
     space.keep_only("distinct", "gone")
     return firsts.join(gone, ["h1", "h2"], "left_anti")
 
 
+def _cut(docs: DataFrame, least: int, near: bool) -> DataFrame:
+    """row (all columns of ``docs``), text (its kept lines), n_lines and n_removed of every row."""
+    space = Workspace(docs.sparkSession, "line-dedup")
+    kept = first_lines(docs, space, least, near)
+    own = space.table(kept.groupBy(F.col("first.doc_id").alias("doc"), F.col("first.rid").alias("kept_rid")).agg(F.collect_set("first.line").alias("kept")), "kept")
+    space.keep_only("kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("id"))
+    rows = rows.join(own, (F.col("rid") == F.col("kept_rid")) & F.col("id").eqNullSafe(F.col("doc")), "left")
+    rows = rows.withColumn("lines", F.split("row.text", "\n", -1)).withColumn("spaced", F.split(_spaced(F.col("row.text")), "\n", -1))
+    none = F.array().cast("array<int>")
+    full = F.filter(F.transform("spaced", lambda x, i: F.when(F.trim(x) != "", i).otherwise(-1)), lambda i: i >= 0)
+    rows = rows.withColumn("full", F.coalesce(full, none)).withColumn("kept", F.coalesce("kept", none))
+    rows = rows.withColumn("gone", F.when(F.size("full") == F.size("kept"), none).otherwise(F.array_except("full", "kept")))
+    left = "array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\n')"
+    text = F.when(F.size("gone") == 0, F.col("row.text")).otherwise(F.expr(left))
+    return rows.select("row", text.alias("text"), F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
+
+
 def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, near: bool = True, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """``docs`` with ``text`` cut down to its kept lines, and how many lines it had and lost (columns ``counts``).
 
-    A null text stays null (no lines); an empty text has one, empty line.  Lines below ``least``
-    characters always stay.  A very long text or line is taken whole; a line's cost grows a little faster than its length.
+    A null text stays null (no lines); an empty text has one, blank line, and blank lines stay.  Lines below ``least``
+    characters go only where an equal one stands earlier.  A very long text or line is taken whole; a line's cost grows a little faster than its length.
     Of equal lines the one of the least (doc_id, row hash, line number) stays.  Rows alike in doc_id and text are one document: they
-    keep the same lines.  All columns of ``docs`` come back (names that begin with _q_ are kept for this package), but those named as ``counts`` say are replaced.
+    keep the same lines.  All columns of ``docs`` come back, whatever their names, but those named as ``counts`` say are replaced.
     An empty table gives no rows.
     """
-    space = Workspace(docs.sparkSession, "line-dedup")
-    kept = first_lines(docs, space, least, near)
-    own = space.table(kept.groupBy(F.col("first.doc_id").alias("_q_doc"), F.col("first.rid").alias("_q_kept_rid")).agg(F.collect_set("first.line").alias("_q_kept")), "kept")
-    space.keep_only("kept")
-    keep = [c for c in docs.columns if c not in counts]
-    rows = docs.select(*keep, F.xxhash64("doc_id", "text").alias("_q_rid"), F.col("doc_id").cast("long").alias("_q_id"))
-    rows = rows.join(own, (F.col("_q_rid") == F.col("_q_kept_rid")) & F.col("_q_id").eqNullSafe(F.col("_q_doc")), "left")
-    rows = rows.withColumn("_q_lines", F.split("text", "\n", -1)).withColumn("_q_spaced", F.split(_spaced(F.col("text")), "\n", -1))
-    none = F.array().cast("array<int>")
-    long = F.filter(F.transform("_q_spaced", lambda x, i: F.when((F.octet_length(x) >= least) & (F.length(F.trim(x)) >= least), i).otherwise(-1)), lambda i: i >= 0)
-    rows = rows.withColumn("_q_long", F.coalesce(long, none)).withColumn("_q_gone", F.when(F.size("_q_long") == F.size(F.coalesce("_q_kept", none)), none).otherwise(F.array_except("_q_long", F.coalesce("_q_kept", none))))
-    left = "array_join(transform(array_except(sequence(0, size(_q_lines) - 1), _q_gone), i -> _q_lines[i]), '\n')"
-    text = F.when(F.size("_q_gone") == 0, F.col("text")).otherwise(F.expr(left))
-    n = F.greatest(F.coalesce(F.size("_q_lines"), F.lit(0)), F.lit(0)).cast("long")
-    done = rows.withColumns({"text": text, "_q_n": n, "_q_removed": F.size("_q_gone").cast("long")})
-    return done.select(*keep, F.col("_q_n").alias(counts[0]), F.col("_q_removed").alias(counts[1]))
+    cut = _cut(docs, least, near)
+    keep = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in counts]
+    return cut.select(*keep, F.col("n_lines").alias(counts[0]), F.col("n_removed").alias(counts[1]))
+
+
+def documents_with_lines(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with their kept lines; a row that lost lines and has no word left goes.  The columns are those of ``docs``,
+    whatever their names; ``n_chars``, where there is one, follows the text."""
+    cut = _cut(docs, MIN_CHARS, True).where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return cut.select([new[c] if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM d),
 n AS (SELECT *, translate(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM l),
-e AS (SELECT norm, length(norm) AS z, min((doc_id, line)) AS first FROM n WHERE length(norm) >= 24 GROUP BY norm),
+e AS (SELECT norm, length(norm) AS z, min((doc_id, line)) AS first FROM n WHERE norm <> '' GROUP BY norm),
 k AS (
   SELECT DISTINCT norm, z, first, unnest([
     'f' || left(norm, z // 2), 'f' || left(norm, (z - 1) // 2),
-    'l' || right(norm, z - z // 2), 'l' || right(norm, z - 1 - (z - 1) // 2)]) AS key FROM e),
+    'l' || right(norm, z - z // 2), 'l' || right(norm, z - 1 - (z - 1) // 2)]) AS key FROM e WHERE z >= 24),
 c AS (SELECT DISTINCT a.norm AS a, b.norm AS b, a.z AS za, b.z AS zb FROM k a JOIN k b ON a.key = b.key AND a.norm <> b.norm AND abs(a.z - b.z) <= 1 AND b.first < a.first),
 g AS (SELECT DISTINCT a AS norm FROM c WHERE
   CASE WHEN za = zb THEN len(list_filter(range(0, za), lambda x: left(a, x) = left(b, x) AND right(a, za - x - 1) = right(b, za - x - 1))) > 0
@@ -183,7 +204,7 @@ g AS (SELECT DISTINCT a AS norm FROM c WHERE
        ELSE len(list_filter(range(0, za), lambda x: left(a, x) = left(b, x) AND right(a, zb - x) = right(b, zb - x))) > 0 END),
 s AS (
   SELECT n.doc_id, n.text, n.line, n.raw,
-    length(n.norm) < 24 OR (e.first = (n.doc_id, n.line) AND g.norm IS NULL) AS stays
+    n.norm = '' OR (e.first = (n.doc_id, n.line) AND g.norm IS NULL) AS stays
   FROM n LEFT JOIN e USING (norm) LEFT JOIN g USING (norm)),
 r AS (
   SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,

@@ -93,10 +93,10 @@ def brute_lines(rows, least):
         left = []
         for line in text.split("\n") if text is not None else ():
             n = norm(line)
-            if len(n) < least:
+            if not n:
                 left.append(line)
                 continue
-            if not any(close(n, m) for m in seen):
+            if n not in seen and (len(n) < least or not any(close(n, m) for m in seen if len(m) >= least)):
                 left.append(line)
             if n not in seen:
                 seen.append(n)
@@ -116,7 +116,7 @@ def test_line_dedup(spark, length):
             x = rng.choice([x[:k] + x[k + 1 :], x[:k] + "q" + x[k:], x[:k] + "z" + x[k + 1 :]])
         return x
 
-    rows = [(k, "\n".join(rng.choice([edit(rng.choice(base)), make(length), "short"]) for _ in range(rng.randint(1, 6)))) for k in range(40)] + [(50, None), (51, "")]
+    rows = [(k, "\n".join(rng.choice([edit(rng.choice(base)), make(length), "short", "shorty", " short", ""]) for _ in range(rng.randint(1, 6)))) for k in range(40)] + [(50, None), (51, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
     assert got == brute_lines(rows, line_dedup.MIN_CHARS)
@@ -128,7 +128,7 @@ def test_line_dedup_folds_a_to_z(spark):
     rows = [(1, f"{ascii_}\n{accented}"), (2, f"{ascii_.upper()}\nAlle  Rechte für die größe\tvorbehalten\nOwn Line Of The Second Text"), (3, f"{ascii_.title()}!\nALLE RECHTE FüR DIE GRößE VORBEHALTEN"), (4, "ALLE RECHTE FÜR DIE GRÖßE VORBEHALTEN"), (5, "Short Line\nshort line\nown line of the SECOND text")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
-    assert got == {1: rows[0][1], 2: "Own Line Of The Second Text", 3: "", 4: rows[3][1], 5: "Short Line\nshort line"}
+    assert got == {1: rows[0][1], 2: "Own Line Of The Second Text", 3: "", 4: rows[3][1], 5: "Short Line"}
     assert {k: fold(x) for k, x in got.items()} == brute_lines([(k, fold(x)) for k, x in rows], line_dedup.MIN_CHARS)
 
 
@@ -141,6 +141,18 @@ def test_line_dedup_long_lines(spark):
     assert got == {1: len(line), 2: 0, 3: 0, 4: 0, 5: len(line) + 2, 6: 0}
 
 
+def test_line_dedup_runs_of_one_letter(spark):
+    rows = [(1, "a" * 16_000), (2, "a" * 16_001), (3, "a" * 16_003), (4, "b" + "a" * 15_999), (5, "ba" + "a" * 16_001)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows, line_dedup.MIN_CHARS)
+
+
+def test_line_dedup_short_lines(spark):
+    rows = [(1, "one\n\n  \ntwo\nOne"), (2, "two\n\ttwo \r\nthree\n"), (3, "thre\n" + "x" * 23 + "\n" + "x" * 24), (4, "x" * 23), (None, "three"), (5, "THREE\n" + "x" * 25)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {None: "three", 1: "one\n\n  \ntwo", 2: "", 3: "thre\n" + "x" * 23 + "\n" + "x" * 24, 4: "", 5: ""}
+
+
 def test_line_dedup_counts_under_other_names(spark):
     frame = spark.createDataFrame([(1, "a line that is long enough to count", -5, -6)] * 2, "doc_id long, text string, n_lines long, n_removed long")
     out = line_dedup.dedup_lines(frame.union(frame.withColumn("doc_id", F.lit(2))), counts=("_q_n", "_q_gone"))
