@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .tokens import slices
 from .workspace import Workspace
 
-FIT_ROWS, MOST_FEATURES, LEXICONS = 20_000, 2_048, 5
+FIT_ROWS, LEXICONS = 20_000, 5
 #: What a mined feature must show on the labelled rows, however many there are: at most this share of the features is there by
 #: chance; and its share of clean rows is no more than this, or exceeds it by no more than chance would (so many deviations).
 FALSE_SHARE, CLEAN_SHARE, DEVIATIONS, BINS = 0.05, 0.03, 1.64, 4
@@ -36,17 +36,22 @@ UNKNOWN_GAP = 0.3
 SEED_WORDS = frozenset("idiot idiots moron morons stupid loser losers scum trash clown pathetic worthless disgusting imbecile dumb jerk trottel depp abschaum widerlich wertlos imbécile ordure débile minable idiota imbécil basura asqueroso patético".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _ADDRESS = re.compile(r"\b(you are|you're|such an?|what an?|shut up|du bist|tu es|eres un)\b", re.IGNORECASE)
-_SHOUT = re.compile(r"\b[^\W\d_a-zß-ÿ]{4,}\b.*!{2,}")
+_CAPITALS = re.compile(r"\b[^\W\d_a-zß-ÿ]{4,}\b")
 PATTERNS = ("address", "shout")
 _STEM = (4, 5, 6)
 
 
+def _shouts(text: str) -> bool:
+    """Whether a line holds a word in capitals and, after it, two exclamation marks; each line is read once, up to its last marks."""
+    return "!!" in text and any(_CAPITALS.search(line, 0, max(line.rfind("!!"), 0)) for line in text.split("\n"))
+
+
 def features_of(text: str | None) -> tuple[set, list]:
     """Distinct words and word beginnings (marked by a trailing ``*``) of a whole text; its pattern votes."""
     text = text or ""
     words = set(_WORD.findall(text.lower()))
     stems = {w[:n] + "*" for w in words for n in _STEM if len(w) > n}
-    return words | stems, [bool(_ADDRESS.search(text)), bool(_SHOUT.search(text))]
+    return words | stems, [bool(_ADDRESS.search(text)), _shouts(text)]
 
 
 def least_gain(bins: list[tuple[int, int]], tested: int) -> float:
@@ -91,7 +96,7 @@ class Model:
             own += [self.number[b + "*"] for b in begun if b + "*" in self.stems]
         for k in own:
             votes[self.voter[k]] = 1
-        votes[-2:] = bool(_ADDRESS.search(text)), bool(_SHOUT.search(text))
+        votes[-2:] = bool(_ADDRESS.search(text)), _shouts(text)
         return own, votes
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
@@ -183,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, space: Workspace, fit_rows: int = FI
         bins = found.groupBy(F.floor(F.col("gain") * BINS).alias("step")).count().collect()  # as many rows as there are gains, by the step
         least = least_gain([(r["step"], r["count"]) for r in bins if r["step"] is not None], sum(r["count"] for r in bins))
         few = F.col("n") - F.col("t") <= CLEAN_SHARE * F.col("n") + DEVIATIONS * F.sqrt(F.col("n") * CLEAN_SHARE * (1 - CLEAN_SHARE))
-        best = [r["feature"] for r in found.where(few & (F.col("gain") >= F.lit(least))).orderBy(F.desc("gain"), "feature").limit(MOST_FEATURES).collect()]
+        best = [r["feature"] for r in found.where(few & (F.col("gain") >= F.lit(least))).orderBy(F.desc("gain"), "feature").collect()]  # words of at most ``fit_rows`` texts that pass
     model = Model(best, min(0.9, max(0.005, (n1 + 0.5) / (n1 + n0 + 1))) if n1 + n0 else 0.1)
     sent = spark.sparkContext.broadcast(model)
 
@@ -230,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, space: Workspace, fit_rows: int = FI
 def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``; only the whole text enters a score.
 
-    A null text scores as an empty one.  A very long text is read whole.  Repeated rows are scored each, and alike.  A null doc_id is not held
+    A null text scores as an empty one.  A very long text is read whole, in time that grows with its length.  Repeated rows are scored each, and alike;
+    of several labels of one doc_id the highest counts.  A null doc_id is not held
     out.  Without any label the seed lexicon and patterns decide.  An empty table gives no rows; other columns are ignored.
     """
     model = fit(docs, labels, Workspace(docs.sparkSession, "toxicity"), fit_rows)

@@ -1,9 +1,11 @@
 import random
+import re
+import time
 import zlib
 
 import numpy as np
 
-from quarry.llm.toxicity import Model, features_of, label_model, least_gain, score_documents
+from quarry.llm.toxicity import Model, _shouts, features_of, label_model, least_gain, score_documents
 
 
 def held(doc_id):
@@ -51,6 +53,17 @@ def test_gain_follows_the_number_of_features():
     assert least_gain([(4, 10)], 1000) == float("inf") and least_gain([], 0) == float("inf")
 
 
+def test_shouts_are_found_in_linear_time():
+    want = re.compile(r"\b[^\W\d_a-zß-ÿ]{4,}\b.*!{2,}")
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice(["LOUD", "ÄÖÜß", "ÉCLAT", "abc", "!", "!!", " ", "\n", "_", "1", "LOu"]) for _ in range(rng.randint(0, 12)))
+        assert _shouts(text) == bool(want.search(text)), text
+    start = time.perf_counter()
+    assert not _shouts("SHOUTED WORDS! " * 200_000) and not _shouts("!!" + "SHOUTED WORDS! " * 200_000) and _shouts("SHOUTED WORDS! " * 200_000 + "!")
+    assert time.perf_counter() - start < 20  # three texts of 3 MB
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(3)
     y = rng.random(200_000) < 0.2
