@@ -321,12 +321,11 @@ def one_of_each(docs: DataFrame, part: int = 75) -> DataFrame:
     gone = space.table(rows.select("root", "rid").distinct().join(best, ["root", "rid"], "left_anti").select("rid"), "gone")
     space.keep_only("classes", "gone")
     twice = space.table(rows.groupBy("rid").count().where("count > 1").select("rid"), "twice")
-    own = docs.withColumn("_q_rid", row_id("doc_id", "text"))
-    kept = own.join(gone.select(F.col("rid").alias("_q_rid")), "_q_rid", "left_anti")
+    own = docs.select(F.struct(*docs.columns).alias("row"), row_id("doc_id", "text").alias("rid"))
+    kept = own.join(gone, "rid", "left_anti")
     if not twice.isEmpty():
-        again = twice.select(F.col("rid").alias("_q_rid"))
-        kept = kept.join(again, "_q_rid", "left_anti").unionByName(kept.join(again, "_q_rid", "left_semi").dropDuplicates(["_q_rid"]))
-    return kept.select(docs.columns)
+        kept = kept.join(twice, "rid", "left_anti").unionByName(kept.join(twice, "rid", "left_semi").dropDuplicates(["rid"]))
+    return kept.select("row.*")
 
 
 def classes(docs: DataFrame, space: Workspace, part: int = 75) -> DataFrame:

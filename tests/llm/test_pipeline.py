@@ -62,7 +62,7 @@ def test_odd_rows(spark, odd, empty, sf_dir):
     many = " ".join(f"w{k}" for k in range(80))
     extra = [(20, many), (20, many), (21, many + " x"), (None, many + " y\n" + "a line that is long enough to count here"), (22, None)]
     # extra columns with names that the operators give to their own results
-    names = "n_lines n_removed n_hit items row hits n_words n_repeat_words base_failed host kept rid root low sid bucket piece".split()
+    names = "n_lines n_removed n_hit items row hits n_words n_repeat_words base_failed host kept rid root low sid bucket piece id doc lines spaced full gone _q_rid _q_row _q_text _q_host _q_n_lines _q_n_removed _q_kept".split()
     clash = lambda frame: frame.withColumns({n: F.lit(-5) for n in names})
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows(odd) + extra], "doc_id long, text string, lang string, source string, n_chars long")
     for frame in (clash(docs), clash(empty.selectExpr("doc_id", "text", "score as lang", "kept as source", "cast(bucket as long) as n_chars"))):
