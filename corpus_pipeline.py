@@ -11,10 +11,9 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.llm.decontaminate import clean_documents
-from quarry.llm.line_dedup import dedup_lines
+from quarry.llm.line_dedup import documents_with_lines
 from quarry.llm.ngram_join import one_of_each
 from quarry.llm.packing import best_two_fit
 from quarry.llm.quality import keep_documents
@@ -56,12 +55,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and wordless texts lose nothing and stay; very long texts and lines are taken whole; of equal lines the one
     of the least (doc_id, row hash, line number) stays; rows alike in doc_id and text keep the same lines; an empty table gives
-    no rows; all columns come back, those named like the operator's counts too, and ``n_chars`` follows the text.
+    no rows; all columns come back, whatever their names, and ``n_chars`` follows the text.
     """
-    out = dedup_lines(docs, counts=("_q_n_lines", "_q_n_removed")).where((F.col("_q_n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return documents_with_lines(docs)
 
 
 @_stage
