@@ -3,6 +3,7 @@
 import math
 import random
 import sqlite3
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +190,35 @@ def test_communities(spark):
         assert own == communities.local_moving(ids, pairs, len(pairs)) and set(own) == set(ids)
 
 
+@pytest.mark.parametrize("most, lone", [(1, 2), (4, 0), (15, 20)])
+def test_communities_are_merged_apart(spark, most, lone):
+    """Several components, symbols without an edge: the groups of one merge over the whole graph, without communities or ties on the driver."""
+    rng = random.Random(most)
+    pairs = [(at + rng.randrange(1, wide), at + rng.randrange(1, wide)) for at, wide, n in ((0, 60, 150), (100, 40, 60), (200, 4, 5)) for _ in range(n)]
+    ids = sorted({x for p in pairs for x in p})
+    own = communities.local_moving(ids, pairs, float(len(pairs)))
+    least = {}
+    for x in ids:
+        least.setdefault(own[x], x)
+    held = {x: least[own[x]] for x in ids}
+    sizes, ties = Counter(held.values()), Counter()
+    for a, b in pairs:
+        if held[a] != held[b]:
+            ties[tuple(sorted((held[a], held[b])))] += 1
+    if lone:
+        sizes[0] = lone
+    want = communities.merge(sizes, ties, most)
+    every = spark.createDataFrame([(x,) for x in ids + [1000 + k for k in range(lone)]], "symbol_id long")
+    got = {r.symbol_id: r.community_id for r in communities.communities(every, edges(spark, pairs), most).collect()}
+    assert got == {x: want[held[x]] + 1 for x in ids} | {1000 + k: want.get(0, 0) + 1 for k in range(lone)}
+
+
+def test_communities_of_symbol_0(spark):
+    """A symbol 0 is not one of those without an edge."""
+    got = {r.symbol_id: r.community_id for r in communities.communities(spark.createDataFrame([(0,), (1,), (2,), (9,)], "symbol_id long"), edges(spark, [(0, 1), (1, 2), (0, 2)])).collect()}
+    assert got[0] == got[1] == got[2] != got[9]
+
+
 ROWS = [(1, "src/main.rs", "rust"), (2, "src/lib.rs", "rust"), (3, "docs/main notes.md", "text"), (4, "src/hello_world.py", "python hello"), (5, None, "")]
 
 
