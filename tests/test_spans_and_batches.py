@@ -4,6 +4,8 @@ import datetime
 import random
 import time
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import layout, metrics, spans
@@ -94,6 +96,23 @@ def test_batches_over_restarts(spark, tmp_path):
         assert mine == [[k for _, k in b] for b in want if len(b) == 7 or b[0][0] + 2000 <= times[-1]]
 
 
+def test_batches_take_rows_in_parts():
+    """A shard's rows of a micro-batch are not held, only a part and the open batch: what closed is handed on before the next part is read."""
+    step = batching.Batches(["k"], "k bigint", 5, 10**9, "event")
+    step.handle = type("Handle", (), {"registerTimer": lambda *_: None, "deleteTimer": lambda *_: None})()
+    step.rows = type("Held", (), {"get": lambda _: [], "put": lambda *_: None, "clear": lambda _: None})()
+    step.place = type("Place", (), {"get": lambda _: None, "update": lambda *_: None})()
+    read = []
+    part = lambda ks: pd.DataFrame({"q_ms": ks, "q_id": ks, "q_row": [{"k": k} for k in ks]})
+    source = (read.append(k) or part(range(k, k + 8)) for k in range(0, 800, 8))
+    out = step.handleInputRows((0,), source, None)
+    first = next(out)
+    assert read == [0] and [r["k"] for r in first["row"]] == [0, 1, 2, 3, 4] and first["place"].tolist() == [0, 1, 2, 3, 4]
+    assert [r["k"] for f in out for r in f["row"]] == list(range(5, 800))
+    with pytest.raises(RuntimeError):
+        list(step.handleInputRows((0,), iter([part([2, 1])]), None))
+
+
 def test_batches_by_arrival(spark, tmp_path):
     """By the processing clock a timer hands on the last batch without another event coming."""
     bring(spark, tmp_path / "in", "events.parquet", [(k * 10_000, k) for k in range(20)])
