@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quarry.sources import code
 from quarry.sources.code import MODULE, parse_lines
 from quarry.sources.scan import scan
 
@@ -62,3 +63,28 @@ def test_braces_in_strings_do_not_end_a_definition():
     java = 'class A {\n  void f() {\n    g("{");\n  }\n  void g() {\n  }\n}\n'
     assert spans(java, "java") == [("A", "Class", 1, 7), ("f", "Method", 2, 4), ("g", "Method", 5, 6)]
     assert parse_lines("f(); // g()\n", "javascript")["calls"] == [{"caller": MODULE, "callee": "f", "line": 1}]
+
+
+def test_python_in_pieces():
+    """Every cut of a text gives what one parse gives; what does not parse as a whole does not in pieces."""
+    text = (
+        "import os\n@wrap(\n  1)\ndef f(a='''\ndef no(): pass\n'''):\n    g(\n1)\n    return x\n\nclass A(B):\n    def m(self):\n        h()\nif a:\n    k()\nelse:\n    l()\nasync def n():\n    o()\n"
+        "try:\n    p()\nexcept E:\n    q()\nx = (\nasync_(1))\ny = \"\"\"\nclass No: pass\n\"\"\"\nz = 1 \\\n+ r()\n# def\n\x0cdef s(): t()\r\ndef u(): v()\r\n@d\nclass C: w()\nfrom . import q"
+    )
+    whole = code.parse_python(text, 10**9)
+    assert [(s["name"], s["start_line"], s["signature"]) for s in whole["symbols"]][-1] == ("C", 35, "class C: w()")
+    for piece in range(1, len(text) + 2):
+        assert code.parse_python(text, piece) == whole
+    for bad in (text + "\ndef (:", "def f(:\n" + text, "x = '''\n" + "def f(): pass\n" * 9):
+        for piece in (1, 20, 10**9):
+            assert code.parse_file("a.py", "python", bad) is None
+            with pytest.raises(SyntaxError):
+                code.parse_python(bad, piece)
+
+
+def test_long_python_is_parsed_in_pieces():
+    """No tree of a whole long text is built."""
+    text = "def f():\n    g()\n" * 100
+    trees = list(code._trees(text, 100))
+    assert len(trees) > 10 and max(len(t.body) for t, _ in trees) < 10
+    assert [c["line"] for c in code.parse_python(text, 100)["calls"]] == list(range(2, 201, 2))
