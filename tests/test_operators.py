@@ -190,6 +190,23 @@ def test_communities(spark):
         assert own == communities.local_moving(ids, pairs, len(pairs)) and set(own) == set(ids)
 
 
+def test_rounds_read_the_edges_once(spark):
+    """However many rounds a search takes, what makes the edges runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    way = edges(spark, [(k, k + 1) for k in range(1, 7)]).mapInArrow(pass_on, EDGE)
+    n = nodes(spark, [f"f{k}" for k in range(7)])
+    start = n.where("symbol_id = 1").select("symbol_id")
+    assert [r.symbol_id for r in graph.flows(n, way, start).orderBy("step_order").collect()] == list(range(1, 8)) and seen.value <= 12
+    seen.value = 0
+    assert graph.reach(way, start.withColumnRenamed("symbol_id", "root"), 6).count() == 7 and seen.value <= 12
+
+
 @pytest.mark.parametrize("most, lone", [(1, 2), (4, 0), (15, 20)])
 def test_communities_are_merged_apart(spark, most, lone):
     """Several components, symbols without an edge: the groups of one merge over the whole graph, without communities or ties on the driver."""
