@@ -18,9 +18,12 @@ import math
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from . import search
 
 BUCKETS = 16
+#: Tokens that a task sorts, and ids that are sent to all executors rather than joined by shuffles, at most.
+TOKENS, FEW = 1_000_000, 100_000
 _LENGTHS, _GONE, _TOTALS = "id bigint, len bigint, batch bigint", "id bigint, was bigint, len bigint, batch bigint", "docs bigint, tokens bigint, buckets int, batch bigint"
 
 
@@ -38,13 +41,38 @@ def _put(df: DataFrame, path: str, batch: int, by: str | None = None) -> int:
 
 def _finished(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """Rows of a table's finished batches."""
-    return spark.read.schema(schema).parquet(f"{root}/{name}").join(spark.read.schema(_TOTALS).parquet(f"{root}/totals").select("batch"), "batch", "left_semi")
+    return spark.read.schema(schema).parquet(f"{root}/{name}").join(F.broadcast(spark.read.schema(_TOTALS).parquet(f"{root}/totals").select("batch")), "batch", "left_semi")
 
 
 def _postings_schema(columns: int) -> str:
     return "term string, id bigint, len bigint, " + "".join(f"p{k} array<int>, " for k in range(columns)) + "batch bigint, bucket int"
 
 
+def _one_an_id(own: DataFrame, names: list[str]) -> DataFrame:
+    """Of rows that share an id the one of the greatest hash; only texts of such ids are shuffled, unless these are very many."""
+    twice = cut(own.groupBy("id").count().where("count > 1").select("id"))
+    n = twice.count()
+    if n == 0:
+        return own
+    twice = F.broadcast(twice) if n <= FEW else twice
+    best = own.join(twice, "id", "left_semi").groupBy("id").agg(F.max_by(F.struct(*names), F.xxhash64(*names)).alias("v")).select("id", "v.*")
+    return own.join(twice, "id", "left_anti").unionByName(best)
+
+
+def _dealt(index: DataFrame, bucket: str, buckets: int, tokens: int) -> DataFrame:
+    """Rows with a bucket, dealt so that a task has one bucket and some ``TOKENS`` tokens: a frequent term's bucket is cut by id."""
+    slices = max(1, math.ceil(tokens / buckets / TOKENS))
+    return index.repartitionById(buckets * slices, (F.col(bucket) * slices + F.pmod(F.xxhash64("id"), F.lit(slices))).cast("int"))
+
+
+def _without(df: DataFrame, dead: DataFrame) -> DataFrame:
+    """``df`` without the replaced texts ``dead(id, batch)``; its rows stay where they are unless these are very many."""
+    n = dead.count()
+    if n == 0:
+        return df
+    return df.join(F.broadcast(dead) if n <= FEW else dead, ["id", "batch"], "left_anti")
+
+
 def add_batch(docs: DataFrame, columns: list[str], root: str, batch: int, buckets: int = BUCKETS) -> dict[str, int]:
     """Index ``docs(id, ...)`` as a batch; its numbers.  A text whose id an earlier batch has replaces that one.
 
@@ -54,15 +82,14 @@ def add_batch(docs: DataFrame, columns: list[str], root: str, batch: int, bucket
     spark = docs.sparkSession
     own = docs.where("id is not null").select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("string").alias(f"_c{k}") for k, c in enumerate(columns)])
     names = [f"_c{k}" for k in range(len(columns))]
-    own = own.groupBy("id").agg(F.max_by(F.struct(*names), F.xxhash64(*names)).alias("v")).select("id", "v.*")
-    index = search.build_index(own, names)
-    slices = math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) / buckets)  # a frequent term's bucket is dealt over so many tasks
-    index = index.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    index = index.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(slices))).sortWithinPartitions("bucket", "term", "id")
+    own = _one_an_id(own, names)
     sizes = [F.size(search.tokens(F.coalesce(F.col(n), F.lit("")))) for n in names]
-    lengths = own.select("id", sum(sizes[1:], sizes[0]).cast("long").alias("len"))
+    texts = _put(own.select("id", sum(sizes[1:], sizes[0]).cast("long").alias("len")), f"{root}/lengths", batch)
+    tokens = spark.read.schema(_LENGTHS).parquet(f"{root}/lengths").where(F.col("batch") == batch).agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+    index = _dealt(search.postings(own, names, lambda term: bucket_of(term, buckets)), "grp", buckets, tokens)
+    index = search.unpacked(index, len(names)).withColumnRenamed("grp", "bucket").sortWithinPartitions("bucket", "term", "id")
 
-    wrote = {"postings": _put(index, f"{root}/postings", batch, "bucket"), "texts": _put(lengths, f"{root}/lengths", batch)}
+    wrote = {"postings": _put(index, f"{root}/postings", batch, "bucket"), "texts": texts}
     before = spark.read.schema(_LENGTHS).parquet(f"{root}/lengths")
     now = before.where(F.col("batch") == batch)
     old = before.where(F.col("batch") < batch).withColumnRenamed("batch", "was").join(now.select("id"), "id", "left_semi")
@@ -83,7 +110,7 @@ def stored(spark: SparkSession, root: str, columns: int, words: list[str] | None
         buckets = totals.agg(F.max("buckets")).first()[0]
         index = index.where(F.col("bucket").isin(*[bucket_of(F.lit(w), buckets) for w in words]) & F.col("term").isin(*words))
     dead = _finished(spark, root, "gone", _GONE).select("id", F.col("was").alias("batch"))
-    return index.join(totals.select("batch"), "batch", "left_semi").join(dead, ["id", "batch"], "left_anti").drop("bucket")
+    return _without(index.join(F.broadcast(totals.select("batch")), "batch", "left_semi"), dead).drop("bucket")  # totals have a row a batch
 
 
 def stored_totals(spark: SparkSession, root: str) -> DataFrame:
@@ -107,11 +134,10 @@ def merge(spark: SparkSession, root: str, into: str, columns: int) -> int:
     totals = spark.read.schema(_TOTALS).parquet(f"{root}/totals")
     buckets, last = totals.agg(F.max("buckets"), F.max("batch")).first()
     index = stored(spark, root, columns).drop("batch").withColumn("bucket", bucket_of(F.col("term"), buckets))
-    slices = math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) / buckets)
-    index = index.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(slices))).sortWithinPartitions("bucket", "term", "id")
+    index = _dealt(index, "bucket", buckets, stored_totals(spark, root).first()["tokens"]).sortWithinPartitions("bucket", "term", "id")
     n = _put(index, f"{into}/postings", last, "bucket")
     dead = _finished(spark, root, "gone", _GONE).select("id", F.col("was").alias("batch"))
-    lengths = _finished(spark, root, "lengths", _LENGTHS).join(dead, ["id", "batch"], "left_anti")
+    lengths = _without(_finished(spark, root, "lengths", _LENGTHS), dead)
     _put(lengths.select("id", "len"), f"{into}/lengths", last)
     _put(spark.createDataFrame([], "id bigint, was bigint, len bigint"), f"{into}/gone", last)
     _put(stored_totals(spark, root).select("docs", "tokens", F.lit(buckets).alias("buckets")), f"{into}/totals", last)

@@ -134,3 +134,27 @@ def test_settings(tmp_path):
     assert (got["buckets"], got["source"], got["target"], got["id"]) == (4, "other", "t", "doc_id")
     with pytest.raises(SystemExit):
         common.settings(text_index.DEFAULTS, "", [])
+
+
+def test_an_index_is_built_inside_the_rows(spark):
+    texts = [(1, "en", "b a b, a1 b"), (2, None, "b"), (3, "a", ""), (4, None, None), (5, "b a", "Ää b " * 500)]
+    docs = spark.createDataFrame(texts, "id long, lang string, text string")
+    want = []
+    for i, *fields in texts:
+        fields = [re.findall(r"\w+", (f or "").lower().replace("ä", "a")) for f in fields]
+        for term in {t for f in fields for t in f}:
+            want.append((term, i, sum(map(len, fields)), *[tuple(k for k, t in enumerate(f) if t == term) for f in fields]))
+    index = search.build_index(docs, ["lang", "text"])
+    assert postings(index) == sorted(want)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()  # no token is shuffled
+
+
+@pytest.mark.parametrize("few", [0, text_store.FEW])
+def test_repeated_ids_and_replaced_texts(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(text_store, "FEW", few)
+    monkeypatch.setattr(text_store, "TOKENS", 3)  # several tasks a bucket
+    root = f"file://{tmp_path}/index"
+    docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (2, "two"), (3, "three of many words")], "id long, text string")
+    assert text_store.add_batch(docs, ["text"], root, 0, 2)["texts"] == 3
+    assert text_store.add_batch(docs.where("id = 2").withColumn("text", F.lit("again")), ["text"], root, 1, 2)["replaced"] == 1
+    assert sorted((r.term, r.id) for r in text_store.stored(spark, root, 1).collect()) == [("again", 2), ("many", 3), ("of", 3), ("one", 1), ("three", 3), ("two", 1), ("words", 3)]
