@@ -393,3 +393,19 @@ def test_store(spark, tmp_path):
 def test_layers(spark):
     got = {r.symbol_id: r.layer for r in layout.layers(nodes(spark, list("abcde")), edges(spark, [(1, 2), (2, 3), (4, 5), (5, 4)])).collect()}
     assert got == {1: 0, 2: 1, 3: 2, 4: 3, 5: 3}
+
+
+@pytest.mark.parametrize("pairs", [[(k, k + 1) for k in range(1, 60)], [(60, k) for k in range(1, 60)], [(k, 61 - k) for k in range(1, 30)] + [(k, k + 2) for k in range(1, 20)], [(1, 1), (2, 99), (3, 99), (4, 5), (5, 4)], []])
+def test_weak_components_shrink(spark, monkeypatch, pairs):
+    """Paths, a hub above its leaves, crossing pairs, loops, an end that is no node, no edges."""
+    sizes, kept = [], graph.dealt
+    monkeypatch.setattr(graph, "dealt", lambda df, *keys: (out := kept(df, *keys), sizes.append(out.count()))[0])
+    own = {x: x for x in range(1, 61)}
+    for _ in own:
+        for a, b in pairs:
+            if a in own and b in own:
+                own[a] = own[b] = min(own[a], own[b])
+    n = spark.range(1, 61).withColumnRenamed("id", "symbol_id")
+    e = edges(spark, pairs) if pairs else edges(spark, [(1, 2)]).limit(0)
+    assert {tuple(r) for r in graph.weak_components(n, e).collect()} == set(own.items())
+    assert sizes[-1] == 0 and len(sizes) <= 4 and sum(sizes[1:]) <= sizes[0]  # edges of later rounds
