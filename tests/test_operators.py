@@ -398,8 +398,8 @@ def test_layers(spark):
 @pytest.mark.parametrize("pairs", [[(k, k + 1) for k in range(1, 60)], [(60, k) for k in range(1, 60)], [(k, 61 - k) for k in range(1, 30)] + [(k, k + 2) for k in range(1, 20)], [(1, 1), (2, 99), (3, 99), (4, 5), (5, 4)], []])
 def test_weak_components_shrink(spark, monkeypatch, pairs):
     """Paths, a hub above its leaves, crossing pairs, loops, an end that is no node, no edges."""
-    sizes, kept = [], graph.dealt
-    monkeypatch.setattr(graph, "dealt", lambda df, *keys: (out := kept(df, *keys), sizes.append(out.count()))[0])
+    sizes, kept = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (out := kept(df), sizes.append(out.count()) if set(out.columns) == {"low", "high"} else None)[0])
     own = {x: x for x in range(1, 61)}
     for _ in own:
         for a, b in pairs:
