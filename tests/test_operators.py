@@ -124,6 +124,22 @@ def test_impact_and_chain(spark):
     assert {(r.symbol_id, r.depth) for r in chain.collect()} == {(1, 0), (2, 1), (3, 2), (4, 2)}
 
 
+def test_roots_are_computed_once_for_all_rounds(spark):
+    n, e, made = nodes(spark, list("abcdef")), edges(spark, [(k, k + 1) for k in range(1, 6)]), spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    root = spark.createDataFrame([(1,)], "root long").mapInArrow(one, "root long")
+    assert {(r.symbol_id, r.depth) for r in graph.call_chain(n, e, root, 5).collect()} == {(k, k - 1) for k in range(1, 7)}
+    assert made.value == 1
+    made.value = 0
+    assert len(graph.flows(n, e, root.withColumnRenamed("root", "symbol_id")).collect()) == 6
+    assert made.value == 1
+
+
 @pytest.mark.parametrize("pairs, want", [([(1, 2), (2, 1)], {(1, 1), (1, 2)}), ([(1, 2), (2, 3), (3, 1), (3, 4), (5, 6), (6, 5), (4, 5)], {(1, 1), (1, 2), (1, 3), (5, 5), (5, 6)}), ([(1, 2), (2, 3)], set()), ([(1, 1)], set())])
 def test_cycles(spark, pairs, want):
     assert {tuple(r) for r in graph.cycles(edges(spark, pairs)).collect()} == want
