@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import numbered
+from ..plans.lineage import cut, numbered
 
 #: Tables of one analysis, in the order in which they depend on each other.
 ANALYSIS = ("files", "symbols", "edges", "communities", "community_members", "processes", "process_steps", "file_metrics", "patterns", "narratives", "chapters", "chapter_sections", "quiz_questions", "progress")
 
 
 def number_files(parsed: DataFrame) -> DataFrame:
-    """``parsed`` files with file_id by path from 1; paths alone are dealt by ranges and numbered, contents stay where they are."""
+    """``parsed`` files with file_id by path from 1; paths alone are dealt by ranges and numbered, contents stay where they are.
+
+    ``parsed`` is written first, as it is read three times: to find the ranges, to number, and by the join; a parser must not run for each.
+    """
+    parsed = cut(parsed)
     return parsed.join(numbered(parsed.select("path"), ["path"], "file_id"), "path")
 
 

@@ -18,8 +18,8 @@ def _files(s, d) -> DataFrame:
     return adapter.code_files(_sym(s, d), _edges(s, d))
 
 
-def _parsed(s, d) -> DataFrame:
-    return code.parse_sources(_files(s, d))
+def _parsed(s, d, parts=code.RELATIONS) -> DataFrame:
+    return code.parse_sources(_files(s, d), parts)
 
 
 # --- parsers ----------------------------------------------------------------------------------------------------------
@@ -27,19 +27,19 @@ def _parsed(s, d) -> DataFrame:
 
 @query(PARSED_CTE + " SELECT path, language, name, kind, start_line, end_line FROM written")
 def parse_symbols(s: SparkSession, d: str) -> DataFrame:
-    return code.flat(_parsed(s, d), "symbols").select("path", "language", "name", "kind", "start_line", "end_line")
+    return code.flat(_parsed(s, d, ["symbols"]), "symbols").select("path", "language", "name", "kind", "start_line", "end_line")
 
 
 @query(PARSED_CTE + " SELECT a.path, a.name AS caller, b.name AS callee, CAST(a.start_line + row_number() OVER (PARTITION BY source_id ORDER BY edge_id) AS BIGINT) AS line FROM edges JOIN written a ON a.symbol_id = source_id JOIN (SELECT symbol_id, name FROM symbols) b ON b.symbol_id = target_id WHERE edges.kind = 'CALLS'")
 def parse_calls(s: SparkSession, d: str) -> DataFrame:
     """Calls with the innermost definition around each, as the parsers say it."""
-    return code.flat(_parsed(s, d), "calls").select("path", "caller", "callee", "line")
+    return code.flat(_parsed(s, d, ["calls"]), "calls").select("path", "caller", "callee", "line")
 
 
 @query(PARSED_CTE + " SELECT a.path, a.name AS caller, b.name AS callee FROM edges JOIN written a ON a.symbol_id = source_id JOIN (SELECT symbol_id, name FROM symbols) b ON b.symbol_id = target_id WHERE edges.kind = 'CALLS'")
 def enclosing_callers(s: SparkSession, d: str) -> DataFrame:
     """The same from lines and spans alone: calls as points, definitions as spans."""
-    parsed = cut(_parsed(s, d))  # both sides read it
+    parsed = cut(_parsed(s, d, ["symbols", "calls"]))  # both sides read it
     defs = code.flat(parsed, "symbols").select("path", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"), "name")
     calls = code.flat(parsed, "calls").select("path", F.col("line").alias("at"), "callee")
     return spans.innermost(calls, defs, ["name"]).select("path", F.coalesce("inner.name", F.lit(code.MODULE)).alias("caller"), "callee")
@@ -48,7 +48,7 @@ def enclosing_callers(s: SparkSession, d: str) -> DataFrame:
 @query(PARSED_CTE + " SELECT path AS source_path, target AS target_path FROM own_imports")
 def import_all_languages(s: SparkSession, d: str) -> DataFrame:
     """Imports of six languages from their texts to files."""
-    imports = code.flat(_parsed(s, d), "imports").select("path", "language", "module")
+    imports = code.flat(_parsed(s, d, ["imports"]), "imports").select("path", "language", "module")
     paths = _sym(s, d).select(F.col("path").alias("file_id"), "path").distinct()
     return resolve.import_edges(imports, paths).select(F.col("source_file").alias("source_path"), F.col("target_file").alias("target_path"))
 
@@ -56,7 +56,7 @@ def import_all_languages(s: SparkSession, d: str) -> DataFrame:
 @query(PARSED_CTE + " SELECT nth AS symbol_id, dense_rank() OVER (ORDER BY path) AS file_id, name, kind, start_line, end_line FROM placed")
 def stored_symbols(s: SparkSession, d: str) -> DataFrame:
     """Ids as a first analysis gives them: files by path, symbols by file and place."""
-    return store.number_symbols(store.number_files(_parsed(s, d))).select("symbol_id", "file_id", "name", "kind", "start_line", "end_line")
+    return store.number_symbols(store.number_files(_parsed(s, d, ["symbols"]))).select("symbol_id", "file_id", "name", "kind", "start_line", "end_line")
 
 
 # --- spans ------------------------------------------------------------------------------------------------------------

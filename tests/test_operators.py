@@ -387,6 +387,22 @@ def test_git_history(spark):
     metrics.churn(h, 3).collect()
 
 
+def test_numbering_parses_each_file_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    files = spark.createDataFrame([(f"{k}.py", "python", f"def f{k}():\n    g()\n") for k in range(6)], "path string, language string, content string").repartition(3)
+    parsed = code.parse_sources(files.mapInArrow(one, files.schema), ["symbols"])
+    assert "calls" not in parsed.columns
+    rows = store.number_symbols(store.number_files(parsed)).orderBy("symbol_id").collect()
+    assert [(r.symbol_id, r.file_id, r.name) for r in rows] == [(k + 1, k + 1, f"f{k}") for k in range(6)]
+    assert made.value == 6
+
+
 def test_store(spark, tmp_path):
     parsed = code.parse_sources(spark.createDataFrame([("b.py", "python", "def g():\n    pass\n"), ("a.py", "python", PY)], "path string, language string, content string"))
     files = store.number_files(parsed)

@@ -88,3 +88,11 @@ def test_long_python_is_parsed_in_pieces():
     trees = list(code._trees(text, 100))
     assert len(trees) > 10 and max(len(t.body) for t, _ in trees) < 10
     assert [c["line"] for c in code.parse_python(text, 100)["calls"]] == list(range(2, 201, 2))
+
+
+@pytest.mark.parametrize("text, language", [("import { a } from './b'\nclass A extends B {\n  run() {\n    go();\n  }\n}\nexport const f = (x) => g(x);\nif (a) {\n}\n", "typescript"), ("use a::b;\nimpl T for S {\n  pub fn f() {\n    g();\n  }\n}\nstruct S;\n", "rust"), ('import "x/y"\nfunc (s S) F() {\n\tg()\n}\ntype S struct {\n}\n', "go"), ("import a.b;\npublic class A extends B {\n  public void f() {\n    g();\n  }\n}\n", "java"), ("import a\nclass A(B):\n    def f(self):\n        g()\n", "python")])
+def test_named_relations_are_those_of_the_whole_parse(text, language):
+    whole = code.parse_file("x", language, text)
+    assert whole["symbols"] and whole["imports"] and whole["calls"]
+    for part in code.RELATIONS:
+        assert code.parse_file("x", language, text, [part])[part] == whole[part]
