@@ -175,6 +175,26 @@ def test_cycles_at_random(spark, few):
     assert want and {tuple(r) for r in graph.cycles(edges(spark, pairs), few).collect()} == want
 
 
+@pytest.mark.parametrize("few", [0, 20])
+def test_cycles_merge_a_large_component_from_few_of_its_edges(spark, few, monkeypatch):
+    rng = random.Random(5)
+    big = [(rng.randint(11, 50), rng.randint(11, 50)) for _ in range(1600)]
+    # 4..6 hang on by one edge each way, 1..3 are a ring of their own that leads in, 60 and 61 are no cycle
+    pairs = [*big, (13, 4), (4, 5), (5, 6), (6, 14), (1, 2), (2, 3), (3, 1), (3, 15), (16, 60), (60, 61)]
+    e, sizes, real = edges(spark, pairs), [], graph.cut
+
+    def cut(df):
+        out = real(df)
+        if set(out.columns) >= {"source_id", "target_id"}:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", cut)
+    got = {tuple(r) for r in graph.cycles(e, few).collect()}
+    assert got == {(4, k) for k in [4, 5, 6, *range(11, 51)]} | {(1, k) for k in (1, 2, 3)}
+    assert max(sizes[1:]) < sizes[0] / 2  # all edges are held once
+
+
 def test_detectors(spark):
     method = [(k, 1, "src/a.py", "python", f"m{k}", "Method", 2 + k, 2 + k) for k in range(2, 27)]
     s = spark.createDataFrame([(1, 1, "src/a.py", "python", "Big", "Class", 1, 100), *method], SYM)
