@@ -11,6 +11,8 @@ from ..plans.lineage import cut, numbered
 from .graph import weak_components
 
 SWEEPS, MOST = 20, 15
+#: So many rows a task sends at once.
+SENT = 1 << 16
 
 
 def local_moving(nodes: list[int], pairs: list[tuple[int, int]], m: float, sweeps: int = SWEEPS) -> dict[int, int]:
@@ -46,36 +48,74 @@ def local_moving(nodes: list[int], pairs: list[tuple[int, int]], m: float, sweep
     return own
 
 
-def _moved(nodes: DataFrame, edges: DataFrame, m: float) -> DataFrame:
-    """symbol_id, component, community (its least symbol) by local moving; the last is null without an edge."""
-    label = weak_components(nodes, edges)
-    own = edges.join(label.withColumnRenamed("symbol_id", "source_id"), "source_id").select("component", "source_id", "target_id")
+def _linked(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The symbols, once each, and the edges between them (source_id, target_id), written."""
+    nodes = nodes.select("symbol_id").distinct()
+    pairs = edges.select("source_id", "target_id")
+    for end in pairs.columns:
+        pairs = pairs.join(nodes.withColumnRenamed("symbol_id", end), end, "left_semi")
+    return nodes, cut(pairs.select("source_id", "target_id"))
 
-    def run(table):
+
+#: What a task tells: (MOVED, symbol, community), (MERGED, community, group, pass) where it comes to another group, (PASS, by how many groups fell, null, pass).
+MOVED, MERGED, PASS = range(3)
+TOLD = "kind int, a long, b long, stage int, threshold long, again int"
+
+
+def _told(label: DataFrame, pairs: DataFrame, m: float, end: int | None = None) -> DataFrame:
+    """``TOLD`` of the local moving within components, and of the merging of their communities unless ``end`` is None.
+
+    Both ends of an edge are laid out by component and sorted by symbol.  The components of a partition are one graph to its task: no move
+    crosses a component and ``m`` is a constant, so they give what one run over the whole graph gives.  Neighbours lie in a file of
+    the task's scratch folder; in memory are some numbers a symbol and a stretch of neighbours.
+    """
+    own = pairs.join(label.select(F.col("symbol_id").alias("source_id"), "component"), "source_id")
+    there, back = F.struct(F.col("source_id").alias("symbol_id"), F.col("target_id").alias("near")), F.struct(F.col("target_id").alias("symbol_id"), F.col("source_id").alias("near"))
+    ends = own.select("component", F.explode(F.when(F.col("source_id") == F.col("target_id"), F.array(there)).otherwise(F.array(there, back))).alias("e")).select("component", "e.symbol_id", "e.near")
+
+    def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        a, b = table.column("source_id").to_pylist(), table.column("target_id").to_pylist()
-        got = local_moving(sorted({*a, *b}), list(zip(a, b)), m)
-        least: dict[int, int] = {}
-        for n in sorted(got):
-            least.setdefault(got[n], n)
-        return pa.table({"symbol_id": list(got), "community": [least[c] for c in got.values()]})
+        from .moving import Neighbours, moved, passes
+
+        def rows(kind, a, b, step=(0, 0, 0)):
+            for at in range(0, len(a), SENT):
+                n = len(a[at : at + SENT])
+                whole = [np.full(n, x) for x in (kind, *step)]
+                columns = [whole[0], a[at : at + SENT], pa.nulls(n) if b is None else b[at : at + SENT], *whole[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=("kind", "a", "b", "stage", "threshold", "again"))
+
+        near = Neighbours((b.column("symbol_id").to_numpy(), b.column("near").to_numpy()) for b in batches)
+        own = moved(near, m, SWEEPS)
+        first = np.full(len(near), len(near))
+        np.minimum.at(first, own, np.arange(len(near)))
+        yield from rows(MOVED, near.ids, near.ids[first[own]])
+        if end is not None:
+            for step, fell, community, group in passes(near, own, end):
+                yield from rows(PASS, np.array([fell]), None, step)
+                yield from rows(MERGED, community, group, step)
+
+    return cut(ends.repartition("component").select("symbol_id", "near").sortWithinPartitions("symbol_id").mapInArrow(run, TOLD))
+
 
-    found = own.groupBy("component").applyInArrow(run, "symbol_id long, community long")
-    return label.join(found, "symbol_id", "left")
+def _of(told: DataFrame, label: DataFrame) -> DataFrame:
+    """symbol_id, community (its least symbol); the last is null without an edge."""
+    return label.select("symbol_id").join(told.where(F.col("kind") == MOVED).select(F.col("a").alias("symbol_id"), F.col("b").alias("community")), "symbol_id", "left")
 
 
 def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """symbol_id, community (its least symbol) by local moving.
+    """symbol_id, community (its least symbol) by local moving, as in :func:`local_moving`.
 
-    No move crosses a weakly connected component and ``m`` is a constant, so components run
-    apart, each in one task, and give what one run over the whole graph gives.
+    An edge to what is no symbol is none.
     """
-    m = float(edges.count())
+    nodes, pairs = _linked(nodes, edges)
+    m = float(pairs.count())
     if not m:
         least = nodes.agg(F.min("symbol_id").alias("community"))  # one row
         return nodes.select("symbol_id").crossJoin(least)
-    return _moved(nodes, edges, m).select("symbol_id", "community")
+    label = cut(weak_components(nodes, pairs))
+    return _of(_told(label, pairs, m), label)
 
 
 def merge(sizes: dict[int, int], ties: dict[tuple[int, int], int], most: int = MOST) -> dict[int, int]:
@@ -116,112 +156,36 @@ def merge(sizes: dict[int, int], ties: dict[tuple[int, int], int], most: int = M
     return {c: k for k, g in enumerate(groups) for c in g}
 
 
-def _passes(sizes, ties):
-    """The passes of :func:`merge` over the communities of one component until one group is left: yields (stage, threshold, again), the groups' sizes and
-    least communities, and the group of each community.
-
-    ``sizes`` has arrays (community, count), ``ties`` arrays (a, b, count).  Stages 0 to 2 are the first three passes; in stage 3 the threshold is the size of the smallest group,
-    and ``again`` counts the passes with the same one.  No pass joins components, so those of the whole graph with one threshold are these side by side.
-    """
-    import numpy as np
-
-    names, size = (np.asarray(x, dtype=np.int64) for x in sizes)
-    order = np.lexsort((names, -size, names == 0))
-    names, size = names[order], size[order]
-    least, place, at = names.copy(), np.arange(len(names)), np.argsort(names)
-    x, y = (at[np.searchsorted(names[at], np.asarray(side, dtype=np.int64))] for side in ties[:2])
-    n = np.asarray(ties[2], dtype=np.int64)
-    stage, before, again = 0, None, 0
-    while stage < 3 or len(size) > 1:
-        threshold = (3, 5, 10)[stage] if stage < 3 else int(size[-1])
-        again = again + 1 if stage == 3 and threshold == before else 0
-        before = threshold if stage == 3 else None
-        # the neighbour with most edges, the first of equals, of every small group
-        own, other, weight = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((n, n))
-        small = size[own] <= threshold
-        own, other, weight = own[small], other[small], weight[small]
-        order = np.lexsort((other, -weight, own))
-        mover, first = np.unique(own[order], return_index=True)
-        to = np.full(len(size), -1, dtype=np.int64)
-        to[mover] = other[order][first]
-        # groups move one after the other, with what has come to their place before
-        final = np.arange(len(size))
-        for k in mover[::-1].tolist():
-            t = to[k]
-            final[k] = final[t] if to[t] >= 0 and t > k else t
-        kept, final = np.unique(final, return_inverse=True)
-        total, low = np.zeros(len(kept), dtype=np.int64), np.full(len(kept), np.iinfo(np.int64).max)
-        np.add.at(total, final, size)
-        np.minimum.at(low, final, least)
-        order = np.lexsort((low, -total))
-        rank = np.empty(len(kept), dtype=np.int64)
-        rank[order] = np.arange(len(kept))
-        size, least, new = total[order], low[order], rank[final]
-        place, x, y = new[place], new[x], new[y]
-        apart = x != y
-        pair, back = np.unique(np.minimum(x, y)[apart] * len(kept) + np.maximum(x, y)[apart], return_inverse=True)
-        joined = np.zeros(len(pair), dtype=np.int64)
-        np.add.at(joined, back, n[apart])
-        x, y, n = pair // len(kept), pair % len(kept), joined
-        yield (stage, threshold, again), size, least, names, place
-        stage = min(stage + 1, 3)
-
-
 def communities(nodes: DataFrame, edges: DataFrame, most: int = MOST) -> DataFrame:
     """symbol_id, community_id (1 is the largest) after merging as in :func:`merge`; symbols without an edge are one community.
 
-    A component's communities are merged in one task; the driver gets one row for each pass, to find the one that is the last.
+    A component is moved and merged in one task, see :func:`_told`; the driver gets one row for each pass, to find the one that is the last.
+    An edge to what is no symbol is none.
     """
-    m = float(edges.count())
+    nodes, pairs = _linked(nodes, edges)
+    m = float(pairs.count())
     if not m:
         return nodes.select("symbol_id", F.lit(1).cast("long").alias("community_id"))
-    found = cut(_moved(nodes, edges, m))
-    a = found.select(F.col("symbol_id").alias("source_id"), F.col("community").alias("a"), "component")
-    b = found.select(F.col("symbol_id").alias("target_id"), F.col("community").alias("b"))
-    between = edges.select("source_id", "target_id").join(a, "source_id").join(b, "target_id").where("a <> b")
-    ties = cut(between.groupBy("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n")))
-    sizes = cut(found.groupBy("component", "community").agg(F.count(F.lit(1)).alias("n")))
-    both = sizes.where("community is not null").groupBy("component").cogroup(ties.groupBy("component"))
-
-    def columns(own, tied):
-        return [own.column(c).to_numpy() for c in ("community", "n")], [tied.column(c).to_numpy() for c in ("a", "b", "n")]
-
-    def count(own, tied):
-        import pyarrow as pa
-
-        left, out = own.num_rows, []
-        for step, size, *_ in _passes(*columns(own, tied)):
-            out.append((*step, left - len(size)))
-            left = len(size)
-        return pa.table(dict(zip(("stage", "threshold", "again", "fell"), ([int(r[k]) for r in out] for k in range(4)))))
-
-    steps = both.applyInArrow(count, "stage long, threshold long, again long, fell long").groupBy("stage", "threshold", "again").agg(F.sum("fell").alias("fell"))
+    label = cut(weak_components(nodes, pairs))
     # a group without ties that is the smallest ends the merging
-    lone = found.where("community is null").count()
-    whole = sizes.where("community is not null").groupBy("component").agg(F.sum("n").alias("n")).agg(F.min("n"), F.lit(0)).first()[0]
+    loops = pairs.where("source_id = target_id").select(F.col("source_id").alias("component"), F.lit(True).alias("loop")).distinct()
+    sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(loops, "component", "left")
+    whole, lone = sizes.agg(F.min(F.when((F.col("n") > 1) | F.col("loop"), F.col("n"))), F.count_if((F.col("n") == 1) & F.col("loop").isNull())).first()
     end = min(whole, lone) if lone else whole
-    left, last = sizes.where("community is not null").count() + (lone > 0), (0, 3, 0)
-    for stage, threshold, again, fell in steps.orderBy("stage", "threshold", "again").collect():  # a row a pass
+    told = _told(label, pairs, m, end)
+    left = told.where(F.col("kind") == MOVED).agg(F.count_distinct("b")).first()[0] + (lone > 0)
+    last, step = (0, 3, 0), ["stage", "threshold", "again"]
+    falls = told.where(F.col("kind") == PASS).groupBy(*step).agg(F.sum("a").alias("fell"))
+    for stage, threshold, again, fell in falls.orderBy(*step).collect():  # a row a pass
         if stage and (left <= most or (stage == 3 and threshold > end)):
             break
         left, last = left - fell, (stage, threshold, again)
-
-    def label(own, tied):
-        import pyarrow as pa
-
-        for step, size, least, names, place in _passes(*columns(own, tied)):
-            if step <= last:
-                out = {"community": names, "least": least[place], "size": size[place]}
-            if step >= last:
-                break
-        return pa.table(out)
-
-    named = cut(both.applyInArrow(label, "community long, least long, size long"))
-    alone = nodes.sparkSession.createDataFrame([(None, None, lone)] if lone else [], "community long, least long, size long")  # a row at most
-    groups = named.select("least", "size").distinct().unionByName(alone.select("least", "size"))
-    ranked = numbered(groups.select("least", (-F.col("size")).alias("late"), F.coalesce("least", F.lit(0)).alias("key"), F.col("least").isNull().alias("alone")), ["late", "key", "alone"], "community_id").select("least", "community_id")
-    final = named.unionByName(alone).alias("n").join(ranked.alias("r"), F.col("n.least").eqNullSafe(F.col("r.least"))).select("community", "community_id")
-    return found.alias("f").join(final.alias("c"), F.col("f.community").eqNullSafe(F.col("c.community"))).select("symbol_id", "community_id")
+    upto = F.struct(*step) <= F.struct(F.lit(last[0]), F.lit(last[1]).cast("long"), F.lit(last[2]))
+    merged = told.where((F.col("kind") == MERGED) & upto).groupBy(F.col("a").alias("community")).agg(F.max_by("b", F.struct(*step)).alias("group"))
+    placed = cut(_of(told, label).join(merged, "community", "left").select("symbol_id", "community", F.coalesce("group", "community").alias("group")))
+    groups = placed.groupBy("group").agg((-F.count(F.lit(1))).alias("late"), F.min("community").alias("least"))
+    ranked = numbered(groups.select("group", "late", F.coalesce("least", F.lit(0)).alias("key"), F.col("least").isNull().alias("alone")), ["late", "key", "alone"], "community_id")
+    return placed.alias("p").join(ranked.alias("r"), F.col("p.group").eqNullSafe(F.col("r.group"))).select("symbol_id", "community_id")
 
 
 def topological(deps: list[tuple[int, int]], ids: list[int], first: set[int] = frozenset()) -> list[int]:
