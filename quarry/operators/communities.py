@@ -114,7 +114,7 @@ def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if not m:
         least = nodes.agg(F.min("symbol_id").alias("community"))  # one row
         return nodes.select("symbol_id").crossJoin(least)
-    label = cut(weak_components(nodes, pairs))
+    label = cut(weak_components(nodes, pairs, linked=True))
     return _of(_told(label, pairs, m), label)
 
 
@@ -166,7 +166,7 @@ def communities(nodes: DataFrame, edges: DataFrame, most: int = MOST) -> DataFra
     m = float(pairs.count())
     if not m:
         return nodes.select("symbol_id", F.lit(1).cast("long").alias("community_id"))
-    label = cut(weak_components(nodes, pairs))
+    label = cut(weak_components(nodes, pairs, linked=True))
     # a group without ties that is the smallest ends the merging
     loops = pairs.where("source_id = target_id").select(F.col("source_id").alias("component"), F.lit(True).alias("loop")).distinct()
     sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(loops, "component", "left")
